@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skirmish.functions.names import name_key, term_key
 from skirmish.operators.delivery import once_per_key
 from skirmish.operators.features import entity_features
+from skirmish.operators.log_entries import log_entries
 from skirmish.operators.gap_tree import gap_tree, sessions_at
 from skirmish.session import load
 
@@ -81,6 +82,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of all logs with stamp, level and component."""
+    out = log_entries(load(spark, sf_dir, "raw_lines"), with_message=False)
+    return out.withColumn("entry_ts", F.date_format("entry_ts", STAMP))
+
+
+def p2_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same entries with their whole message text."""
+    return log_entries(load(spark, sf_dir, "raw_lines")).withColumn("entry_ts", F.date_format("entry_ts", STAMP))
+
+
 _SQL_NAME = "lower(regexp_replace(trim(regexp_replace({0}, ' +', ' ', 'g')), '[''`]s corpse$', '', 'i'))"
 
 
@@ -120,4 +132,4 @@ select e.log_id, coalesce(e.own, o.owner, e.attacker) as entity, event_type, cou
 from e left join o on o.log_id = e.log_id and o.pet = e.attacker group by 1, 2, 3""",
 }
 
-QUERIES = {"p1_found": p1_found, "p1_gap_settings": p1_gap_settings, "p3_found": p3_found}
+QUERIES = {"p1_found": p1_found, "p1_gap_settings": p1_gap_settings, "p2_found": p2_found, "p2_entries": p2_entries, "p3_found": p3_found}
