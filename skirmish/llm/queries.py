@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from skirmish.functions.names import name_key, term_key
 from skirmish.llm import oracles
+from skirmish.llm.leaks import leaked_items
 from skirmish.llm.percentiles import exact_percentiles, merge_counts, value_counts
+from skirmish.llm.sentences import message_sentences
 from skirmish.llm.terms import term_frequencies
 from skirmish.llm.topn import top_n
 from skirmish.operators.delivery import once_per_key
@@ -57,5 +59,35 @@ def p6_merged_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("grp").alias("attacker"), "pct", F.col("value").alias("amount"))
 
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_merged_logs": p6_merged_logs}
+LEAK_WORDS = 12
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(load(spark, sf_dir, "documents"), "doc_id", "text", load(spark, sf_dir, "eval_items"), "item_id", "text", LEAK_WORDS)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages and the items of which they hold at least twelve consecutive words."""
+    return _leaks(spark, sf_dir).where(F.col("longest_run") >= LEAK_WORDS).select("doc_id", "item_id")
+
+
+def p8_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All seeded pairs that align over at least half an item, edited copies included."""
+    return _leaks(spark, sf_dir).where((F.col("share") >= 0.5) | (F.col("longest_run") >= LEAK_WORDS)).withColumn("share", F.round("share", 4))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct sentences each message's sender wrote."""
+    return message_sentences(load(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {
+    "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p6_merged_logs": p6_merged_logs,
+    "p8_found": p8_found,
+    "p8_alignments": p8_alignments,
+    "p9_found": p9_found,
+}
 ORACLES = oracles.ORACLES
