@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skirmish.functions.names import name_key, term_key
 from skirmish.llm import oracles
 from skirmish.llm.leaks import leaked_items
+from skirmish.llm.packing import pack, token_counts
 from skirmish.llm.percentiles import exact_percentiles, merge_counts, value_counts
 from skirmish.llm.sentences import message_sentences
 from skirmish.llm.terms import term_frequencies
@@ -59,9 +60,23 @@ def p6_merged_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("grp").alias("attacker"), "pct", F.col("value").alias("amount"))
 
 
+CONTAINER_TOKENS = 8192
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LEAK_WORDS = 12
 
 
+def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A container of CONTAINER_TOKENS for every message, longer messages in pieces."""
+    sized = token_counts(load(spark, sf_dir, "documents"), "doc_id", "text", VOCABULARY)
+    return pack(sized, "item", "n_tokens", CONTAINER_TOKENS).withColumnRenamed("item", "doc_id")
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces, used and unused tokens of every container."""
+    out = p7_packing(spark, sf_dir).groupBy("container").agg(F.count(F.lit(1)).alias("n_pieces"), F.sum("n_tokens").alias("used"))
+    return out.withColumn("unused", F.lit(CONTAINER_TOKENS).cast("bigint") - F.col("used"))
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(load(spark, sf_dir, "documents"), "doc_id", "text", load(spark, sf_dir, "eval_items"), "item_id", "text", LEAK_WORDS)
 
@@ -86,6 +101,8 @@ QUERIES = {
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_merged_logs": p6_merged_logs,
+    "p7_packing": p7_packing,
+    "p7_fill": p7_fill,
     "p8_found": p8_found,
     "p8_alignments": p8_alignments,
     "p9_found": p9_found,
