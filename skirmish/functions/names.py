@@ -22,21 +22,15 @@ def strip_corpse(c: Column) -> Column:
 
     The fused form only counts on a single word of more than eight characters.
     """
-    return (
-        F.when(c.rlike("(?i)['`]s corpse$"), F.rtrim(F.regexp_replace(c, "(?i)['`]s corpse$", "")))
-        .when(
-            ~c.contains(" ") & (F.length(c) > 8) & F.lower(c).endswith("scorpse"),
-            F.substring(c, F.lit(1), F.length(c) - 7),
-        )
-        .otherwise(c)
-    )
+    fused = F.regexp_replace(c, "(?i)^(?=[^ ]{9,}$)(.*)scorpse$", "$1")
+    return F.rtrim(F.regexp_replace(fused, "(?i)['`]s corpse$", ""))
 
 
 def lower_article(c: Column) -> Column:
     """``A rat`` -> ``a rat`` when the word after the article starts in lower case."""
-    return F.when(
-        c.rlike(r"^(A|An|The) \p{Ll}"), F.concat(F.lower(F.substring(c, 1, 1)), F.substring(c, 2, 1 << 30))
-    ).otherwise(c)
+    for article in ("A", "An", "The"):
+        c = F.regexp_replace(c, rf"^{article} (?=\p{{Ll}})", f"{article.lower()} ")
+    return c
 
 
 def resolve_name(c: Column, character: Column) -> Column:
@@ -46,9 +40,8 @@ def resolve_name(c: Column, character: Column) -> Column:
     ``You``. Null input gives null.
     """
     me = F.coalesce(character, F.lit("You"))
-    plain = collapse_spaces(c)
-    bare = strip_corpse(plain)
-    return F.when(plain.isin(SELF_TOKENS), me).when(bare.isin(SELF_TOKENS), me).otherwise(lower_article(bare))
+    bare = strip_corpse(collapse_spaces(c))
+    return F.when(bare.isin(SELF_TOKENS), me).otherwise(lower_article(bare))
 
 
 def name_key(c: Column) -> Column:
