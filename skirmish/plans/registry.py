@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skirmish.plans import problems
+from skirmish.plans import problems, queries
 
-QUERIES = {**problems.QUERIES}
-ORACLES = {**problems.ORACLES}
+QUERIES = {**problems.QUERIES, **queries.QUERIES}
+ORACLES = {**problems.ORACLES, **queries.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query shown as an example of the engine."""
-    return problems.p1_found(spark, sf_dir)
+    """Damage, healing, swings and deaths of every fighter of every encounter."""
+    return queries.r_fighters(spark, sf_dir)

@@ -261,7 +261,7 @@ def summaries(headers: DataFrame, who: DataFrame) -> DataFrame:
     seconds = F.greatest(F.lit(1.0), F.expr("timestampdiff(SECOND, start_ts, end_ts)").cast("double"))
     return out.select(
         *ENCOUNTER, "start_ts", seconds.alias("duration_s"), "title", "end_reason", F.col("top.fighter").alias("top_fighter"),
-        F.round(F.coalesce(-F.col("top.d"), F.lit(0)) / seconds, 4).alias("top_dps"), F.coalesce("total_damage", F.lit(0)).alias("total_damage"), F.coalesce("deaths", F.lit(0)).alias("deaths"),
+        (F.coalesce(-F.col("top.d"), F.lit(0)) / seconds).alias("top_dps"), F.coalesce("total_damage", F.lit(0)).alias("total_damage"), F.coalesce("deaths", F.lit(0)).alias("deaths"),
     )
 
 
@@ -288,7 +288,7 @@ def source_tree(given: DataFrame, metric: str, by: list[str] = ENCOUNTER) -> Dat
     tree = tree.withColumn("depth", depth).drop("g")
     parent = F.when(F.col("depth") == 1, F.lit("")).when(F.col("depth") == 2, F.concat(F.lit("f:"), "fighter")).otherwise(F.concat(F.lit("g:"), "fighter", F.lit("\u0001"), "grp"))
     siblings = Window.partitionBy(*by, "depth", parent)
-    return tree.withColumn("share", F.round(ratio(F.col("total"), F.sum("total").over(siblings)), 6))
+    return tree.withColumn("share", ratio(F.col("total"), F.sum("total").over(siblings)))
 
 
 def chat_line(ranking: DataFrame, by: list[str], text: str, budget: int = 480) -> DataFrame:
@@ -306,5 +306,9 @@ def chat_line(ranking: DataFrame, by: list[str], text: str, budget: int = 480) -
 
 
 def compact_number(c: Column) -> Column:
-    """12345 -> 12.3K, 1234567 -> 1.23M, below 1000 as is."""
-    return F.when(c >= 1_000_000, F.format_string("%.2fM", c / 1e6)).when(c >= 1_000, F.format_string("%.1fK", c / 1e3)).otherwise(c.cast("bigint").cast("string"))
+    """12345 -> 12.3K, 1234567 -> 1.23M, below 1000 as is; halves round up, in whole numbers."""
+    n = c.cast("bigint")
+    hundredths, tenths = F.floor((n + 5_000) / 10_000), F.floor((n + 50) / 100)
+    millions = F.concat(F.floor(hundredths / 100).cast("string"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"), F.lit("M"))
+    thousands = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("K"))
+    return F.when(n >= 1_000_000, millions).when(n >= 1_000, thousands).otherwise(n.cast("string"))
