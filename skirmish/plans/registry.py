@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skirmish.plans import problems, queries
+from skirmish.plans import parse_queries, problems, queries
 
-QUERIES = {**problems.QUERIES, **queries.QUERIES}
-ORACLES = {**problems.ORACLES, **queries.ORACLES}
+QUERIES = {**problems.QUERIES, **queries.QUERIES, **parse_queries.QUERIES}
+ORACLES = {**problems.ORACLES, **queries.ORACLES, **parse_queries.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
