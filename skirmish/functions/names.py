@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,7 +44,9 @@ def resolve_name(c: Column, character: Column) -> Column:
     """
     me = F.coalesce(character, F.lit("You"))
     bare = strip_corpse(collapse_spaces(c))
-    return F.when(bare.isin(SELF_TOKENS), me).otherwise(lower_article(bare))
+    worked = F.when(bare.isin(SELF_TOKENS), me).otherwise(lower_article(bare))
+    untidy = reduce(or_, [c.contains("  "), c.startswith(" "), c.endswith(" "), F.lower(c).endswith("corpse"), *[c.startswith(a) for a in ("A ", "An ", "The ")]])
+    return F.when(c.isin(SELF_TOKENS), me).when(untidy, worked).otherwise(c)
 
 
 def name_key(c: Column) -> Column:

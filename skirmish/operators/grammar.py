@@ -31,7 +31,6 @@ _PTS = r"(\d+) points? of damage\."
 _SPELL = r"(?: \((.+)\))?$"
 PET_TAG = rf"^({NAME}) \(Owner: ({NAME})\) (.+)$"
 DAMAGE_LIKE = r"(?i)points? of (?:non-melee )?damage|has taken \d+ damage"
-HINTS = r"damage|slain|tr(?:ies|y) to|have entered|heal|critical|Crippling"
 
 
 @dataclass(frozen=True)
@@ -41,7 +40,8 @@ class Rule:
     ``attacker``/``target``: 'self' (You), 'tag' (the stripped pet or nobody), 'tag_or_text'
     (the tag, else the captured text), 'text' (captured text), 'swarm' (owner and pet words), or
     '' (nobody). ``mechanic``: a fixed one, 'verb' (by verb) or 'swarm'. ``tag_only`` rules need a
-    stripped tag.
+    stripped tag. ``need`` are substrings every match contains; they are looked for
+    before the pattern is tried.
     """
 
     id: str
@@ -54,34 +54,35 @@ class Rule:
     mechanic: str = ""
     tag_only: bool = False
     keeps_spell: bool = True
+    need: tuple[str, ...] = ()
 
 
 RULES = [
-    Rule("R1", r"^You have entered (.+?)\.$", ("zone",), outcome="zone"),
-    Rule("R2", r"^(.+?) has been slain by (.+?)!$", ("target", "attacker"), action="death", attacker="text"),
-    Rule("R3", r"^You have slain (.+?)!$", ("target",), action="death", attacker="self"),
-    Rule("R4", r"^You have been slain by (.+?)!$", ("attacker",), action="death", attacker="text", target="self"),
-    Rule("R5", rf"^(.+?) (?:scores? a critical hit|lands? a Crippling Blow|delivers? a critical blast)! \((\d+)\){_SPELL}", ("attacker", "amount", "spell"), outcome="crit"),
-    Rule("R6", r"\b(?:has|have) shielded .+? from \d+ points? of damage\.", outcome="ignored"),
-    Rule("R7", r"^The Spellshield absorbed \d+ of \d+ points? of damage$", outcome="ignored"),
-    Rule("R8", r"\babsorbs? \d+ (?:of \d+ )?points? of damage", outcome="ignored"),
-    Rule("R9", rf"You have taken {_PTS}$", ("amount",), action="damage", target="self", mechanic="non_melee"),
-    Rule("R10", rf"^You have been healed for {_PTS}{_SPELL}", ("amount", "spell"), action="heal", target="self"),
-    Rule("R11", rf"^(.+?) (?:has|have) healed (.+?) for {_PTS}{_SPELL}", ("attacker", "target", "amount", "spell"), action="heal", attacker="tag_or_text"),
-    Rule("R12", rf"^(?:has|have) healed (.+?) for {_PTS}{_SPELL}", ("target", "amount", "spell"), action="heal", attacker="tag", tag_only=True),
-    Rule("R13", rf"^You heal (.+?) for {_PTS}{_SPELL}", ("target", "amount", "spell"), action="heal", attacker="self"),
-    Rule("R14", r"^(.+?) has taken (\d+) damage from (.+?) by (.+?)\.$", ("target", "amount", "spell", "attacker"), action="damage", attacker="text", mechanic="non_melee"),
-    Rule("R15", r"^(.+?) has taken (\d+) damage from your (.+?)\.$", ("target", "amount", "spell"), action="damage", attacker="self", mechanic="non_melee"),
-    Rule("R16", rf"^({NAME})`s ({PETS}) (hit|{_3P}) (.+?) for (\d+) points? of (non-melee )?damage\.{_SPELL}", ("owner", "pet", "verb", "target", "amount", "magic", "spell"), action="damage", attacker="swarm", mechanic="swarm"),
-    Rule("R17", rf"^({NAME})`s ({PETS}) tries to ([a-z]+) (.+?), but ([^!]+)!$", ("owner", "pet", "verb", "target", "reason"), action="miss", attacker="swarm", mechanic="verb"),
-    Rule("R18", rf"^(.+?) was hit by non-melee for {_PTS}$", ("target", "amount"), action="damage", attacker="tag", mechanic="damage_shield"),
-    Rule("R19", rf"^(.+?) hit (.+?) for (\d+) points? of non-melee damage\.{_SPELL}", ("attacker", "target", "amount", "spell"), action="damage", attacker="tag_or_text", mechanic="non_melee"),
-    Rule("R20", rf"^hit (.+?) for (\d+) points? of non-melee damage\.{_SPELL}", ("target", "amount", "spell"), action="damage", attacker="tag", mechanic="non_melee"),
-    Rule("R21", rf"^You ([a-z]+) (.+?) for {_PTS}{_SPELL}", ("verb", "target", "amount", "spell"), action="damage", attacker="self", mechanic="verb"),
-    Rule("R22", r"^You try to ([a-z]+) (.+?), but ([^!]+)!$", ("verb", "target", "reason"), action="miss", attacker="self", mechanic="verb"),
-    Rule("R23", rf"^(.+?) ([a-z]+) YOU for {_PTS}{_SPELL}", ("attacker", "verb", "amount", "spell"), action="damage", attacker="text", target="self", mechanic="verb"),
-    Rule("R24", rf"^(.+?) ({_3P}) (.+?) for {_PTS}{_SPELL}", ("attacker", "verb", "target", "amount", "spell"), action="damage", attacker="tag_or_text", mechanic="verb"),
-    Rule("R25", rf"^({_3P}) (.+?) for {_PTS}{_SPELL}", ("verb", "target", "amount", "spell"), action="damage", attacker="tag", mechanic="verb", keeps_spell=False),
-    Rule("R26", r"^(.+?) tries to ([a-z]+) (.+?), but ([^!]+)!$", ("attacker", "verb", "target", "reason"), action="miss", attacker="text", mechanic="verb"),
+    Rule("R1", r"^You have entered (.+?)\.$", ("zone",), outcome="zone", need=("You have entered ",)),
+    Rule("R2", r"^(.+?) has been slain by (.+?)!$", ("target", "attacker"), action="death", attacker="text", need=(" has been slain by ",)),
+    Rule("R3", r"^You have slain (.+?)!$", ("target",), action="death", attacker="self", need=("You have slain ",)),
+    Rule("R4", r"^You have been slain by (.+?)!$", ("attacker",), action="death", attacker="text", target="self", need=("You have been slain by ",)),
+    Rule("R5", rf"^(.+?) (?:scores? a critical hit|lands? a Crippling Blow|delivers? a critical blast)! \((\d+)\){_SPELL}", ("attacker", "amount", "spell"), outcome="crit", need=("! (",)),
+    Rule("R6", r"\b(?:has|have) shielded .+? from \d+ points? of damage\.", outcome="ignored", need=(" shielded ",)),
+    Rule("R7", r"^The Spellshield absorbed \d+ of \d+ points? of damage$", outcome="ignored", need=("The Spellshield absorbed ",)),
+    Rule("R8", r"\babsorbs? \d+ (?:of \d+ )?points? of damage", outcome="ignored", need=("absorb",)),
+    Rule("R9", rf"You have taken {_PTS}$", ("amount",), action="damage", target="self", mechanic="non_melee", need=("You have taken ",)),
+    Rule("R10", rf"^You have been healed for {_PTS}{_SPELL}", ("amount", "spell"), action="heal", target="self", need=("You have been healed for ",)),
+    Rule("R11", rf"^(.+?) (?:has|have) healed (.+?) for {_PTS}{_SPELL}", ("attacker", "target", "amount", "spell"), action="heal", attacker="tag_or_text", need=(" healed ",)),
+    Rule("R12", rf"^(?:has|have) healed (.+?) for {_PTS}{_SPELL}", ("target", "amount", "spell"), action="heal", attacker="tag", tag_only=True, need=("healed ",)),
+    Rule("R13", rf"^You heal (.+?) for {_PTS}{_SPELL}", ("target", "amount", "spell"), action="heal", attacker="self", need=("You heal ",)),
+    Rule("R14", r"^(.+?) has taken (\d+) damage from (.+?) by (.+?)\.$", ("target", "amount", "spell", "attacker"), action="damage", attacker="text", mechanic="non_melee", need=(" damage from ", " by ")),
+    Rule("R15", r"^(.+?) has taken (\d+) damage from your (.+?)\.$", ("target", "amount", "spell"), action="damage", attacker="self", mechanic="non_melee", need=(" damage from your ",)),
+    Rule("R16", rf"^({NAME})`s ({PETS}) (hit|{_3P}) (.+?) for (\d+) points? of (non-melee )?damage\.{_SPELL}", ("owner", "pet", "verb", "target", "amount", "magic", "spell"), action="damage", attacker="swarm", mechanic="swarm", need=("`s ", " damage.")),
+    Rule("R17", rf"^({NAME})`s ({PETS}) tries to ([a-z]+) (.+?), but ([^!]+)!$", ("owner", "pet", "verb", "target", "reason"), action="miss", attacker="swarm", mechanic="verb", need=("`s ", " tries to ")),
+    Rule("R18", rf"^(.+?) was hit by non-melee for {_PTS}$", ("target", "amount"), action="damage", attacker="tag", mechanic="damage_shield", need=(" was hit by non-melee for ",)),
+    Rule("R19", rf"^(.+?) hit (.+?) for (\d+) points? of non-melee damage\.{_SPELL}", ("attacker", "target", "amount", "spell"), action="damage", attacker="tag_or_text", mechanic="non_melee", need=(" hit ", " non-melee damage.")),
+    Rule("R20", rf"^hit (.+?) for (\d+) points? of non-melee damage\.{_SPELL}", ("target", "amount", "spell"), action="damage", attacker="tag", mechanic="non_melee", need=("hit ", " non-melee damage.")),
+    Rule("R21", rf"^You ([a-z]+) (.+?) for {_PTS}{_SPELL}", ("verb", "target", "amount", "spell"), action="damage", attacker="self", mechanic="verb", need=("You ", " of damage.")),
+    Rule("R22", r"^You try to ([a-z]+) (.+?), but ([^!]+)!$", ("verb", "target", "reason"), action="miss", attacker="self", mechanic="verb", need=("You try to ",)),
+    Rule("R23", rf"^(.+?) ([a-z]+) YOU for {_PTS}{_SPELL}", ("attacker", "verb", "amount", "spell"), action="damage", attacker="text", target="self", mechanic="verb", need=(" YOU for ",)),
+    Rule("R24", rf"^(.+?) ({_3P}) (.+?) for {_PTS}{_SPELL}", ("attacker", "verb", "target", "amount", "spell"), action="damage", attacker="tag_or_text", mechanic="verb", need=(" of damage.",)),
+    Rule("R25", rf"^({_3P}) (.+?) for {_PTS}{_SPELL}", ("verb", "target", "amount", "spell"), action="damage", attacker="tag", mechanic="verb", keeps_spell=False, need=(" of damage.",)),
+    Rule("R26", r"^(.+?) tries to ([a-z]+) (.+?), but ([^!]+)!$", ("attacker", "verb", "target", "reason"), action="miss", attacker="text", mechanic="verb", need=(" tries to ",)),
 ]
 SLOTS = ["attacker", "target", "amount", "verb", "spell", "reason", "owner", "pet", "magic", "zone"]

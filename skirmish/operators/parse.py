@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from skirmish.functions.staging import staged
 from skirmish.functions.names import SELF_TOKENS, collapse_spaces, resolve_name
-from skirmish.operators.grammar import DAMAGE_LIKE, HINTS, MISS_WORDS, PET_TAG, RULES, SLOTS, SPECIAL_VERBS, VERBS
+from skirmish.operators.grammar import DAMAGE_LIKE, MISS_WORDS, PET_TAG, RULES, SLOTS, SPECIAL_VERBS, VERBS
 
 _SEP = "\u0001"
-_STAMP = r"(?d)^\[([A-Z][a-z]{2}) ([A-Z][a-z]{2}) (\d{2}) (\d{2}):(\d{2}):(\d{2}) (\d{4})\] (.*)$"
+_STAMP = r"^\[[A-Z][a-z]{2} [A-Z][a-z]{2} \d{2} \d{2}:\d{2}:\d{2} \d{4}\] $"
 _MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 _DAYS = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
 
@@ -24,21 +24,20 @@ def split_lines(lines: DataFrame) -> DataFrame:
     local wall-clock time (TIMESTAMP_NTZ), built from its parts, so no time zone is
     involved. Null raw lines, BOM and trailing carriage returns are tolerated.
     """
-    raw = F.regexp_replace(F.regexp_replace("raw", "^\\x{FEFF}", ""), "\\r$", "")
-    parts = F.split(F.regexp_replace(raw, _STAMP, _SEP.join(f"${i}" for i in range(1, 9))), _SEP, 8)
-    cut = staged(lines.select("log_id", "line_no", "raw"), {"__p": F.when(raw.rlike(_STAMP), parts)})
-    p = [F.col("__p").getItem(i) for i in range(8)]
+    raw = F.when(F.col("raw").endswith("\r"), F.substring("raw", F.lit(1), F.length("raw") - 1)).otherwise(F.col("raw"))
+    raw = F.when(raw.startswith("\ufeff"), F.substring(raw, 2, 1 << 30)).otherwise(raw)
+    cut = staged(lines.select("log_id", "line_no", "raw"), {"__t": raw}).where(F.substring("__t", 1, 27).rlike(_STAMP))
 
     def nth(names: list[str], c: Column) -> Column:
         return F.element_at(F.create_map(*[x for i, n in enumerate(names, 1) for x in (F.lit(n), F.lit(i))]), c)
 
-    i = [c.try_cast("int") for c in p]
-    ts = F.when(i[5] < 60, F.call_function("try_make_timestamp_ntz", i[6], nth(_MONTHS, p[1]), i[2], i[3], i[4], i[5].cast("decimal(16,6)")))
-    return (
-        cut.withColumn("ts", ts)
-        .where(F.col("ts").isNotNull() & (F.weekday(F.to_date("ts")) + 1 == nth(_DAYS, p[0])))
-        .select("log_id", F.col("line_no").cast("int").alias("line_no"), "ts", p[7].alias("message"), "raw")
-    )
+    def num(at: int, n: int) -> Column:
+        return F.substring("__t", at, n).cast("int")
+
+    second = num(19, 2)
+    ts = F.when(second < 60, F.call_function("try_make_timestamp_ntz", num(22, 4), nth(_MONTHS, F.substring("__t", 6, 3)), num(10, 2), num(13, 2), num(16, 2), second.cast("decimal(16,6)")))
+    read = staged(cut, {"ts": ts, "__day": nth(_DAYS, F.substring("__t", 2, 3)), "message": F.substring("__t", 28, 1 << 30)})
+    return read.where(F.col("ts").isNotNull() & (F.weekday(F.to_date("ts")) + 1 == F.col("__day"))).select("log_id", F.col("line_no").cast("int").alias("line_no"), "ts", "message", "raw")
 
 
 def normalize_verb(c: Column) -> Column:
@@ -72,7 +71,7 @@ def _match(msg: Column, tagged: Column) -> tuple[Column, Column]:
     rule = F.lit(None).cast("string")
     found = F.lit(None).cast("string")
     for r in reversed(RULES):
-        hit = msg.rlike("(?d)" + r.pattern)
+        hit = reduce(lambda a, n: a & msg.contains(n), r.need[1:], msg.contains(r.need[0])) & msg.rlike("(?d)" + r.pattern)
         if r.tag_only:
             hit = hit & tagged
         rule = F.when(hit, r.id).otherwise(rule)
@@ -95,7 +94,7 @@ def parse_lines(lines: DataFrame, character: Column | None = None, strict_compat
     Everything is a projection: two CASE cascades behind a cheap word test, no shuffle.
     """
     me = character if character is not None else F.split("log_id", "_").getItem(0)
-    tag = F.col("message").rlike("(?d)" + PET_TAG)
+    tag = F.col("message").contains(" (Owner: ") & F.col("message").rlike("(?d)" + PET_TAG)
     cut = staged(
         lines.select("log_id", "line_no", "ts", "message", "raw"),
         {
@@ -106,7 +105,7 @@ def parse_lines(lines: DataFrame, character: Column | None = None, strict_compat
     )
     msg = F.col("__msg")
     rule, found = _match(msg, F.col("__tag").isNotNull())
-    cut = staged(cut, {"__rule": F.when(msg.rlike(HINTS), rule)})
+    cut = staged(cut, {"__rule": rule})
     cut = staged(cut, {"__s": found})
     cut = staged(cut, {f"__{s}": F.nullif(F.col("__s").getItem(i), F.lit("")) for i, s in enumerate(SLOTS)}).drop("__s")
     slot = {s: F.col(f"__{s}") for s in SLOTS}
@@ -129,7 +128,7 @@ def parse_lines(lines: DataFrame, character: Column | None = None, strict_compat
     outcome = (
         F.when((F.col("__rule") == "R1") & instanced, "ignored")
         .when(F.col("__rule").isNotNull(), by_rule(lambda r: r.outcome))
-        .when(msg.rlike(DAMAGE_LIKE), "unparsed")
+        .when(F.lower(msg).contains("damage") & msg.rlike(DAMAGE_LIKE), "unparsed")
         .otherwise("none")
     )
     cut = staged(

@@ -11,7 +11,7 @@ from skirmish.operators.owners import ownership_tags
 from skirmish.operators.parse import line_shape, parse_lines, parser_metrics, split_lines, unparsed_shapes
 from skirmish.plans import report
 from skirmish.plans.pipeline import analyze
-from skirmish.session import cut_lineage, load
+from skirmish.session import cut_lineage, load, spread
 from skirmish.sources.logs import character_of, log_identity, retro_window, server_of
 
 STAMP = "EEE MMM dd HH:mm:ss yyyy"
@@ -71,7 +71,7 @@ def _stamped(ts: Column, message: Column) -> Column:
 
 def rendered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as log lines of one log per user group: swings, misses, heals and spells."""
-    e = load(spark, sf_dir, "events")
+    e = spread(load(spark, sf_dir, "events"))
     who = F.concat(F.lit("U"), F.translate(F.col("user_id").cast("string"), "0123456789", "abcdefghij"))
     n = (F.floor("value") + 1).cast("bigint").cast("string")
     reasons = ["miss", "a warrior parries", "a warrior dodges", "a warrior blocks with shield", "a warrior ripostes", "a warrior is INVULNERABLE", "a warrior's magical skin absorbs the blow"]
@@ -99,7 +99,7 @@ def t_damage_by_attacker(spark, sf_dir):
 
 def t_lineitem_parse(spark, sf_dir):
     """Parse throughput: every line item as a melee line, read back and summed by supplier, verb and target."""
-    li, part = load(spark, sf_dir, "lineitem"), load(spark, sf_dir, "part")
+    li, part = spread(load(spark, sf_dir, "lineitem")), load(spark, sf_dir, "part")
     verb = F.when(F.col("l_returnflag") == "A", "slashes").when(F.col("l_returnflag") == "N", "crushes").otherwise("kicks")
     who = F.concat(F.lit("S"), F.translate(F.col("l_suppkey").cast("string"), "0123456789", "abcdefghij"))
     msg = F.concat(who, F.lit(" "), verb, F.lit(" a "), F.col("p_name"), F.lit(" for "), F.floor("l_quantity").cast("string"), F.lit(" points of damage."))

@@ -35,3 +35,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder, so that lost executors cost one re-read."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan over at least as many tasks as there are cores, before work that is heavy per row.
+
+    A file with few row groups would otherwise keep most cores idle. Scans that already
+    have enough splits, as any large table has, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
