@@ -14,7 +14,7 @@ from skirmish.llm.sentences import message_sentences
 from skirmish.llm.terms import term_frequencies
 from skirmish.llm.topn import top_n
 from skirmish.operators.delivery import once_per_key
-from skirmish.session import load
+from skirmish.session import load, spread
 
 BUCKET = ["log_id", "enc_id", "metric", "fighter", "category", "source_name", "pet"]
 TOP = 5
@@ -67,7 +67,7 @@ LEAK_WORDS = 12
 
 def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A container of CONTAINER_TOKENS for every message, longer messages in pieces."""
-    sized = token_counts(load(spark, sf_dir, "documents"), "doc_id", "text", VOCABULARY)
+    sized = token_counts(spread(load(spark, sf_dir, "documents")), "doc_id", "text", VOCABULARY)
     return pack(sized, "item", "n_tokens", CONTAINER_TOKENS).withColumnRenamed("item", "doc_id")
 
 
@@ -78,7 +78,7 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaked_items(load(spark, sf_dir, "documents"), "doc_id", "text", load(spark, sf_dir, "eval_items"), "item_id", "text", LEAK_WORDS)
+    return leaked_items(spread(load(spark, sf_dir, "documents")), "doc_id", "text", load(spark, sf_dir, "eval_items"), "item_id", "text", LEAK_WORDS)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +93,7 @@ def p8_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct sentences each message's sender wrote."""
-    return message_sentences(load(spark, sf_dir, "documents"), "doc_id", "text")
+    return message_sentences(spread(load(spark, sf_dir, "documents")), "doc_id", "text")
 
 
 QUERIES = {

@@ -179,10 +179,8 @@ def _is_boundary(text: str, start: int, m: re.Match, closers: str, end: int, spa
         word = w[0] if w else ""
         if not closers:
             kind = _abbreviation(word)
-            if kind == "open":
+            if kind in ("open", "initial"):
                 return False
-            if kind == "initial":
-                return word.count(".") > 0 and not word.islower() and False
             if kind == "closing":
                 return cased
             if word.isdigit() and len(word) <= 2:
