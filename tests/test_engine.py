@@ -11,7 +11,7 @@ from skirmish.operators.crits import critical_lines, match_marks
 from skirmish.operators.encounters import FightMachine, build_encounters
 from skirmish.operators.owners import asof_last, with_owners
 from skirmish.operators.parse import parse_lines, parser_metrics, split_lines, unparsed_shapes
-from skirmish.operators.roster import Roster
+from skirmish.operators.roster import Roster, learn_roster
 from skirmish.plans.pipeline import analyze
 from skirmish.plans.report import credits, defense_rollup, defenses, fighters, mobs, sources
 from skirmish.schema import Options
@@ -132,6 +132,29 @@ def test_roster_learns_in_order():
     assert (r.classify("grub"), r.classify("Bron"), r.classify("a rat"), r.classify("Old King"), r.classify("Solo"), r.classify(None)) == ("pet", "player", "npc", "npc", "player", "unknown")
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_telling_observations_equal_the_full_sequence(spark, seed):
+    rng = random.Random(seed)
+    names = ["Mira", "Bron", "Vexa", "Emberking", "Old King", "a rat", "Grub", "Fang", None]
+    rows = []
+    for i in range(rng.choice([60, 400])):
+        action = rng.choice(["damage", "damage", "miss", "heal", "death"])
+        rows.append(("Mira_x", T0 + dt.timedelta(seconds=rng.randint(0, 200)), i, action, rng.choice(names), rng.choice(names), rng.choice([None] * 6 + ["Bron", "Vexa"])))
+    tags = [("Mira_x", 5, "Grub", "Bron"), ("Mira_x", 9, "Grub", "Vexa"), ("Mira_x", 7, "Bron", "Vexa")][: rng.randint(0, 3)]
+    ev = spark.createDataFrame(rows, "log_id string, ts timestamp_ntz, line_no int, action string, attacker string, target string, attacker_owner string").repartition(3)
+    tg = spark.createDataFrame(tags, "log_id string, line_no int, pet string, owner string")
+    r = Roster("Mira")
+    for _, _, pet, owner in sorted(tags, key=lambda t: t[1]):
+        r.tag(pet, owner)
+    for row in sorted(rows, key=lambda x: (x[1], x[2])):
+        r.observe(*row[3:])
+    got = {x.name_key: x.kind for x in learn_roster(ev, tg).collect()}
+    want = {**r.kind, **{k: "pet" for k in r.owner}}
+    looks = Roster(None)
+    for n in filter(None, names):
+        assert got.get(n.lower(), looks.classify(n)) == want.get(n.lower(), looks.classify(n)), n
+
+
 def hit(s, who, mob, n=10):
     return (s, f"{who} crushes {mob} for {n} points of damage." if who != "You" else f"You crush {mob} for {n} points of damage.")
 
@@ -159,18 +182,52 @@ SCENARIOS = {
 }
 
 
+def drive(options, entries, splits):
+    """The machine alone on messages of the scenarios' few shapes; zones come first at a time, then splits."""
+    m = FightMachine(options, "Mira")
+    rows = [(s, 2, i, msg) for i, (s, msg) in enumerate(entries)] + [(s, 1, 0, "") for s in splits]
+    rows = sorted((s, 0 if msg.startswith("You have entered") else o, i, msg) for s, o, i, msg in rows)
+    for s, o, i, msg in rows:
+        if o == 0:
+            m.zone_change(s, msg[17:-1])
+        elif o == 1:
+            m.split(s)
+        else:
+            m.advance(s)
+            mob = A if A in msg else B
+            if "slain by" in msg:
+                m.event(s, i, "death", mob, "Mira", "npc", "player", 0, None)
+            elif "slain" in msg:
+                m.event(s, i, "death", "Mira", mob, "player", "npc", 0, None)
+            elif "YOU" in msg:
+                m.event(s, i, "damage", mob, "Mira", "npc", "player", 5, "melee")
+            else:
+                m.event(s, i, "damage", "Mira", mob, "player", "npc", 10, "melee")
+    return [(f.reason, len(f.killed)) for f in m.finish()]
+
+
 @pytest.mark.parametrize("name", SCENARIOS)
-def test_encounter_scenarios(spark, name):
+def test_encounter_scenarios(name):
     options, entries, splits, want = SCENARIOS[name]
-    marks = spark.createDataFrame([("Mira_ashfall", T0 + dt.timedelta(seconds=s)) for s in splits], "log_id string, ts timestamp_ntz") if splits else None
-    b = analyze(log(spark, entries), options, marks)
-    got = [(r.end_reason, len(r.npcs_killed)) for r in b.encounters.orderBy("enc_id").collect()]
+    got = drive(options, entries, splits)
     if name == "corpse run":
         assert len(got) == 1 and got[0][1] == 1
     else:
         assert got == want
 
 
+def test_scenarios_through_the_pipeline(spark):
+    plain = {n: v for n, v in SCENARIOS.items() if v[0] == Options() and not v[2]}
+    logs = None
+    for i, (_, entries, _, _) in enumerate(plain.values()):
+        one = log(spark, entries, f"Mira_{i}")
+        logs = one if logs is None else logs.unionByName(one)
+    got = {}
+    for r in analyze(logs).encounters.orderBy("log_id", "enc_id").collect():
+        got.setdefault(r.log_id, []).append((r.end_reason, len(r.npcs_killed)))
+    assert got == {f"Mira_{i}": v[3] for i, v in enumerate(plain.values())} and len(got) >= 5
+
+
 def test_stretches_equal_one_long_fold(spark):
     """Cutting a log at silences and at days gives what one machine over all rows gives."""
     rng = random.Random(9)
