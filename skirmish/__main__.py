@@ -53,10 +53,13 @@ def main(argv: list[str] | None = None) -> int:
     if a.unparsed:
         unparsed_shapes(battle.outcomes.withColumn("message", F.regexp_replace("raw", r"^\[[^\]]*\] ", ""))).orderBy(F.desc("n")).show(40, False)
     elif a.json:
+        for r in parser_metrics(lines, battle.outcomes).toJSON().toLocalIterator():
+            print(r)
         for r in export.report_json(events).orderBy("log_id", "enc_id").toLocalIterator():
             print(r.document)
     elif a.csv:
-        export.write_csv(export.damage_csv(events), a.csv)
+        for name, section in (("sources", export.damage_csv), ("defenses", export.defense_csv), ("mobs", export.mob_csv)):
+            export.write_csv(section(events), os.path.join(a.csv, name))
     else:
         parser_metrics(lines, battle.outcomes).show(truncate=False)
         for r in export.encounter_table(battle.encounters, events, a.top).orderBy("log_id", "enc_id", "part", "rank_no").toLocalIterator():

@@ -45,6 +45,18 @@ def damage_csv(events: DataFrame, by: list[str] = report.ENCOUNTER) -> DataFrame
     )
 
 
+def defense_csv(events: DataFrame, by: list[str] = report.ENCOUNTER) -> DataFrame:
+    """Section 2 of the CSV export: one row per defender and kind of attack."""
+    d = report.defenses(events, by)
+    average = F.regexp_replace(F.format_string("%.2f", "average"), r"\.?0+$", "")
+    return d.select(*by, "defender", "attack_type", "category", "swings", "hits", "damage", F.col("min_hit").alias("min"), F.col("max_hit").alias("max"), average.alias("average"), "crits", F.col("misses").alias("miss"), F.col("parries").alias("parry"), F.col("dodges").alias("dodge"), F.col("blocks").alias("block"), F.col("ripostes").alias("riposte"), F.col("absorbs").alias("rune"))
+
+
+def mob_csv(events: DataFrame, by: list[str] = report.ENCOUNTER) -> DataFrame:
+    """Section 3 of the CSV export: one row per monster."""
+    return report.mobs(events, by).select(*by, "mob", "damage_taken", "deaths", F.coalesce("last_killer", F.lit("")).alias("last_killer"), F.col("ttk_s").alias("time_to_kill_seconds"))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV files with a header; quotes only where a value needs them."""
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import os
 import pickle
 from collections.abc import Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from skirmish.operators.parse import parse_lines, split_lines
+from skirmish.operators.parse import line_shape, parse_lines, split_lines
 from skirmish.schema import Options
 from skirmish.sources.tail import register
 from skirmish.streaming.live import LiveLog
@@ -111,3 +114,59 @@ def windowed_damage(lines: DataFrame, window: str = "1 minute", late: str = "10
         .groupBy("log_id", F.window("at", window), F.lower("attacker").alias("attacker"))
         .agg(F.sum("amount").alias("damage"), F.count(F.lit(1)).alias("hits"))
     )
+
+
+def unparsed_examples(lines: DataFrame) -> DataFrame:
+    """First line of each shape that looks like damage and no rule reads; a stream keeps the shapes seen as state."""
+    bad = parse_lines(split_lines(lines)).where("outcome = 'unparsed'")
+    return bad.select(line_shape(F.col("message")).alias("shape"), "log_id", "line_no", "raw").dropDuplicates(["shape"])
+
+
+class LiveQuery:
+    """Follow logs in the background and look at the latest state.
+
+    Revisions are appended to ``folder`` by each micro-batch (one file set per batch, overwritten if a
+    batch is repeated after a restart), so a snapshot is the newest revision per encounter. Splits
+    are files in a control folder that the query also follows.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, folder: str, options: Options | None = None, latest: bool = False, tick_ms: int = 0) -> None:
+        self.spark, self.path, self.folder = spark, path, folder.rstrip("/")
+        self.options, self.latest, self.tick_ms = options or Options(), latest, tick_ms
+        self.query = None
+
+    def start(self, trigger: str = "500 milliseconds") -> LiveQuery:
+        """Start or resume from the checkpoint in the folder."""
+        register(self.spark)
+        self.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+        os.makedirs(f"{self.folder}/splits", exist_ok=True)
+        lines = self.spark.readStream.format("log_tail").option("path", self.path).option("startingOffset", "latest" if self.latest else "earliest").load()
+        splits = self.spark.readStream.schema("log_id string, ts timestamp_ntz").json(f"{self.folder}/splits")
+
+        def keep(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{self.folder}/revisions/batch={number}")
+
+        writer = follow(lines, self.options, splits, self.tick_ms).writeStream.outputMode("update").foreachBatch(keep)
+        self.query = writer.option("checkpointLocation", f"{self.folder}/checkpoint").trigger(processingTime=trigger).start()
+        return self
+
+    def stop(self) -> None:
+        """Stop; a later start continues."""
+        if self.query is not None:
+            self.query.stop()
+
+    def force_split(self, log_id: str, at: datetime) -> None:
+        """Cut the log's fight at a time; what follows is a new encounter."""
+        name = f"{self.folder}/splits/{log_id}-{at:%Y%m%d%H%M%S}.json"
+        with open(name + ".part", "w", encoding="utf-8") as f:
+            f.write(json.dumps({"log_id": log_id, "ts": f"{at:%Y-%m-%d %H:%M:%S}"}))
+        os.replace(name + ".part", name)
+
+    def snapshot(self) -> DataFrame:
+        """Newest revision of every encounter that was not dropped, newest encounter first."""
+        if not os.path.isdir(f"{self.folder}/revisions"):
+            return self.spark.createDataFrame([], "log_id string, enc_id int")
+        rows = self.spark.read.parquet(f"{self.folder}/revisions")
+        cols = [c for c in rows.columns if c not in ("log_id", "enc_id")]
+        newest = rows.groupBy("log_id", "enc_id").agg(F.max(F.struct("batch", "revision", *[c for c in cols if c not in ("batch", "revision")])).alias("r"))
+        return newest.select("log_id", "enc_id", "r.*").where("end_reason <> 'dropped'").drop("batch").orderBy(F.desc("start_ts"), F.desc("enc_id"))

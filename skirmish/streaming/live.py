@@ -17,8 +17,9 @@ from skirmish.schema import Options
 class LiveLog:
     """Feed outcomes in line order; read revisions of encounters."""
 
-    def __init__(self, log_id: str, options: Options | None = None) -> None:
+    def __init__(self, log_id: str, options: Options | None = None, catalog: dict[tuple[str, str], str] | None = None) -> None:
         self.log_id, self.opt = log_id, options or Options()
+        self.catalog = catalog or {}
         me = log_id.split("_")[0]
         self.roster = Roster(me)
         self.machine = FightMachine(self.opt, me)
@@ -94,6 +95,11 @@ class LiveLog:
         self.machine.advance(now)
         ak, tk = self.roster.classify(a), self.roster.classify(t)
         self.machine.event(now, None, action, a, t, ak, tk, row["amount"], row["mechanic"])
+        if ak == "player":
+            for kind in ("spell", "verb"):
+                found = self.catalog.get((kind, (row.get(kind) or "").lower()))
+                if found:
+                    self.classes.setdefault(a.lower(), Counter())[found] += 1
         fight = self.machine.open
         if fight is None and self.machine.done and self.machine.done[-1].last == now:
             fight = self.machine.done[-1]
@@ -125,6 +131,11 @@ class LiveLog:
         n = sum(self.lines.values())
         return 1 - self.lines["unparsed"] / n if n else 1.0
 
+    def class_label(self, player: str, least: int = 2, k: int = 3) -> str:
+        """The best-supported classes of a player, '' while nothing is certain."""
+        uses = [(-n, c) for c, n in self.classes.get(player.lower(), {}).items() if n >= least]
+        return " / ".join(c for _, c in sorted(uses)[:k])
+
     def fighters(self, no: int) -> dict[str, int]:
         """Damage per fighter of an encounter, pets credited to their owners as known by now."""
         out: Counter = Counter()
@@ -133,9 +144,21 @@ class LiveLog:
         return dict(out)
 
     def revisions(self) -> list[dict]:
-        """Encounters that are new or changed since the last call."""
+        """Encounters that are new or changed since the last call.
+
+        A fight that was reported while open and then proved too short to keep is taken back
+        by a last revision with the reason ``dropped``.
+        """
         fights = list(self.machine.done) + [f for f in (self.machine.parked, self.machine.open) if f is not None]
         out = []
+        for no in set(self.reported) - {f.no for f in fights}:
+            start, end, title = self.reported[no][0], self.reported[no][1], self.reported[no][3]
+            out.append(
+                dict(
+                    log_id=self.log_id, enc_id=no, revision=self.revision[no] + 1, start_s=start, end_s=end, zone=None, active=False, end_reason="dropped", title=title,
+                    total_damage=0, top_fighter=None, kills=0, player_deaths=0, crits=0, coverage=self.coverage(),
+                )
+            )
         for f in fights:
             by = self.fighters(f.no)
             top = max(by, key=by.get) if by else None

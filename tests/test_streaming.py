@@ -60,3 +60,55 @@ def test_tail_reader_holds_back_and_sees_truncation(tmp_path):
     assert [x[2:] for x in rows] == [(1, 1, "new")]
     late = _Reader({"path": str(f), "startingOffset": "latest"})
     assert late.read(late.initialOffset())[0].__length_hint__() == 0
+
+
+def test_live_query_splits_and_resumes(spark, tmp_path):
+    import datetime as dt
+
+    from skirmish.schema import Options
+    from skirmish.streaming.follow import LiveQuery
+
+    log = tmp_path / "eqlog_Mira_ashfall.txt"
+    log.write_text(FIGHT)
+    live = LiveQuery(spark, str(log), str(tmp_path / "live"), Options.from_rest_period(120))
+    live.start("1 second").query.processAllAvailable()
+    live.stop()
+    first = live.snapshot().collect()
+    assert [(r.enc_id, r.active, r.total_damage) for r in first] == [(1, True, 1000)]
+    live.force_split("Mira_ashfall", dt.datetime(2026, 9, 3, 20, 0, 20))
+    live.start("1 second").query.processAllAvailable()
+    live.stop()
+    with log.open("a") as f:
+        f.write("[Thu Sep 03 20:00:30 2026] You crush a smoke imp for 70 points of damage.\n")
+    live.start("1 second").query.processAllAvailable()
+    live.stop()
+    got = [(r.enc_id, r.end_reason, r.total_damage) for r in live.snapshot().collect()]
+    assert got == [(2, "", 70), (1, "manual", 1000)]
+
+
+def test_live_log_pure():
+    from skirmish.streaming.live import LiveLog
+
+    live = LiveLog("Mira_x", catalog={("verb", "kick"): "Monk"})
+    row = dict(outcome="event", action="damage", attacker="Mira", target="a rat", owner_hint=None, amount=5, mechanic="melee_special", verb="kick", spell=None, zone=None, pet_tag=None, pet_tag_owner=None)
+    for i in range(3):
+        live.feed(dict(row, sec=i, line_no=i))
+    assert live.class_label("Mira") == "Monk" and live.fighters(1) == {"mira": 15} and live.coverage() == 1.0
+    assert [r["active"] for r in live.revisions()] == [True] and live.revisions() == []
+    live.tick(500)
+    assert [(r["end_reason"], r["revision"]) for r in live.revisions()] == [("dropped", 2)]  # two seconds, no kill
+    assert live.force_split() == 2 and live.revisions() == []
+
+
+def test_unparsed_stream(spark, tmp_path):
+    from skirmish.sources.tail import register
+    from skirmish.streaming.follow import unparsed_examples
+
+    log = tmp_path / "eqlog_Mira_ashfall.txt"
+    log.write_text("".join(f"[Thu Sep 03 20:00:0{i} 2026] Odd {i} points of damage\n" for i in range(5)))
+    register(spark)
+    stream = unparsed_examples(spark.readStream.format("log_tail").option("path", str(log)).load())
+    q = stream.writeStream.outputMode("append").format("memory").queryName("odd").start()
+    q.processAllAvailable()
+    q.stop()
+    assert [r["shape"] for r in spark.table("odd").collect()] == ["Odd # points of damage"]
