@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skirmish.functions.times import wall_seconds
 from skirmish.functions.arrow import grouped
 
 
@@ -58,7 +59,7 @@ def critical_lines(outcomes: DataFrame, window_s: int = 2) -> DataFrame:
     """
     marks = outcomes.where("outcome = 'crit'")
     hits = outcomes.where("outcome = 'event' and action = 'damage' and amount > 0").join(marks.select("log_id", "amount").distinct(), ["log_id", "amount"], "left_semi")
-    sec = F.expr("timestampdiff(SECOND, timestamp_ntz'2000-01-01 00:00:00', ts)")
+    sec = wall_seconds("ts")
 
     def side(df: DataFrame, marker: bool) -> DataFrame:
         return df.select("log_id", "amount", sec.alias("sec"), "line_no", F.lit(marker).alias("marker"), "spell", F.coalesce(F.col("mechanic").isin("melee", "melee_special"), F.lit(False)).alias("melee"))

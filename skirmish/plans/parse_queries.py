@@ -179,6 +179,10 @@ select t.log_id, total_lines, coalesce(timestamped_lines, 0) as timestamped_line
  case when timestamped_lines > 0 then 1 - unparsed / timestamped_lines else 1.0 end as coverage from t left join b using (log_id)""",
     "l_unparsed_shapes": f"with {_PARSED} select regexp_replace(message, '\\d+', '#', 'g') as shape, count(*) as n from parsed where outcome = 'unparsed' group by 1",
     "l_line_shapes": f"with {_PARSED} select regexp_replace(message, '\\d+', '#', 'g') as shape, count(*) as n from parsed where outcome = 'none' group by 1",
+    "l_pet_tags": f"""with {_PARSED}, s as (select log_id, line_no, case when rule in ('R16', 'R17') then regexp_extract(msg, '^([A-Z][A-Za-z`''-]+)`s', 1) when tagged then regexp_extract(message, {_q(PET_TAG)}, 2) end as owner,
+ case when rule = 'R16' then regexp_extract(msg, {_q(next(r.pattern for r in RULES if r.id == "R16"))}, 2) when rule = 'R17' then regexp_extract(msg, {_q(next(r.pattern for r in RULES if r.id == "R17"))}, 2) end as words,
+ regexp_extract(message, {_q(PET_TAG)}, 1) as tag from parsed where tagged or rule in ('R16', 'R17'))
+select log_id, line_no, case when words is not null then owner || '`s ' || words else tag end as pet, owner from s""",
     "l_log_identity": "with p as (select distinct file_path, regexp_replace(regexp_replace(regexp_replace(file_path, '^.*/', ''), '\\.txt$', ''), '\\.\\d{8}-\\d{6}(-\\d+)?$', '') as stem from raw_lines where file_path like '/logs/game/%'), i as (select file_path, regexp_replace(stem, '^eqlog_', '') as identity from p) select file_path, identity, split_part(identity, '_', 1) as character, nullif(regexp_replace(identity, '^[^_]*_?', ''), '') as server from i",
     "l_retro_window": f"with {_PARSED}, f as (select log_id, min(line_no) as first_line from stamped where ts >= timestamp '2019-03-29 20:00:00' - interval 14 days group by 1) select s.log_id, count(*) as n_lines, min(line_no) as first_line from stamped s join f using (log_id) where line_no >= f.first_line group by 1",
     "t_events_roundtrip": f"""select case event_type when 'error' then 'miss' when 'purchase' then 'heal' else 'damage' end as action,

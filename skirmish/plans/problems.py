@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skirmish.functions.times import stamp_text
 from skirmish.functions.names import name_key, term_key
 from skirmish.operators.delivery import once_per_key
 from skirmish.operators.features import entity_features
@@ -12,7 +13,6 @@ from skirmish.operators.log_entries import log_entries
 from skirmish.operators.gap_tree import gap_tree, sessions_at
 from skirmish.session import load
 
-STAMP = "yyyy-MM-dd HH:mm:ss"
 SESSION_GAP_S = 45
 
 
@@ -26,7 +26,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = gap_tree(ev, ["log_id", "target"], "ts", only_gaps=[SESSION_GAP_S])
     s = sessions_at(tree, SESSION_GAP_S)
     return s.select(
-        "log_id", "target", F.date_format("start_ts", STAMP).alias("start_ts"), F.date_format("end_ts", STAMP).alias("end_ts"), "duration_s", "n_events"
+        "log_id", "target", stamp_text("start_ts").alias("start_ts"), stamp_text("end_ts").alias("end_ts"), "duration_s", "n_events"
     )
 
 
@@ -78,19 +78,19 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_type",
         F.col("n").alias("n_events"),
         F.col("amount").alias("total_amount"),
-        F.coalesce(F.date_format("ts", STAMP), F.lit("")).alias("last_seen"),
+        F.coalesce(stamp_text("ts"), F.lit("")).alias("last_seen"),
     )
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of all logs with stamp, level and component."""
     out = log_entries(load(spark, sf_dir, "raw_lines"), with_message=False)
-    return out.withColumn("entry_ts", F.date_format("entry_ts", STAMP))
+    return out.withColumn("entry_ts", stamp_text("entry_ts"))
 
 
 def p2_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same entries with their whole message text."""
-    return log_entries(load(spark, sf_dir, "raw_lines")).withColumn("entry_ts", F.date_format("entry_ts", STAMP))
+    return log_entries(load(spark, sf_dir, "raw_lines")).withColumn("entry_ts", stamp_text("entry_ts"))
 
 
 _SQL_NAME = "lower(regexp_replace(trim(regexp_replace({0}, ' +', ' ', 'g')), '[''`]s corpse$', '', 'i'))"

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skirmish.functions.times import wall_seconds
 from skirmish.operators.grammar import MISS_REASONS
 from skirmish.operators.owners import credited, pet_of
 
@@ -158,7 +159,7 @@ def mobs(events: DataFrame, by: list[str] = ENCOUNTER) -> DataFrame:
             F.max("ts").alias("last_hit"),
         )
     )
-    return out.where("damage_taken > 0").withColumn("ttk_s", F.expr("timestampdiff(SECOND, first_hit, last_hit)"))
+    return out.where("damage_taken > 0").withColumn("ttk_s", wall_seconds("last_hit") - wall_seconds("first_hit"))
 
 
 def mob_sources(events: DataFrame, by: list[str] = ENCOUNTER) -> DataFrame:
@@ -258,7 +259,7 @@ def summaries(headers: DataFrame, who: DataFrame) -> DataFrame:
         F.min(F.when(F.col("damage_done") > 0, F.struct((-F.col("damage_done")).alias("d"), "first_seq", "fighter"))).alias("top"),
     )
     out = headers.join(sums, ENCOUNTER, "left")
-    seconds = F.greatest(F.lit(1.0), F.expr("timestampdiff(SECOND, start_ts, end_ts)").cast("double"))
+    seconds = F.greatest(F.lit(1.0), (wall_seconds("end_ts") - wall_seconds("start_ts")).cast("double"))
     return out.select(
         *ENCOUNTER, "start_ts", seconds.alias("duration_s"), "title", "end_reason", F.col("top.fighter").alias("top_fighter"),
         (F.coalesce(-F.col("top.d"), F.lit(0)) / seconds).alias("top_dps"), F.coalesce("total_damage", F.lit(0)).alias("total_damage"), F.coalesce("deaths", F.lit(0)).alias("deaths"),
@@ -267,7 +268,7 @@ def summaries(headers: DataFrame, who: DataFrame) -> DataFrame:
 
 def time_range(headers: DataFrame, given: DataFrame) -> DataFrame:
     """One merged report per log: span, summed durations, totals."""
-    seconds = F.greatest(F.lit(1.0), F.expr("timestampdiff(SECOND, start_ts, end_ts)").cast("double"))
+    seconds = F.greatest(F.lit(1.0), (wall_seconds("end_ts") - wall_seconds("start_ts")).cast("double"))
     span = headers.groupBy("log_id").agg(F.count(F.lit(1)).alias("n_encounters"), F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), F.sum(seconds).alias("duration_s"))
     return span.join(totals(given, ["log_id"]), "log_id", "left").na.fill(0, ["total_damage", "total_healing"])
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from skirmish.functions.times import from_wall_seconds, wall_seconds
 from skirmish.operators.parse import line_shape, parse_lines, split_lines
 from skirmish.schema import Options
 from skirmish.sources.tail import register
@@ -23,7 +24,6 @@ REVISION = (
     "log_id string, enc_id int, revision int, start_s bigint, end_s bigint, zone string, active boolean, end_reason string, title string, "
     "total_damage bigint, top_fighter string, kills int, player_deaths int, crits int, coverage double"
 )
-_EPOCH = "timestamp_ntz'2000-01-01 00:00:00'"
 _NEEDED = ["log_id", "line_no", "sec", "outcome", "action", "attacker", "target", "owner_hint", "amount", "mechanic", "verb", "spell", "zone", "pet_tag", "pet_tag_owner"]
 
 
@@ -77,7 +77,7 @@ class LogFollower(StatefulProcessor):
 def parsed_stream(lines: DataFrame) -> DataFrame:
     """Outcomes of a stream of ``log_id, line_no, raw`` with event seconds."""
     out = parse_lines(split_lines(lines))
-    return out.withColumn("sec", F.expr(f"timestampdiff(SECOND, {_EPOCH}, ts)")).select(*_NEEDED)
+    return out.withColumn("sec", wall_seconds("ts")).select(*_NEEDED)
 
 
 def follow(lines: DataFrame, options: Options | None = None, splits: DataFrame | None = None, tick_ms: int = 0) -> DataFrame:
@@ -90,11 +90,11 @@ def follow(lines: DataFrame, options: Options | None = None, splits: DataFrame |
     opt = options or Options()
     rows = parsed_stream(lines)
     if splits is not None:
-        marks = splits.select("log_id", F.lit(0).alias("line_no"), F.expr(f"timestampdiff(SECOND, {_EPOCH}, ts)").alias("sec"), F.lit("split").alias("outcome"))
+        marks = splits.select("log_id", F.lit(0).alias("line_no"), wall_seconds("ts").alias("sec"), F.lit("split").alias("outcome"))
         rows = rows.unionByName(marks, allowMissingColumns=True)
     mode = "processingTime" if tick_ms else "none"
     revisions = rows.groupBy("log_id").transformWithStateInPandas(LogFollower(opt, tick_ms), REVISION, "update", mode)
-    start, end = [F.expr(f"timestampadd(SECOND, {c}, {_EPOCH})").alias(n) for c, n in (("start_s", "start_ts"), ("end_s", "end_ts"))]
+    start, end = [from_wall_seconds(c).alias(n) for c, n in (("start_s", "start_ts"), ("end_s", "end_ts"))]
     return revisions.select("log_id", "enc_id", "revision", start, end, *[c.split()[0] for c in REVISION.split(", ")[5:]])
 
 
