@@ -108,9 +108,9 @@ def _sql_term(c: str) -> str:
 _ONCE = "(select * from combat_events qualify row_number() over (partition by log_id, line_no order by arrived_at) = 1)"
 
 _P1_RUNS = f"""
-with e as (select log_id, {_sql_key('target')} as target, ts from {_ONCE} where ts is not null and target is not null),
-g as (select *, case when epoch(ts) - epoch(lag(ts) over w) <= GAP_S then 0 else 1 end as is_new from e window w as (partition by log_id, target order by ts)),
-s as (select *, sum(is_new) over (partition by log_id, target order by ts rows unbounded preceding) as sid from g),
+with e as (select log_id, {_sql_key('target')} as target, ts, line_no from {_ONCE} where ts is not null and target is not null),
+g as (select *, case when epoch(ts) - epoch(lag(ts) over w) <= GAP_S then 0 else 1 end as is_new from e window w as (partition by log_id, target order by ts, line_no)),
+s as (select *, sum(is_new) over (partition by log_id, target order by ts, line_no rows unbounded preceding) as sid from g),
 r as (select log_id, target, min(ts) as a, max(ts) as b, count(*) as n from s group by log_id, target, sid)
 """
 
