@@ -29,13 +29,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every spell and verb with its events, encounters and mark."""
-    ev = once_per_key(
-        load(spark, sf_dir, "combat_events"),
-        ["log_id", "line_no"],
-        "arrived_at",
-        {"enc_id": F.col("enc_id"), "spell": term_key(F.col("spell")), "verb": term_key(F.col("verb"))},
-    )
-    out = term_frequencies(ev, {"spell": F.col("spell"), "verb": F.col("verb")}, ["log_id", "enc_id"], few=3, common_share=0.1)
+    raw = load(spark, sf_dir, "combat_events")
+    terms = {c: term_key(F.col(c)) for c in ("spell", "verb")}
+    ev = once_per_key(raw, ["log_id", "line_no"], "arrived_at", {"enc_id": F.col("enc_id"), **terms})
+    out = term_frequencies(ev, {"spell": F.col("spell"), "verb": F.col("verb")}, ["log_id", "enc_id"], few=3, common_share=0.1, records=raw)
     return out.select("field", "term", F.col("n_occurrences").alias("n_events"), F.col("n_records").alias("n_encounters"), "mark")
 
 

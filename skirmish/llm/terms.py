@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def term_frequencies(df: DataFrame, terms: dict[str, Column], record: list[str], few: int, common_share: float) -> DataFrame:
+def term_frequencies(df: DataFrame, terms: dict[str, Column], record: list[str], few: int, common_share: float, records: DataFrame | None = None) -> DataFrame:
     """Occurrences and record counts of every term of every field.
 
     ``terms`` maps a field name to its expression over ``df`` (null: no term);
@@ -20,7 +20,8 @@ def term_frequencies(df: DataFrame, terms: dict[str, Column], record: list[str],
     Counts per (term, record) are combined by hash before the first shuffle, so
     the number of records of a term is a plain count afterwards and the second
     aggregate again combines before it shuffles: a term that every row uses costs
-    one row per task. The number of all records is a scalar subquery.
+    one row per task. The number of all records is a scalar subquery over ``records`` (default: ``df``),
+    any table with the record columns, such as the raw one where ``df`` is costly to make.
     """
     ids = [f"__r{i}" for i in range(len(record))]
     keyed = [F.col(r).alias(i) for r, i in zip(record, ids, strict=True)]
@@ -31,6 +32,6 @@ def term_frequencies(df: DataFrame, terms: dict[str, Column], record: list[str],
     emitted = df.select(*keyed, F.explode(pairs).alias("__p")).select(*ids, "__p.field", "__p.term").where("term is not null")
     per_record = emitted.groupBy("field", "term", *ids).agg(F.count(F.lit(1)).alias("__n"))
     summed = per_record.groupBy("field", "term").agg(F.sum("__n").alias("n_occurrences"), F.count(F.when(known, 1)).alias("n_records"))
-    total = df.select(*keyed).where(known).distinct().agg(F.count(F.lit(1))).scalar()
+    total = (df if records is None else records).select(*keyed).where(known).distinct().agg(F.count(F.lit(1))).scalar()
     mark = F.when(F.col("n_records") < few, "rare").when(F.col("n_records") > total * common_share, "common").otherwise("kept")
     return summed.select("field", "term", "n_occurrences", "n_records", mark.alias("mark"))
