@@ -1,13 +1,9 @@
 """Mixed program logs into entries: stamp, level, component, message.
 
-Which layouts a file uses is mined, not configured. The head of every line is
-cut into words with digits masked, and (position, word) pairs are counted per
-file across the cluster. A pair that enough of the file's lines share is a
-constant of a template; the rest are variables. A line opens an entry when a
-stamp notation reads it, the stamp exists, and the masked stamp words stand where
-they are constants of this file. Everything else (outliers, quoted or indented copies,
-stack traces, stamps of foreign layouts) falls back to continuing the entry
-before it.
+Which layouts a file uses is counted, not configured. A line opens an entry when
+a stamp notation reads it, the stamp exists, and enough of the file's heads have
+that layout. Everything else (outliers, quoted or indented copies, stack traces,
+stamps of foreign layouts) falls back to continuing the entry before it.
 """
 
 from __future__ import annotations
@@ -22,7 +18,9 @@ from skirmish.functions.staging import staged
 from skirmish.session import cut_lineage
 
 HEAD_WORDS = 8
+# A file uses a layout that this share of its heads has, or this many of them.
 SUPPORT = 0.01
+LEAST_HEADS = 20
 LINES_PER_CHUNK = 65_536
 SALTS = 16
 
@@ -153,21 +151,23 @@ def entry_heads(lines: DataFrame, support: float = SUPPORT) -> DataFrame:
     """``log_id, line_no, entry_ts, log_level, component``: the lines that open an entry, each once.
 
     Reading heads is a projection over the scan; only lines that read as a head go on, without
-    their text. They keep their place if their stamp's (position, word) is a constant of their
-    file: a semi-join with the frequent pairs (at most HEAD_WORDS / support per file), salted by
-    line number because a file may hold a third of all lines.
+    their text, and are written to the shared folder once. They keep their place if their file uses
+    their layout: ``support`` of the file's heads have it, or LEAST_HEADS of them. So neither long
+    entries nor what varies in a stamp (width of the day, name of the month) cost a layout its
+    lines. A semi-join with the layouts in use (a few per file), salted by line number because a
+    file may hold a third of all lines.
     """
     src = lines.select("log_id", "file_path", F.col("line_no").cast("int").alias("line_no"), F.coalesce("raw", F.lit("")).alias("raw")).where("log_id is not null and line_no is not null")
     text = staged(src, {"text": clean_line(F.col("raw"))}).drop("raw")
-    read = staged(read_heads(text, "text", "file_path").where("entry_ts is not null"), {"words": head_words(F.col("text"))})
-    at = F.array_position(F.transform("words", lambda w: w.contains("0")), True).cast("int")
-    stamped = staged(read.select("log_id", "line_no", "entry_ts", "log_level", "component", "words"), {"pos": at - 1})
-    salt = F.pmod("line_no", F.lit(SALTS))
-    heads = stamped.select("log_id", "line_no", "entry_ts", "log_level", "component", "pos", F.get("words", F.col("pos")).alias("word"), salt.alias("salt"))
+    read = read_heads(text, "text", "file_path").where("entry_ts is not null")
+    once = read.groupBy("log_id", "line_no").agg(F.min(F.struct("entry_ts", "log_level", "component", "notation")).alias("h"))
+    heads = cut_lineage(once.select("log_id", "line_no", "h.*"))
+    counts = heads.groupBy("log_id", "notation").agg(F.count(F.lit(1)).alias("n"))
+    n_heads = counts.groupBy("log_id").agg(F.sum("n").alias("n_heads"))
     salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt")
-    frequent = position_words(src).where(F.col("share") >= support).select("log_id", F.col("pos"), "word", salts)
-    known = heads.join(frequent, ["log_id", "pos", "word", "salt"], "left_semi")
-    return known.groupBy("log_id", "line_no").agg(F.min(F.struct("entry_ts", "log_level", "component")).alias("h")).select("log_id", "line_no", "h.*")
+    used = counts.join(n_heads, "log_id").where((F.col("n") >= LEAST_HEADS) | (F.col("n") >= support * F.col("n_heads"))).select("log_id", "notation", salts)
+    salted = heads.withColumn("salt", F.pmod("line_no", F.lit(SALTS)))
+    return salted.join(used, ["log_id", "notation", "salt"], "left_semi").select("log_id", "line_no", "entry_ts", "log_level", "component")
 
 
 def log_entries(lines: DataFrame, support: float = SUPPORT, with_message: bool = True) -> DataFrame:

@@ -51,3 +51,13 @@ def test_edges(spark):
     r = log_entries(one).first()
     assert (str(r.entry_ts), r.log_level, r.component) == ("2019-03-11 01:44:22", "debug", "Pets")
     assert one.select(clean_line(one.raw)).first()[0].endswith("hello")
+
+
+def test_every_line_of_a_layout_in_use_opens_an_entry(spark):
+    long_entries = [x for i in range(30) for x in [f"2019-03-04 01:00:{i:02d},000 INFO [main] disk - x", *["  at y"] * 150]]
+    rare = ["2019-03-04 01:00:00,000 INFO [main] disk - x"] * 3000 + ["time=2019-03-04T01:00:10Z component=zone level=info msg=x"] * 25
+    days = [f"Mar  9 01:00:{i % 60:02d} host patcher[12]: x" for i in range(300)] + ["Mar 10 01:00:00 host patcher[12]: x"] * 2
+    months = ["INFO:disk:28-Feb-2019 01:00:00: x"] * 300 + ["INFO:disk:01-Mar-2019 01:00:00: x"] * 2
+    rows, schema = _lines(spark, {"/logs/h/2019/a.log": long_entries, "/logs/h/2019/b.log": rare, "/logs/h/2019/c.log": days, "/logs/h/2019/d.log": months})
+    out = log_entries(spark.createDataFrame(rows, schema), with_message=False)
+    assert {r.log_id: r["count"] for r in out.groupBy("log_id").count().collect()} == {"log0": 30, "log1": 3025, "log2": 302, "log3": 302}
