@@ -61,3 +61,13 @@ def test_every_line_of_a_layout_in_use_opens_an_entry(spark):
     rows, schema = _lines(spark, {"/logs/h/2019/a.log": long_entries, "/logs/h/2019/b.log": rare, "/logs/h/2019/c.log": days, "/logs/h/2019/d.log": months})
     out = log_entries(spark.createDataFrame(rows, schema), with_message=False)
     assert {r.log_id: r["count"] for r in out.groupBy("log_id").count().collect()} == {"log0": 30, "log1": 3025, "log2": 302, "log3": 302}
+
+
+def test_json_heads_with_a_late_time_key(spark):
+    context = " ".join(f"word{i}" for i in range(60))
+    late = ['{"message":"%s %d","level":"warn","logger":"net","ts":"2019-03-04T01:00:%02dZ"}' % (context, i, i) for i in range(12)]
+    mixed = ['{"id":%d,"code":"%d","level":"info","logger":"net","ts":"2019-03-04T01:00:%02dZ"}' % (10**i, i, i) for i in range(10)] + ["  at y"] * 2000
+    rows, schema = _lines(spark, {"/logs/h/2019/a.log": late, "/logs/h/2019/b.log": mixed})
+    got = log_entries(spark.createDataFrame(rows, schema), with_message=False).collect()
+    assert sorted((r.log_id, r.first_line) for r in got) == [("log0", i + 1) for i in range(12)] + [("log1", i + 1) for i in range(10)]
+    assert {(r.log_level, r.component) for r in got if r.log_id == "log0"} == {("warn", "net")}
