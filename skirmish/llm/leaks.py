@@ -93,6 +93,23 @@ class ItemIndex:
                     out.setdefault(min(there)[1], set()).add(item_id)
         return {g: sorted(x) for g, x in out.items()}
 
+    def holders(self) -> dict[int, list]:
+        """Gram -> items, for every gram of every item."""
+        out: dict[int, set] = {}
+        for item_id, grams in self.grams_of.items():
+            for g in grams:
+                out.setdefault(g, set()).add(item_id)
+        return {g: sorted(x) for g, x in out.items()}
+
+
+def reach(matched: np.ndarray) -> int:
+    """The most an alignment can score over a text of which ``matched`` tells the words that the other text has.
+
+    Within an alignment a word matches or costs a mismatch or skip, whatever the order of the words.
+    """
+    total = np.concatenate(([0], np.cumsum(np.where(matched, MATCH, max(MISMATCH, SKIP)))))
+    return int((total - np.minimum.accumulate(total)).max())
+
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """Smith-Waterman score of two coded texts and their longest common run of words."""
@@ -114,14 +131,16 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best, longest
 
 
-def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, run: int = 12) -> DataFrame:
+def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, run: int = 12, least_share: float | None = None) -> DataFrame:
     """``doc_id, item_id, score, share, longest_run``: messages and items that share a rare passage.
 
     ``score`` is the best Smith-Waterman score (words; match 2, mismatch -1, skip -1) of
     a passage of the message against the item, ``share`` that score over the item's own
     (1.0: the whole item), ``longest_run`` the most consecutive words in common. All
-    pairs that share ``run`` words or more are among them; edited copies come out as far as they
-    keep a seed. Filter by ``longest_run`` or ``share``.
+    pairs that share ``run`` words or more are among them. With ``least_share`` also all edited
+    copies of at least that share that keep any GRAM words of the item in a row: every gram of an
+    item is a seed then, however many copies or items have it, and a passage is spared the
+    alignment only if its words cannot reach the share. Filter by ``longest_run`` or ``share``.
 
     The corpus is read once: a task codes the words of each text part, looks up all item
     n-grams and keeps only the passages around hits, written to the shared folder. Message counts
@@ -138,12 +157,12 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
     out = None
     for k in range(blocks):
         block = listed.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k) if blocks > 1 else listed
-        found = _leaks_of_block(src, id_type, ItemIndex([(r.i, r.t) for r in block.toLocalIterator()]), item_type, run)
+        found = _leaks_of_block(src, id_type, ItemIndex([(r.i, r.t) for r in block.toLocalIterator()]), item_type, run, least_share)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _leaks_of_block(src: DataFrame, id_type: T.DataType, index: ItemIndex, item_type: T.DataType, run: int) -> DataFrame:
+def _leaks_of_block(src: DataFrame, id_type: T.DataType, index: ItemIndex, item_type: T.DataType, run: int, least_share: float | None) -> DataFrame:
     shared = src.sparkSession.sparkContext.broadcast(index)
     passage_type = T.StructType(
         [
@@ -191,18 +210,30 @@ def _leaks_of_block(src: DataFrame, id_type: T.DataType, index: ItemIndex, item_
     counts = kept.select("doc_id", F.explode("grams").alias("gram")).distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     # at most as many rows as the block has grams
     seeds = index.seeds({r.gram: r.n for r in counts.toLocalIterator()}, run)
-    seeded = src.sparkSession.sparkContext.broadcast(seeds)
+    seeded = src.sparkSession.sparkContext.broadcast((seeds, {} if least_share is None else index.holders()))
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix, chosen = shared.value, seeded.value
+        ix, (chosen, holders) = shared.value, seeded.value
+        present = np.zeros(len(ix.vocabulary) + 1, bool)  # the last place, -1, is that of foreign words and stays false
         own = {i: MATCH * max(1, len(c)) for i, c in ix.codes.items()}
         for b in batches:
             at, items_out, scores, shares, runs = [], [], [], [], []
             for i, (codes, grams) in enumerate(zip(b.column(1), b.column(2), strict=True)):
-                candidates = {item for g in grams.as_py() for item in chosen.get(g, ())}
-                if not candidates:
+                held = grams.as_py()
+                candidates = {item for g in held for item in chosen.get(g, ())}
+                others = {item for g in held for item in holders.get(g, ())} - candidates
+                if not candidates and not others:
                     continue
                 passage = np.array(codes.as_py(), np.int64)
+                if others:
+                    present[passage[passage >= 0]] = True
+                    others = [item for item in others if reach(present[ix.codes[item]]) >= least_share * own[item]]
+                    present[passage] = False
+                for item in others:
+                    present[ix.codes[item]] = True
+                    if reach(present[passage]) >= least_share * own[item]:
+                        candidates.add(item)
+                    present[ix.codes[item]] = False
                 for item in candidates:
                     score, longest = align(ix.codes[item], passage)
                     at.append(i)

@@ -60,6 +60,7 @@ def p6_merged_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONTAINER_TOKENS = 8192
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LEAK_WORDS = 12
+LEAK_SHARE = 0.5
 
 
 def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,8 +75,8 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("unused", F.lit(CONTAINER_TOKENS).cast("bigint") - F.col("used"))
 
 
-def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaked_items(spread(load(spark, sf_dir, "documents")), "doc_id", "text", load(spark, sf_dir, "eval_items"), "item_id", "text", LEAK_WORDS)
+def _leaks(spark: SparkSession, sf_dir: str, least_share: float | None = None) -> DataFrame:
+    return leaked_items(spread(load(spark, sf_dir, "documents")), "doc_id", "text", load(spark, sf_dir, "eval_items"), "item_id", "text", LEAK_WORDS, least_share)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,8 +85,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All seeded pairs that align over at least half an item, edited copies included."""
-    return _leaks(spark, sf_dir).where((F.col("share") >= 0.5) | (F.col("longest_run") >= LEAK_WORDS)).withColumn("share", F.round("share", 4))
+    """All pairs that align over at least half an item, edited copies included, or share twelve consecutive words."""
+    return _leaks(spark, sf_dir, LEAK_SHARE).where((F.col("share") >= LEAK_SHARE) | (F.col("longest_run") >= LEAK_WORDS)).withColumn("share", F.round("share", 4))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

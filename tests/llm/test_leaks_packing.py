@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from skirmish.llm import leaks, packing
-from skirmish.llm.leaks import ItemIndex, align, leaked_items, words_of
+from skirmish.llm.leaks import ItemIndex, align, leaked_items, reach, words_of
 from skirmish.llm.packing import complete, pack, pack_histogram, token_counts, tokenizer
 
 WORDS = [f"w{i}" for i in range(300)]
@@ -52,6 +52,24 @@ def test_alignment_survives_edits():
     assert align(a, np.full(5, 77)) == (0, 0) and align(np.array([], int), a) == (0, 0)
 
 
+def test_edited_copy_is_aligned_beside_verbatim_ones(spark):
+    item = WORDS[:40]
+    edited = [f"x{k}" if k % 8 == 7 else w for k, w in enumerate(item)]
+    docs = [(d, body(item)) for d in range(5)] + [(9, body(WORDS[200:230] + edited + WORDS[230:260])), (10, body(WORDS[100:130] + item[:6]))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    it = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(WORDS[100:140]))], "item_id bigint, text string")
+    out = {(r.doc_id, r.item_id): r for r in leaked_items(df, "doc_id", "text", it, "item_id", "text", 12, 0.5).collect()}
+    assert {k for k, r in out.items() if r.share >= 0.5} == {(d, 1) for d in (0, 1, 2, 3, 4, 9)} | {(10, 2)}
+    assert out[9, 1].longest_run == 7 and out[9, 1].score == 2 * 35 - 4
+
+
+def test_reach_bounds_the_alignment():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        a, b = rng.integers(0, 12, rng.integers(1, 30)), rng.integers(-1, 12, rng.integers(1, 30))
+        assert align(a, b)[0] <= min(reach(np.isin(a, b)), reach(np.isin(b, a)))
+
+
 def test_words_and_empty_index():
     assert words_of("Él_dijo: 3,5 Straße—ok") == ["él", "dijo", "3", "5", "straße", "ok"]
     assert len(ItemIndex([]).hits(np.arange(9))[0]) == 0
