@@ -10,7 +10,7 @@ from skirmish.operators.grammar import DAMAGE_LIKE, PET_TAG, RULES
 from skirmish.operators.owners import ownership_tags
 from skirmish.operators.parse import line_shape, parse_lines, parser_metrics, split_lines, unparsed_shapes
 from skirmish.plans import report
-from skirmish.plans.pipeline import analyze
+from skirmish.plans.pipeline import Battle, analyze
 from skirmish.session import cut_lineage, load, spread
 from skirmish.sources.logs import character_of, log_identity, retro_window, server_of
 
@@ -120,15 +120,21 @@ def t_crits(spark, sf_dir):
     return out.groupBy("is_critical").agg(F.count(F.lit(1)).alias("hits"), F.sum("amount").alias("damage"))
 
 
+def _battle(spark: SparkSession, sf_dir: str) -> Battle:
+    """The whole batch pipeline on the raw game logs and the split markers."""
+    marks = load(spark, sf_dir, "split_markers").where("kind = 0").select("log_id", "ts").distinct()
+    return analyze(game_lines(spark, sf_dir), splits=marks)
+
+
 def b_battle_encounters(spark, sf_dir):
     """The whole batch pipeline on the raw game logs: encounter headers."""
-    heads = analyze(game_lines(spark, sf_dir)).encounters
+    heads = _battle(spark, sf_dir).encounters
     return heads.withColumn("npc_damage", F.to_json("npc_damage"))
 
 
 def b_battle_fighters(spark, sf_dir):
     """The whole batch pipeline on the raw game logs: fighters of every encounter."""
-    ev = analyze(game_lines(spark, sf_dir)).events.where("enc_id is not null")
+    ev = _battle(spark, sf_dir).events.where("enc_id is not null")
     return report.fighters(report.credits(ev)).drop("first_seq", "fighter_key").withColumn("pets", F.array_join("pets", ","))
 
 

@@ -12,6 +12,7 @@ from skirmish.operators.encounters import FightMachine, build_encounters
 from skirmish.operators.owners import asof_last, with_owners
 from skirmish.operators.parse import parse_lines, parser_metrics, split_lines, unparsed_shapes
 from skirmish.operators.roster import Roster, learn_roster
+from skirmish.plans.parse_queries import b_battle_encounters, b_battle_fighters
 from skirmish.plans.pipeline import analyze
 from skirmish.plans.report import credits, defense_rollup, defenses, fighters, mobs, sources
 from skirmish.schema import Options
@@ -285,3 +286,14 @@ def test_reports_on_a_small_fight(spark):
 def test_empty_log(spark):
     b = analyze(spark.createDataFrame([], "log_id string, line_no int, raw string"))
     assert b.encounters.count() == 0 and b.events.count() == 0
+
+
+def test_battle_queries_apply_split_markers(spark, tmp_path):
+    lines = log(spark, [(s, "You crush a rat for 5 points of damage.") for s in (0, 5, 10, 15, 20, 25)])
+    lines.withColumn("file_path", F.lit("/logs/game/eqlog_Mira_ashfall.txt")).write.parquet(f"{tmp_path}/raw_lines.parquet")
+    at = [("Mira_ashfall", T0 + dt.timedelta(seconds=12), 0)] * 2 + [("Mira_ashfall", T0 + dt.timedelta(seconds=22), 1), ("Other_ashfall", T0, 0)]
+    spark.createDataFrame(at, "log_id string, ts timestamp, kind int").write.parquet(f"{tmp_path}/split_markers.parquet")
+    heads = b_battle_encounters(spark, str(tmp_path)).orderBy("enc_id").collect()
+    assert [r.end_reason for r in heads] == ["manual", "log_end"]
+    assert [str(r.start_ts)[-8:] for r in heads] == ["20:00:00", "20:00:15"]
+    assert {r.enc_id for r in b_battle_fighters(spark, str(tmp_path)).collect()} == {r.enc_id for r in heads}
