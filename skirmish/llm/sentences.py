@@ -1,8 +1,9 @@
 """Sentence boundaries across languages and scripts.
 
-A paragraph's possible boundaries form a lattice of gaps. In spaced scripts the
-gaps follow terminators, and a gap's neighbours (abbreviation, initial, number,
-case of the next word, open quotation) say whether it is a boundary. In
+In spaced scripts the possible boundaries follow terminators and are judged in one
+pass, without a lattice: a gap's neighbours (abbreviation, initial, number, case of
+the next word) and the quotation around it say whether it is a boundary. Only
+quotations and brackets that have both their ends in the paragraph count. In
 scripts without spaces or without terminators the text around a gap is first
 cut into words by the best path through a dictionary lattice, and the gap is
 judged by the final particle before it and the opening word behind it.
@@ -55,7 +56,42 @@ CJK_WORDS = frozenset("他 她 我 你 我们 他们 大家 小声 大声 又 
 
 OPENERS = "“«「『（(\\[{‘„‚〈《【"
 CLOSERS = "”»」』）)\\]}’“‘\"'›〉》】"
-_PAIRS = {"“": "”", "«": "»", "「": "」", "『": "』", "„": "“", "（": "）", "(": ")", "《": "》"}
+_PAIRS = {"“": "”", "«": "»", "「": "」", "『": "』", "„": "“”", "（": "）", "(": ")", "《": "》"}
+
+_BRACKET = re.compile("[" + re.escape("".join({*_PAIRS, *"".join(_PAIRS.values())})) + "]")
+_FACE = re.compile(r"[:;=]['’]?[-o^]?[()](?!\w)")
+
+
+def partners(text: str) -> dict[int, int]:
+    """Closing place -> opening place of the quotations and brackets of a paragraph that have both.
+
+    Faces such as ``:-(`` are no brackets; what opens within a pair and does not close
+    there has no partner, nor has what never closes.
+    """
+    faces = {m.end() - 1 for m in _FACE.finditer(text)}
+    out: dict[int, int] = {}
+    waiting: list[tuple[int, str]] = []
+    n_waiting = dict.fromkeys("".join(_PAIRS.values()), 0)
+    for m in _BRACKET.finditer(text):
+        i, ch = m.start(), m[0]
+        if i in faces:
+            continue
+        before = text[i - 1 : i]
+        inner = bool(before) and not before.isspace()  # what stands after a space does not close in a script with an opening twin
+        if n_waiting.get(ch) and (ch not in _PAIRS or inner):
+            while True:
+                opened, closers = waiting.pop()
+                for c in closers:
+                    n_waiting[c] -= 1
+                if ch in closers:
+                    break
+            out[i] = opened
+        elif ch in _PAIRS and not (ch == "«" and (before.isalnum() or before and before in ".!?…,")):  # »so« in German
+            waiting.append((i, _PAIRS[ch]))
+            for c in _PAIRS[ch]:
+                n_waiting[c] += 1
+    return out
+
 
 # ---- lattices ---------------------------------------------------------------------------------
 
@@ -207,33 +243,25 @@ def split_paragraph(text: str) -> list[str]:
     start = 0
     thai = bool(_THAI.search(text))
     cuts: list[int] = []
-    depth: list[str] = []
-    at = 0
-    opened: list[int] = []
+    opened = partners(text)
+    pairs = sorted((i, j) for j, i in opened.items())
+    at = 0  # the next pair
+    far = -1  # where the last pair that opened in this sentence closes
     for m in _CANDIDATE.finditer(text):
-        for i in range(at, m.start()):
-            ch = text[i]
-            if depth and ch == depth[-1]:
-                depth.pop()
-                opened.pop()
-            elif ch in _PAIRS:
-                depth.append(_PAIRS[ch])
-                opened.append(i)
+        while at < len(pairs) and pairs[at][0] < m.start():
+            far = max(far, pairs[at][1]) if pairs[at][0] >= start else far
+            at += 1
         end, led_in = m.end(1), False
         for ch in m[2]:
-            if depth and ch == depth[-1]:
-                depth.pop()
-                led_in = text[start : opened.pop()].rstrip()[-1:] in (":", "：", "，", ",")
+            if opened.get(end, -1) >= start:
+                led_in = text[start : opened[end]].rstrip()[-1:] in (":", "：", "，", ",")
             elif ch in "“‘":
                 break  # opens the next quotation
             end += 1
         space = m[3] if end == m.end(2) else ""
-        at = end
-        if _is_boundary(text, start, m, text[m.end(1) : end], end + len(space), space, bool(depth), led_in):
+        if _is_boundary(text, start, m, text[m.end(1) : end], end + len(space), space, far >= end, led_in):
             cuts.append(end + len(space))
-            start = at = end + len(space)
-            depth.clear()
-            opened.clear()
+            start, far = end + len(space), -1
     if thai:
         for g in re.finditer(" ", text):
             if _thai_gap(text[max(0, g.start() - 40) : g.start()], text[g.end() : g.end() + 40]):

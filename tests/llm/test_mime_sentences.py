@@ -118,3 +118,23 @@ def test_spark_operator(spark):
     got = sorted(((r.doc_id or 0), r.sentence) for r in message_sentences(df, "doc_id", "text").collect())
     assert got == [(0, "Xyz."), (1, "One two."), (1, "Three four."), (4, "Word here.")]
     assert message_sentences(df.limit(0), "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, n",
+    [
+        ("I lost the log :-( It was late. We go on. Bron came.", 3),
+        ("That hurts :( Again. We go on :) Bron came. He left.", 3),
+        ("See the list (page two. We go on. Bron came. He left.", 4),
+        ("He said “wait. We go on. Bron came. “Really?” she asked. He left.", 5),
+        ("Il dit « attends. On continue. Bron vient.", 3),
+        ("Er rief „Halt. Komm.” Dann ging er. Bron kam.", 3),
+        ("Er rief »Halt«. Dann ging er. Bron sagte »Komm«. Alle gingen.", 4),
+        ("他说“等等。我们走了。大家来了。", 3),
+        ("He wrote (it was late. We knew.) that day. Bron came.", 2),
+    ],
+)
+def test_openers_without_a_partner_block_nothing(text, n):
+    got = split_paragraph(text)
+    assert len(got) == n, got
+    assert "".join("".join(got).split()) == "".join(text.split())
