@@ -48,7 +48,15 @@ THAI_WORDS = frozenset(
     และ แต่ หรือ เพราะ ถ้า ว่า ของ กับ ให้ จาก นี้ นั้น วัน เรา ผม ดิฉัน ฉัน เขา มี เป็น อยู่ ต้อง ควร อะไร เมื่อ ทำไม อย่างไร เท่าไร ช่วย กรุณา โปรด ขอ ด้วย ความ นับถือ
     """.split()
 )
-THAI_OPENERS = frozenset("คุณ เรียน สวัสดี ขอบคุณ ใคร พบ ค่าเฉลี่ย บันทึก ถ้า แต่ เพราะ กรุณา โปรด ช่วย ทำไม เมื่อ".split())
+# Pronouns, demonstratives and time words open a sentence after a final; connectives after any word that can end one.
+THAI_OPENERS = frozenset(
+    """
+    คุณ เรียน สวัสดี ขอบคุณ ใคร พบ ค่าเฉลี่ย บันทึก ถ้า แต่ เพราะ กรุณา โปรด ช่วย ทำไม เมื่อ
+    ผม ดิฉัน ฉัน เรา พวกเรา เขา พวกเขา เธอ มัน ท่าน หนู นี่ นั่น วันนี้ พรุ่งนี้ เมื่อวาน เมื่อวานนี้ เมื่อคืน ตอนนี้ ขณะนี้ ปัจจุบัน ปีนี้ ปีที่แล้ว
+    """.split()
+)
+THAI_CONNECTIVES = frozenset("ดังนั้น เพราะฉะนั้น อย่างไรก็ตาม นอกจากนี้ นอกจากนั้น ทั้งนี้ จากนั้น หลังจากนั้น ต่อมา ในขณะเดียวกัน กล่าวคือ".split())
+THAI_OPEN_ENDS = frozenset("และ แต่ หรือ เพราะ ถ้า ว่า ของ กับ ให้ จาก ที่ ใน คือ จะ เมื่อ".split())
 # Words by which a Japanese or Chinese sentence goes on after a quotation it carries.
 JAPANESE_AFTER_QUOTE = frozenset("と って とは とか との という といい といって という は が を に の も で など".split())
 CHINESE_SPEECH = frozenset("问道 问 说道 说 道 喊道 喊 答道 答 回答 回答道 叫道 叫 写道 写 想 问我 告诉 表示".split())
@@ -128,24 +136,28 @@ def lattice_path(text: str, words: frozenset[str], longest: int = 10) -> list[st
 
 
 _THAI = re.compile("[฀-๿]")
-_THAI_LEXICON = THAI_FINALS | THAI_POLITE | THAI_WORDS
+_THAI_LEXICON = THAI_FINALS | THAI_POLITE | THAI_WORDS | THAI_OPENERS | THAI_CONNECTIVES
+_THAI_LONGEST = max(map(len, _THAI_LEXICON))
+_CONNECTIVES = tuple(THAI_CONNECTIVES)
 
 
 def _thai_gap(before: str, after: str) -> bool:
-    """Is the space between two runs of Thai text a boundary?"""
-    if not _THAI.match(before[-1]):
+    """Is the space between two runs of Thai text a boundary? Both are given up to their next space."""
+    if not before or not after or not _THAI.match(before[-1]):
         return False
-    last = lattice_path(before[-24:], _THAI_LEXICON)[-1]
+    last = lattice_path(before, _THAI_LEXICON, _THAI_LONGEST)[-1]
     if last in THAI_POLITE:
         return True
-    first = lattice_path(after[:24], _THAI_LEXICON)[0]
-    return last in THAI_FINALS and first in THAI_OPENERS
+    if last not in THAI_FINALS and (last in THAI_OPEN_ENDS or not after.startswith(_CONNECTIVES)):
+        return False
+    first = lattice_path(after, _THAI_LEXICON, _THAI_LONGEST)[0]
+    return first in THAI_CONNECTIVES or last in THAI_FINALS and first in THAI_OPENERS
 
 
 def _carries_on(after: str) -> bool:
     """Does the sentence go on behind a quotation that closed with a terminator (no space between)?"""
     clause = re.split("[。！？，、；：“「.!?]", after, maxsplit=1)[0]
-    words = lattice_path(clause[:40], CJK_WORDS, 4)
+    words = lattice_path(clause, CJK_WORDS, 4)
     if not words:
         return after[:1] in "，、；：,"
     return words[0] in JAPANESE_AFTER_QUOTE or any(w in CHINESE_SPEECH for w in words)
@@ -264,7 +276,8 @@ def split_paragraph(text: str) -> list[str]:
             start, far = end + len(space), -1
     if thai:
         for g in re.finditer(" ", text):
-            if _thai_gap(text[max(0, g.start() - 40) : g.start()], text[g.end() : g.end() + 40]):
+            ends = text.find(" ", g.end())
+            if _thai_gap(text[text.rfind(" ", 0, g.start()) + 1 : g.start()], text[g.end() : ends if ends >= 0 else len(text)]):
                 cuts.append(g.end())
         cuts = sorted(set(cuts))
     start = 0

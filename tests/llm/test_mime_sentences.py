@@ -138,3 +138,17 @@ def test_openers_without_a_partner_block_nothing(text, n):
     got = split_paragraph(text)
     assert len(got) == n, got
     assert "".join("".join(got).split()) == "".join(text.split())
+
+
+@pytest.mark.parametrize(
+    "text, n",
+    [
+        ("งานเสร็จแล้ว เขากลับบ้านแล้ว ผมยังอยู่แล้ว เรารอ", 4),
+        ("บริษัทรายงานผลประกอบการ ดังนั้นราคาหุ้นสูงขึ้น นอกจากนี้ยังมีเงินปันผล", 3),
+        ("เขากล่าวว่า ดังนั้นต้องรอ", 1),
+        ("“还要再来一次吗？”" + "站在门口的那个穿着红色外套的高个子年轻人转过身来看着所有在场的客人和他们的孩子以及远处的山" + "问道。他走了。", 2),
+    ],
+)
+def test_openers_and_whole_runs(text, n):
+    got = split_paragraph(text)
+    assert len(got) == n, got
