@@ -2,7 +2,9 @@
 
 Which layouts a file uses is counted, not configured. A line opens an entry when
 a stamp notation reads it, the stamp exists, and enough of the file's heads have
-that layout. Everything else (outliers, quoted or indented copies, stack traces,
+that layout. Known layouts are patterns; behind other stamps a template per file,
+counted from the words at each position, says where level and component stand.
+Everything else (outliers, quoted or indented copies, stack traces,
 stamps of foreign layouts) falls back to continuing the entry before it.
 """
 
@@ -71,6 +73,17 @@ NOTATIONS = [
     # any other layout that begins with an ISO stamp: level by vocabulary, component the next word
     Notation("iso_any", rf"(?i)^\[?{_ISO}(?: ?(?:Z|[+-]\d\d:?\d\d))?\]?[ |-]+\[?({_LEVEL})\b[\]:]?[ |-]+<?([\w.$-]+)", ("y", "mo", "d", "h", "mi", "s", "level", "component"), "[\\[0-9]", ':'),
 ]
+# Stamps that head a layout no notation knows; its level and component are mined per file.
+_CLOSE = r"(?:[.,]\d+)?(?: ?(?:Z|UTC|GMT|[+-]\d\d:?\d\d))?[\])>]?(?=[\s|:,;-]|$)"
+STAMPS = [
+    Notation("stamp_ymd", rf"^[\[(<]?(\d{{4}})[-/.](\d\d?)[-/.](\d\d?)[T ](\d\d?):(\d\d):(\d\d){_CLOSE}", ("y", "mo", "d", "h", "mi", "s"), "[\\[(<0-9]", ":"),
+    Notation("stamp_dmony", rf"^[\[(<]?(\d\d?)[-/ ]({_MON})[-/ ](\d{{4}})[: ](\d\d):(\d\d):(\d\d){_CLOSE}", ("d", "mon", "y", "h", "mi", "s"), "[\\[(<0-9]", ":"),
+    Notation("stamp_dmy", rf"^[\[(<]?(\d\d?)\.(\d\d?)\.(\d{{4}}),? (\d\d?):(\d\d):(\d\d){_CLOSE}", ("d", "mo", "y", "h", "mi", "s"), "[\\[(<0-9]", ":"),
+    Notation("stamp_mdy", rf"^[\[(<]?(\d\d?)/(\d\d?)/(\d{{4}}),? (\d\d?):(\d\d):(\d\d)(?: ([AP]M))?{_CLOSE}", ("mo", "d", "y", "h", "mi", "s", "ap"), "[\\[(<0-9]", ":"),
+]
+JSON_KEYS = ["ts", "time", "timestamp", "severity", "level", "logger", "component", "message", "msg"]
+SLOT_WORDS = 6
+SLOT_SHARE = 0.9
 _PARTS = ["y", "mo", "d", "h", "mi", "s", "ap", "mon", "wd", "ms", "level", "component"]
 
 
@@ -91,13 +104,71 @@ def _read(text: Column) -> Column:
     sep = "\u0001"
     out = F.lit(None).cast("string")
     first = F.substring(text, 1, 1)
-    for n in reversed(NOTATIONS):
+    for n in reversed(NOTATIONS + STAMPS):
         template = sep.join(f"${n.fields.index(p) + 1}" if p in n.fields else "" for p in _PARTS)
         rewritten = F.regexp_replace(text, f"(?s){n.pattern}.*$" if not n.pattern.startswith("(?i)") else f"(?is){n.pattern[4:]}.*$", template)
         out = F.when(first.rlike(n.first) & text.contains(n.need) & text.rlike(n.pattern), F.concat(rewritten, F.lit(sep + n.name))).otherwise(out)
     return F.split(out, sep)
 
 
+def _behind_stamp(text: Column) -> Column:
+    """What follows the stamp of a layout in STAMPS."""
+    return F.regexp_replace(text, "|".join(f"(?:{n.pattern})" for n in STAMPS), "")
+
+
+def _words_behind(text: Column) -> Column:
+    """The first words behind the stamp."""
+    return F.slice(F.split(F.regexp_replace(F.substring(_behind_stamp(text), 1, 400), r"^[\s|:,;-]+", ""), r"[\s|]+(?:-+[\s|]+)?"), 1, SLOT_WORDS)
+
+
+def _bare(word: Column) -> Column:
+    return F.regexp_replace(word, r"^[\[(<]+|[\])>:,;]+$", "")
+
+
+def _slots(heads: DataFrame) -> DataFrame:
+    """``log_id, notation, level_at, component_at``: templates of the layouts in STAMPS, one per file and stamp.
+
+    Words are counted by position behind the stamp. The level stands where nearly all words are
+    level words; the component where nearly all are names set off by brackets or a colon.
+    """
+    known = [w for ws in LEVELS.values() for w in ws if len(w) > 1]
+    at = heads.where("words is not null").select("log_id", "notation", F.posexplode("words").alias("pos", "word"))
+    level = F.lower(_bare(F.col("word"))).isin(known)
+    named = F.col("word").rlike(r"^(?:\[[\w.$/-]+\]|<[\w.$/-]+>|\([\w.$/-]+\)|[A-Za-z_][\w.$/-]*(?:\[\d+\])?):?$") & F.col("word").rlike(r"[\])>:]$") & ~level
+    counts = at.groupBy("log_id", "notation", "pos").agg(F.count(F.lit(1)).alias("n"), F.count_if(level).alias("levels"), F.count_if(named).alias("names"))
+    # every head has a word at position 0
+    total = F.max(F.when(F.col("pos") == 0, F.col("n"))).over(Window.partitionBy("log_id", "notation"))
+    shares = counts.withColumn("total", total)
+    return shares.groupBy("log_id", "notation").agg(
+        F.min(F.when(F.col("levels") >= SLOT_SHARE * F.col("total"), F.col("pos"))).alias("level_at"),
+        F.min(F.when(F.col("names") >= SLOT_SHARE * F.col("total"), F.col("pos"))).alias("component_at"),
+    )
+
+
+def without_head(text: Column, notation: Column, slots: Column) -> Column:
+    """The message of an opening line: what its layout does not print as stamp, level or component.
+
+    A JSON line with more keys than JSON_KEYS stays as printed, as does what a logfmt line has beside its msg.
+    """
+    rest = _behind_stamp(text)
+    rest = F.regexp_replace(F.regexp_replace(rest, r"^[\s|:,;-]+", ""), F.concat(F.lit(r"^(?:\S+(?:[\s|]+(?:-+[\s|]+)?|$)){"), F.coalesce(slots, F.lit(0)).cast("string"), F.lit("}")), F.lit(""))
+    out = F.ltrim(rest)
+    for n in NOTATIONS:
+        cut = F.regexp_replace(text, n.pattern, "")
+        if n.name == "json":
+            told = F.coalesce(*[F.get_json_object(text, f"$.{k}") for k in ("message", "msg")])
+            more = F.size(F.array_except(F.json_object_keys(text), F.array(*[F.lit(k) for k in JSON_KEYS]))) > 0
+            cut = F.when(told.isNull() | more, text).otherwise(told)
+        elif n.name == "logfmt":
+            cut = F.regexp_replace(cut, r"^(?:(?:level|component)=\S+ ?){1,2}", "")
+            quoted = r'^(?:msg|message)="((?:[^"\\]|\\.)*)"$'
+            cut = F.when(cut.rlike(quoted), F.regexp_replace(F.regexp_extract(cut, quoted, 1), r'\\(["\\])', "$1")).otherwise(F.regexp_replace(cut, r"^(?:msg|message)=([^\s\"]*)$", "$1"))
+        elif n.name == "iso_any":
+            cut = F.regexp_replace(cut, r"^[\]>:|\s-]+", "")
+        out = F.when(notation == n.name, F.ltrim(cut)).otherwise(out)
+    return out
+
+
 def _number(names: list[str], c: Column) -> Column:
     m = F.create_map(*[x for i, n in enumerate(names, 1) for x in (F.lit(n), F.lit(i))])
     return F.element_at(m, c)
@@ -148,35 +219,42 @@ def position_words(lines: DataFrame) -> DataFrame:
 
 
 def entry_heads(lines: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """``log_id, line_no, entry_ts, log_level, component``: the lines that open an entry, each once.
+    """``log_id, line_no, entry_ts, log_level, component, notation, slots``: the lines that open an entry, each once.
 
     Reading heads is a projection over the scan; only lines that read as a head go on, without
     their text, and are written to the shared folder once. They keep their place if their file uses
     their layout: ``support`` of the file's heads have it, or LEAST_HEADS of them. So neither long
     entries nor what varies in a stamp (width of the day, name of the month) cost a layout its
-    lines. A semi-join with the layouts in use (a few per file), salted by line number because a
+    lines. Level and component of a layout in STAMPS come from its file's template; ``slots`` is the
+    number of words that take them. A join with the layouts in use (a few per file), salted by line number because a
     file may hold a third of all lines.
     """
     src = lines.select("log_id", "file_path", F.col("line_no").cast("int").alias("line_no"), F.coalesce("raw", F.lit("")).alias("raw")).where("log_id is not null and line_no is not null")
     text = staged(src, {"text": clean_line(F.col("raw"))}).drop("raw")
-    read = read_heads(text, "text", "file_path").where("entry_ts is not null")
-    once = read.groupBy("log_id", "line_no").agg(F.min(F.struct("entry_ts", "log_level", "component", "notation")).alias("h"))
+    words = F.when(F.col("notation").isin([n.name for n in STAMPS]), _words_behind(F.col("text")))
+    read = read_heads(text, "text", "file_path").where("entry_ts is not null").withColumn("words", words)
+    once = read.groupBy("log_id", "line_no").agg(F.min(F.struct("entry_ts", "log_level", "component", "notation", "words")).alias("h"))
     heads = cut_lineage(once.select("log_id", "line_no", "h.*"))
     counts = heads.groupBy("log_id", "notation").agg(F.count(F.lit(1)).alias("n"))
     n_heads = counts.groupBy("log_id").agg(F.sum("n").alias("n_heads"))
     salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt")
-    used = counts.join(n_heads, "log_id").where((F.col("n") >= LEAST_HEADS) | (F.col("n") >= support * F.col("n_heads"))).select("log_id", "notation", salts)
+    used = counts.join(n_heads, "log_id").where((F.col("n") >= LEAST_HEADS) | (F.col("n") >= support * F.col("n_heads"))).select("log_id", "notation")
+    used = used.join(_slots(heads), ["log_id", "notation"], "left").select("*", salts)
     salted = heads.withColumn("salt", F.pmod("line_no", F.lit(SALTS)))
-    return salted.join(used, ["log_id", "notation", "salt"], "left_semi").select("log_id", "line_no", "entry_ts", "log_level", "component")
+    levels = F.create_map(*[x for level, ws in LEVELS.items() for w in ws for x in (F.lit(w), F.lit(level))])
+    level = F.coalesce(F.element_at(levels, F.lower(_bare(F.get("words", F.col("level_at"))))), F.col("log_level"))
+    component = F.coalesce(F.regexp_replace(_bare(F.get("words", F.col("component_at"))), r"\[\d+$", ""), F.col("component"))
+    slots = (F.coalesce(F.greatest("level_at", "component_at"), F.lit(-1)) + 1).alias("slots")
+    return salted.join(used, ["log_id", "notation", "salt"]).select("log_id", "line_no", "entry_ts", level.alias("log_level"), component.alias("component"), "notation", slots)
 
 
-def log_entries(lines: DataFrame, support: float = SUPPORT, with_message: bool = True) -> DataFrame:
+def log_entries(lines: DataFrame, support: float = SUPPORT, with_message: bool = True, cut_head: bool = False) -> DataFrame:
     """One row per entry: ``log_id, first_line, last_line, entry_ts, log_level, component[, message]``.
 
     ``lines`` has ``log_id, file_path, line_no, raw``. An entry runs to the line before the next
     one of its file or to the file's last line; lines before the first entry belong to none. The
-    message is the opening line as printed followed by the lines that continue it, joined by
-    line feeds. Repeated keys count once (the smallest text); a null text is an empty line; rows
+    message is the opening line as printed (with ``cut_head`` without stamp, level and component)
+    followed by the lines that continue it, joined by line feeds. Repeated keys count once (the smallest text); a null text is an empty line; rows
     without a log_id or line_no are dropped; an empty table gives no rows.
 
     Windows run per (file, chunk of LINES_PER_CHUNK lines), so a file that holds a third of
@@ -199,7 +277,9 @@ def log_entries(lines: DataFrame, support: float = SUPPORT, with_message: bool =
         return entries
     body = lines.where("log_id is not null and line_no is not null").select("log_id", F.col("line_no").cast("int").alias("line_no"), clean_line(F.coalesce("raw", F.lit(""))).alias("text"))
     body = body.groupBy("log_id", chunk, "line_no").agg(F.min("text").alias("text"))
-    opened = body.join(heads.select("log_id", "chunk", "line_no", F.col("line_no").alias("start")), ["log_id", "chunk", "line_no"], "left")
+    opened = body.join(heads.select("log_id", "chunk", "line_no", F.col("line_no").alias("start"), "notation", "slots"), ["log_id", "chunk", "line_no"], "left")
+    if cut_head:
+        opened = opened.withColumn("text", F.when(F.col("start").isNull(), F.col("text")).otherwise(without_head(F.col("text"), F.col("notation"), F.col("slots"))))
     carried = heads.groupBy("log_id", "chunk").agg(F.max("line_no").alias("last_start"))
     every = body.select("log_id", "chunk").distinct().join(carried, ["log_id", "chunk"], "left")
     earlier = later.rowsBetween(Window.unboundedPreceding, -1)

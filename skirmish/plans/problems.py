@@ -89,8 +89,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same entries with their whole message text."""
-    return log_entries(load(spark, sf_dir, "raw_lines")).withColumn("entry_ts", stamp_text("entry_ts"))
+    """The same entries with their whole message text, heads cut off."""
+    return log_entries(load(spark, sf_dir, "raw_lines"), cut_head=True).withColumn("entry_ts", stamp_text("entry_ts"))
 
 
 _SQL_NAME = "lower(regexp_replace(trim(regexp_replace({0}, ' +', ' ', 'g')), '[''`]s corpse$', '', 'i'))"

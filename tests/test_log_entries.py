@@ -71,3 +71,23 @@ def test_json_heads_with_a_late_time_key(spark):
     got = log_entries(spark.createDataFrame(rows, schema), with_message=False).collect()
     assert sorted((r.log_id, r.first_line) for r in got) == [("log0", i + 1) for i in range(12)] + [("log1", i + 1) for i in range(10)]
     assert {(r.log_level, r.component) for r in got if r.log_id == "log0"} == {("warn", "net")}
+
+
+def test_layouts_outside_the_notations_are_mined(spark):
+    slashes = [x for i in range(30) for x in (f"2019/03/04 01:00:{i:02d} {['INFO', 'WARN'][i % 2]} disk: low {i}", "  at y")]
+    web = [f"[04/Mar/2019:01:00:{i:02d} +0000] [web{i % 3}] error GET /x {i}" for i in range(30)]
+    rows, schema = _lines(spark, {"/logs/h/2019/a.log": slashes, "/logs/h/2019/b.log": web, "/logs/h/2019/c.log": APP[:3] + [APP[5]]})
+    got = {(r.log_id, r.first_line): (str(r.entry_ts), r.log_level, r.component, r.message) for r in log_entries(spark.createDataFrame(rows, schema), cut_head=True).collect()}
+    assert len(got) == 30 + 30 + 2
+    assert got["log0", 3] == ("2019-03-04 01:00:01", "warn", "disk", "low 1\n  at y")
+    assert got["log1", 5] == ("2019-03-04 01:00:04", "error", "web1", "GET /x 4")
+    assert got["log2", 1] == ("2019-03-04 01:00:00", "warn", "disk", "low\nKiln.Fault: boom\n   at Kiln.Run()")
+    assert got["log2", 4][3] == "x"
+
+
+def test_messages_of_key_value_lines_lose_nothing(spark):
+    line = '{"ts":"2019-03-04T01:00:00Z","level":"info","logger":"net","message":"say \\"a\\""%s}'
+    head = "time=2019-03-04T01:00:10Z component=zone level=info "
+    rows, schema = _lines(spark, {"/logs/h/2019/a.log": [line % "", line % ',"took":3', head + 'msg="say \\"a\\""', head + 'msg="x" took=3']})
+    got = [r.message for r in log_entries(spark.createDataFrame(rows, schema), cut_head=True).orderBy("first_line").collect()]
+    assert got == ['say "a"', line % ',"took":3', 'say "a"', 'msg="x" took=3']
