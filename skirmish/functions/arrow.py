@@ -32,20 +32,29 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
 
     Only the last, possibly unfinished group is carried to the next batch.
     """
-    rest: pa.Table | None = None
+    rest: list[pa.Table] = []
     for b in batches:
         if not b.num_rows:
             continue
         t = pa.Table.from_batches([b])
-        if rest is not None:
-            t = pa.concat_tables([rest, t])
-        starts = np.flatnonzero(change_flags(t, keys))
+        # the last row before tells whether the batch goes on with the group that is kept back
+        seam = pa.concat_tables([rest[-1].slice(rest[-1].num_rows - 1), t]) if rest else t
+        starts = np.flatnonzero(change_flags(seam, keys)) - (1 if rest else 0)
         cut = int(starts[-1])
-        rest = t.slice(cut)
-        if cut:
-            yield t.slice(0, cut).combine_chunks(), starts[:-1], starts[1:]
-    if rest is not None and rest.num_rows:
-        yield rest.combine_chunks(), np.array([0]), np.array([rest.num_rows])
+        if cut < 0:
+            rest.append(t)
+            continue
+        kept = sum(x.num_rows for x in rest)
+        whole = pa.concat_tables([*rest, t.slice(0, cut)]).combine_chunks()
+        rest = [t.slice(cut)]
+        if whole.num_rows:
+            first = [0] if kept else []
+            inner = starts[starts >= 0] + kept
+            borders = np.array([*first, *inner.tolist()], dtype=np.int64)
+            yield whole, borders[:-1], borders[1:]
+    if rest:
+        last = pa.concat_tables(rest).combine_chunks()
+        yield last, np.array([0]), np.array([last.num_rows])
 
 
 def rows_of(table: pa.Table, schema: pa.Schema) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ from skirmish.session import cut_lineage
 
 @dataclass
 class Battle:
-    """Results of a batch run; all frames are lazy, events and outcomes are written once."""
+    """Results of a batch run. Outcomes, events and folds are written while it is built; the rest is lazy."""
 
     outcomes: DataFrame
     events: DataFrame
@@ -42,6 +42,5 @@ def analyze(lines: DataFrame, options: Options | None = None, splits: DataFrame
     events = cut_lineage(classify(flagged, roster, final_owners(tags)))
     zones = outcomes.where("outcome = 'zone'").select("log_id", "ts", "line_no", "zone")
     headers, assigned = build_encounters(events, zones, splits, opt)
-    headers, assigned = cut_lineage(headers), cut_lineage(assigned)
     placed = events.join(assigned, ["log_id", "line_no"], "left")
     return Battle(outcomes, placed, headers, tags, roster)
