@@ -1,17 +1,19 @@
 """Mixed program logs into entries: stamp, level, component, message.
 
-Which layouts a file uses is counted, not configured. A line opens an entry when
-a stamp notation reads it, the stamp exists, and enough of the file's heads have
-that layout. Known layouts are patterns; behind other stamps a template per file,
-counted from the words at each position, says where level and component stand.
-Everything else (outliers, quoted or indented copies, stack traces,
-stamps of foreign layouts) falls back to continuing the entry before it.
+Layouts are mined, only the notation of stamps is known beforehand. The words and marks around
+the stamps of a file are counted by position, and frequent ones become the templates of the
+file's programs: what is constant there are marks, what varies are slots (level by
+vocabulary, component by its place). JSON and key=value lines are counted by key
+instead of by place. Lines that fit no template of their file get one by its marks alone;
+everything else (quoted or indented copies, stack traces, stamps that do not exist) continues
+the entry before it.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections import Counter, defaultdict
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,14 +21,17 @@ from skirmish.functions.times import from_wall_seconds
 from skirmish.functions.staging import staged
 from skirmish.session import cut_lineage
 
-HEAD_WORDS = 8
 # A file uses a layout that this share of its heads has, or this many of them.
 SUPPORT = 0.01
 LEAST_HEADS = 20
+# A branch of a template is followed if its continuations hold WHOLE of its lines, each at least BRANCH of them.
+WHOLE = 0.9
+BRANCH = 0.05
 LINES_PER_CHUNK = 65_536
 SALTS = 16
 
-# Month and weekday abbreviations, and the level words of logging libraries.
+# Month and weekday abbreviations, the level words of logging libraries, and the usual
+# names of keys, tried in this order.
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 WEEKDAYS = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
 LEVELS = {
@@ -37,54 +42,45 @@ LEVELS = {
     "error": ["error", "err", "e", "severe"],
     "fatal": ["fatal", "ftl", "critical", "crit", "crt", "f", "emerg", "alert", "panic"],
 }
+STAMP_KEYS = ["ts", "time", "timestamp", "@timestamp", "datetime", "date", "at", "t"]
+LEVEL_KEYS = ["level", "severity", "lvl", "loglevel", "priority"]
+COMPONENT_KEYS = ["component", "logger", "module", "service", "source", "app", "program", "unit", "name", "category", "class", "caller"]
+MESSAGE_KEYS = ["message", "msg", "text", "event"]
+
+_LONG = [w for ws in LEVELS.values() for w in ws if len(w) > 1]
+_LETTERS = [w.upper() for ws in LEVELS.values() for w in ws if len(w) == 1]
 _MON = "|".join(MONTHS)
 _DAY = "|".join(WEEKDAYS)
-_LEVEL = "|".join(sorted((w for ws in LEVELS.values() for w in ws if len(w) > 1), key=len, reverse=True))
-_ISO = r"(\d{4})-(\d\d)-(\d\d)[T ](\d\d):(\d\d):(\d\d)(?:[.,]\d+)?"
-
-
-@dataclass(frozen=True)
-class Notation:
-    """How a layout prints its head; fields name the groups of ``pattern`` in order.
-
-    ``first`` is a pattern of the first character and ``need`` a substring of every such
-    line; both are tested before the pattern.
-    """
-
-    name: str
-    pattern: str
-    fields: tuple[str, ...]
-    first: str
-    need: str = ""
-
-
-# Layout notations, most specific first. Field names: y mo d h mi s ap (AM/PM), mon (month name),
-# wd (weekday name), ms (epoch milliseconds), level, component. A missing year comes from the path.
-NOTATIONS = [
-    Notation("bracketed_ctime", rf"^\[({_DAY}) ({_MON}) ([ \d]\d) (\d\d):(\d\d):(\d\d) (\d{{4}})\](?: |$)", ("wd", "mon", "d", "h", "mi", "s", "y"), "\\[", ']'),
-    Notation("pipes_12h", r"^(\d\d)/(\d\d)/(\d{4}) (\d\d):(\d\d):(\d\d) ([AP]M) \| (\w+) \| ([^|]*?) \|(?: |$)", ("mo", "d", "y", "h", "mi", "s", "ap", "level", "component"), "[0-9]", 'M | '),
-    Notation("iso_angle", rf"^{_ISO} ?(?:Z|[+-]\d\d:?\d\d)? \[(\w+)\] <([^>]*)>(?: |$)", ("y", "mo", "d", "h", "mi", "s", "level", "component"), "[0-9]", '] <'),
-    Notation("iso_thread", rf"^{_ISO} (\w+) +\[[^\]]*\] (\S+) -(?: |$)", ("y", "mo", "d", "h", "mi", "s", "level", "component"), "[0-9]", '['),
-    Notation("logfmt", rf"^time=\"?{_ISO}\S* (?=(?:component=\S+ )?level=(\w+))(?=(?:level=\w+ )?component=(\S+))", ("y", "mo", "d", "h", "mi", "s", "level", "component"), "t", ' level='),
-    Notation("epoch_tag", r"^(\d{13}) ([A-Z])/(.*?)\( *\d+\):(?: |$)", ("ms", "level", "component"), "[0-9]", '('),
-    Notation("json", rf"^\{{(?=.*?\"(?:ts|time|timestamp)\":\"{_ISO})(?=.*?\"(?:severity|level)\":\"(\w+)\")(?=.*?\"(?:logger|component)\":\"([^\"\\]*+)\")", ("y", "mo", "d", "h", "mi", "s", "level", "component"), "\\{", '":"'),
-    Notation("colons", rf"^([A-Z]+):([^:]*):(\d\d)-({_MON})-(\d{{4}}) (\d\d):(\d\d):(\d\d):(?: |$)", ("level", "component", "d", "mon", "y", "h", "mi", "s"), "[A-Z]", ':'),
-    Notation("syslog", rf"^({_MON}) ([ \d]\d) (\d\d):(\d\d):(\d\d) \S+ ([^\s\[:]+)(?:\[\d+\])?:(?: |$)", ("mon", "d", "h", "mi", "s", "component"), "[A-Z]", ':'),
-    # any other layout that begins with an ISO stamp: level by vocabulary, component the next word
-    Notation("iso_any", rf"(?i)^\[?{_ISO}(?: ?(?:Z|[+-]\d\d:?\d\d))?\]?[ |-]+\[?({_LEVEL})\b[\]:]?[ |-]+<?([\w.$-]+)", ("y", "mo", "d", "h", "mi", "s", "level", "component"), "[\\[0-9]", ':'),
-]
-# Stamps that head a layout no notation knows; its level and component are mined per file.
-_CLOSE = r"(?:[.,]\d+)?(?: ?(?:Z|UTC|GMT|[+-]\d\d:?\d\d))?[\])>]?(?=[\s|:,;-]|$)"
+# The notations of stamps; field names: y mo d h mi s, yy (year of two digits), ap (AM/PM), mon (month
+# name), wd (weekday name), ms and es (epoch milliseconds and seconds). A missing year comes from the path.
 STAMPS = [
-    Notation("stamp_ymd", rf"^[\[(<]?(\d{{4}})[-/.](\d\d?)[-/.](\d\d?)[T ](\d\d?):(\d\d):(\d\d){_CLOSE}", ("y", "mo", "d", "h", "mi", "s"), "[\\[(<0-9]", ":"),
-    Notation("stamp_dmony", rf"^[\[(<]?(\d\d?)[-/ ]({_MON})[-/ ](\d{{4}})[: ](\d\d):(\d\d):(\d\d){_CLOSE}", ("d", "mon", "y", "h", "mi", "s"), "[\\[(<0-9]", ":"),
-    Notation("stamp_dmy", rf"^[\[(<]?(\d\d?)\.(\d\d?)\.(\d{{4}}),? (\d\d?):(\d\d):(\d\d){_CLOSE}", ("d", "mo", "y", "h", "mi", "s"), "[\\[(<0-9]", ":"),
-    Notation("stamp_mdy", rf"^[\[(<]?(\d\d?)/(\d\d?)/(\d{{4}}),? (\d\d?):(\d\d):(\d\d)(?: ([AP]M))?{_CLOSE}", ("mo", "d", "y", "h", "mi", "s", "ap"), "[\\[(<0-9]", ":"),
-]
-JSON_KEYS = ["ts", "time", "timestamp", "severity", "level", "logger", "component", "message", "msg"]
-SLOT_WORDS = 6
-SLOT_SHARE = 0.9
-_PARTS = ["y", "mo", "d", "h", "mi", "s", "ap", "mon", "wd", "ms", "level", "component"]
+    (rf"({_DAY}),? ({_MON}) ([ \d]?\d) (\d\d):(\d\d):(\d\d)(?: [A-Z]{{3,4}})? (\d{{4}})", ("wd", "mon", "d", "h", "mi", "s", "y")),
+    (r"(\d{4})[-/.](\d\d?)[-/.](\d\d?)[T ](\d\d?):(\d\d):(\d\d)", ("y", "mo", "d", "h", "mi", "s")),
+    (r"(\d{4})(\d\d)(\d\d)[T -](\d\d):?(\d\d):?(\d\d)", ("y", "mo", "d", "h", "mi", "s")),
+    (rf"(\d\d?)[-/ ]({_MON})[-/ ](\d{{4}})[: ](\d\d?):(\d\d):(\d\d)", ("d", "mon", "y", "h", "mi", "s")),
+    (r"(\d\d?)/(\d\d?)/(\d{4}),? (\d\d?):(\d\d):(\d\d)(?: ([AP]M))?", ("mo", "d", "y", "h", "mi", "s", "ap")),
+    (r"(\d\d?)\.(\d\d?)\.(\d{4}),? (\d\d?):(\d\d):(\d\d)", ("d", "mo", "y", "h", "mi", "s")),
+    (r"(\d\d)/(\d\d)/(\d\d) (\d\d):(\d\d):(\d\d)", ("yy", "mo", "d", "h", "mi", "s")),
+    (rf"({_MON}) {{1,2}}(\d\d?)(?:,? (\d{{4}}))?,? (\d\d):(\d\d):(\d\d)", ("mon", "d", "y", "h", "mi", "s")),
+    (r"(\d{13})", ("ms",)),
+    (r"(\d{10})", ("es",)),
+]
+_PARTS = ["y", "yy", "mo", "d", "h", "mi", "s", "ap", "mon", "wd", "ms", "es"]
+_SEP = "\u0001"
+_CORE = "(?:" + "|".join(p for p, _ in STAMPS) + ")"
+_TAIL = r"(?:[.,]\d+)?(?: ?(?:Z|UTC|GMT|[+-]\d\d:?\d\d)(?![\p{L}\p{N}]))?(?![\p{L}\p{N}])"
+# What may stand before a stamp: a level, the three words of an access log, one run of marks and words.
+_BEFORE = rf"(?![\s>\"'`|])((?:[\[(<]?(?:{'|'.join(w.upper() for w in _LONG)})[\])>]?[:|,-]? +)?(?:\S+ \S+ \S+ (?=\[))?\S*?(?<![\p{{L}}\p{{N}}]))"
+_HEAD = f"(?s)^{_BEFORE}({_CORE}){_TAIL}(.*)$"
+_WHOLE_STAMP = f"^{_CORE}{_TAIL}$"
+_WORD = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_.$@+-]*[\p{L}\p{N}_$])?"
+_MARK = r"[\[\](){}<>|:;,=/#*-]"
+# Behind a stamp: words, at most two between marks, and the first words of what follows.
+_REGION = rf"^(?:\s*+(?:{_WORD}(?:\s++{_WORD})?)?+\s*+{_MARK})*+(?:\s*+{_WORD}){{0,2}}"
+_PAIR = r"([A-Za-z_@][\w.@-]*)=(\"(?:[^\"\\]|\\.)*+\"|[^\s\"]*+)"
+_CLOSERS = frozenset("])>|:-;,")
+_ENDS = frozenset(":-")
+STAMP = "\u0002"
 
 
 def clean_line(raw: Column) -> Column:
@@ -94,158 +90,298 @@ def clean_line(raw: Column) -> Column:
     return F.when(raw.contains("\x1b") | raw.startswith("\ufeff") | raw.endswith("\r"), plain).otherwise(raw)
 
 
-def head_words(text: Column) -> Column:
-    """The first words of a line with digits masked."""
-    return F.slice(F.split(F.translate(F.substring(text, 1, 200), "123456789", "000000000"), r"[\s:=\",|<>\[\](){}/]+"), 1, HEAD_WORDS)
+def _number(names: list[str], c: Column) -> Column:
+    m = F.create_map(*[x for i, n in enumerate(names, 1) for x in (F.lit(n), F.lit(i))])
+    return F.element_at(m, c)
+
 
+def _taken_apart(text: Column) -> Column:
+    """``[before, parts in _PARTS order.., stamp, behind]`` of a line that begins with a stamp; null otherwise."""
+    group, where = 3, defaultdict(list)
+    for _, fields in STAMPS:
+        for f in fields:
+            where[f].append(f"${group}")
+            group += 1
+    # of the alternatives only the one that matched has text in its groups
+    template = _SEP.join(["$1", *["".join(where[p]) for p in _PARTS], "$2", f"${group}"])
+    told = F.regexp_replace(text, _HEAD, template)
+    return F.when(F.substring(text, 1, 1).rlike(r"[^\s>\"'`|]") & text.rlike(r"\d:\d\d|\d{10}|\dT\d{6}") & ~text.contains(_SEP) & told.contains(_SEP), F.split(told, _SEP))
 
-def _read(text: Column) -> Column:
-    """Head parts as an array in _PARTS order plus notation name; null where no notation reads the line."""
-    sep = "\u0001"
-    out = F.lit(None).cast("string")
-    first = F.substring(text, 1, 1)
-    for n in reversed(NOTATIONS + STAMPS):
-        template = sep.join(f"${n.fields.index(p) + 1}" if p in n.fields else "" for p in _PARTS)
-        rewritten = F.regexp_replace(text, f"(?s){n.pattern}.*$" if not n.pattern.startswith("(?i)") else f"(?is){n.pattern[4:]}.*$", template)
-        out = F.when(first.rlike(n.first) & text.contains(n.need) & text.rlike(n.pattern), F.concat(rewritten, F.lit(sep + n.name))).otherwise(out)
-    return F.split(out, sep)
 
+def _stamp(parts: Column, path: Column) -> Column:
+    """TIMESTAMP_NTZ of a stamp taken apart; null if it does not exist or its weekday is wrong."""
+    part = {p: F.nullif(F.element_at(parts, i), F.lit("")) for i, p in enumerate(_PARTS, 2)}
 
-def _behind_stamp(text: Column) -> Column:
-    """What follows the stamp of a layout in STAMPS."""
-    return F.regexp_replace(text, "|".join(f"(?:{n.pattern})" for n in STAMPS), "")
+    def num(p: str) -> Column:
+        return F.trim(part[p]).try_cast("int")
 
+    hour = F.when(part["ap"].isNull(), num("h")).when((num("h") < 1) | (num("h") > 12), None).otherwise(num("h") % 12 + F.when(part["ap"] == "PM", 12).otherwise(0))
+    month = F.coalesce(num("mo"), _number(MONTHS, part["mon"]))
+    year = F.coalesce(num("y"), num("yy") + 2000, F.nullif(F.regexp_extract(path, r"/(\d{4})/", 1), F.lit("")).cast("int"))
+    printed = F.when(num("s") < 60, F.call_function("try_make_timestamp_ntz", year, month, num("d"), hour, num("mi"), num("s").cast("decimal(16,6)")))
+    # 946684800: the epoch second of 2000-01-01
+    utc = from_wall_seconds(F.coalesce(F.floor(part["ms"].try_cast("bigint") / 1000), part["es"].try_cast("bigint")) - 946_684_800)
+    stamp = F.coalesce(printed, utc)
+    return F.when(part["wd"].isNull() | (_number(WEEKDAYS, part["wd"]) == F.weekday(F.to_date(stamp)) + 1), stamp)
 
-def _words_behind(text: Column) -> Column:
-    """The first words behind the stamp."""
-    return F.slice(F.split(F.regexp_replace(F.substring(_behind_stamp(text), 1, 400), r"^[\s|:,;-]+", ""), r"[\s|]+(?:-+[\s|]+)?"), 1, SLOT_WORDS)
 
+def _shape(stamp: Column) -> Column:
+    """A stamp with every number as ``0`` and every word as ``a``."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(stamp, r"\d+", "0"), r"\p{L}+", "a"), " +", " ")
 
-def _bare(word: Column) -> Column:
-    return F.regexp_replace(word, r"^[\[(<]+|[\])>:,;]+$", "")
 
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(rf"({_WORD}|\S)"), F.lit(1))
 
-def _slots(heads: DataFrame) -> DataFrame:
-    """``log_id, notation, level_at, component_at``: templates of the layouts in STAMPS, one per file and stamp.
 
-    Words are counted by position behind the stamp. The level stands where nearly all words are
-    level words; the component where nearly all are names set off by brackets or a colon.
-    """
-    known = [w for ws in LEVELS.values() for w in ws if len(w) > 1]
-    at = heads.where("words is not null").select("log_id", "notation", F.posexplode("words").alias("pos", "word"))
-    level = F.lower(_bare(F.col("word"))).isin(known)
-    named = F.col("word").rlike(r"^(?:\[[\w.$/-]+\]|<[\w.$/-]+>|\([\w.$/-]+\)|[A-Za-z_][\w.$/-]*(?:\[\d+\])?):?$") & F.col("word").rlike(r"[\])>:]$") & ~level
-    counts = at.groupBy("log_id", "notation", "pos").agg(F.count(F.lit(1)).alias("n"), F.count_if(level).alias("levels"), F.count_if(named).alias("names"))
-    # every head has a word at position 0
-    total = F.max(F.when(F.col("pos") == 0, F.col("n"))).over(Window.partitionBy("log_id", "notation"))
-    shares = counts.withColumn("total", total)
-    return shares.groupBy("log_id", "notation").agg(
-        F.min(F.when(F.col("levels") >= SLOT_SHARE * F.col("total"), F.col("pos"))).alias("level_at"),
-        F.min(F.when(F.col("names") >= SLOT_SHARE * F.col("total"), F.col("pos"))).alias("component_at"),
+def _sort_of(t: Column) -> Column:
+    """What a token is: L level, l a level's letter, N number, T thread, X compound name, W word, else the mark itself."""
+    return (
+        F.when(F.lower(t).isin(_LONG), "L")
+        .when(F.length(t) == 1, F.when(t.isin(_LETTERS), "l").when(t.rlike(r"\p{N}"), "N").when(t.rlike(r"[\p{L}_]"), "W").otherwise(t))
+        .when(F.translate(t, "0123456789.+-", "") == "", "N")
+        .when(t.rlike(r"^(?:main|[Tt]hread.*|.*[-#]\d+)$"), "T")
+        .when(t.rlike(r"[._$-]|\p{Ll}\p{Lu}"), "X")
+        .otherwise("W")
     )
 
 
-def without_head(text: Column, notation: Column, slots: Column) -> Column:
-    """The message of an opening line: what its layout does not print as stamp, level or component.
+def _keyed(text: Column) -> tuple[Column, Column]:
+    """Keys and values (as text, quotes undone) of a JSON or key=value line; null for other lines."""
+    json = F.when(text.startswith("{") & text.endswith("}"), F.from_json(text, "map<string,string>"))
+    plain = F.when(text.rlike(r"^[A-Za-z_@][\w.@-]*="), text)
+    values = F.transform(F.regexp_extract_all(plain, F.lit(_PAIR), F.lit(2)), lambda v: F.when(v.startswith('"'), F.regexp_replace(F.regexp_replace(v, '^"|"$', ""), r'\\(["\\])', "$1")).otherwise(v))
+    return F.coalesce(F.map_keys(json), F.regexp_extract_all(plain, F.lit(_PAIR), F.lit(1))), F.coalesce(F.map_values(json), values)
+
+
+def _pairs(keys: Column, values: Column) -> Column:
+    """``key, sort, value`` of each key: sort s stamp, l level, n name (all with their value), - anything else."""
 
-    A JSON line with more keys than JSON_KEYS stays as printed, as does what a logfmt line has beside its msg.
+    def told(k: Column, v: Column) -> Column:
+        v = F.coalesce(v, F.lit(""))
+        sort = F.when(F.lower(v).isin(_LONG), "l").when(v.rlike(_WHOLE_STAMP), "s").when(v.rlike(r"^[\p{L}_][\p{L}\p{N}_.$/:@-]*$"), "n").otherwise("-")
+        return F.struct(k.alias("key"), sort.alias("sort"), F.when(sort != "-", v).alias("value"))
+
+    return F.zip_with(keys, values, told)
+
+
+def read_heads(lines: DataFrame) -> DataFrame:
+    """``log_id, line_no, form, entry_ts, shape, pattern, words, pairs``: the lines that may open an entry, each once.
+
+    ``lines`` has ``log_id, file_path, line_no, raw``. Plain lines come with their valid stamp, its shape, and the
+    words and marks around it (``pattern``: their sorts); keyed lines with their pairs.
+    Only these narrow rows are shuffled.
     """
-    rest = _behind_stamp(text)
-    rest = F.regexp_replace(F.regexp_replace(rest, r"^[\s|:,;-]+", ""), F.concat(F.lit(r"^(?:\S+(?:[\s|]+(?:-+[\s|]+)?|$)){"), F.coalesce(slots, F.lit(0)).cast("string"), F.lit("}")), F.lit(""))
-    out = F.ltrim(rest)
-    for n in NOTATIONS:
-        cut = F.regexp_replace(text, n.pattern, "")
-        if n.name == "json":
-            told = F.coalesce(*[F.get_json_object(text, f"$.{k}") for k in ("message", "msg")])
-            more = F.size(F.array_except(F.json_object_keys(text), F.array(*[F.lit(k) for k in JSON_KEYS]))) > 0
-            cut = F.when(told.isNull() | more, text).otherwise(told)
-        elif n.name == "logfmt":
-            cut = F.regexp_replace(cut, r"^(?:(?:level|component)=\S+ ?){1,2}", "")
-            quoted = r'^(?:msg|message)="((?:[^"\\]|\\.)*)"$'
-            cut = F.when(cut.rlike(quoted), F.regexp_replace(F.regexp_extract(cut, quoted, 1), r'\\(["\\])', "$1")).otherwise(F.regexp_replace(cut, r"^(?:msg|message)=([^\s\"]*)$", "$1"))
-        elif n.name == "iso_any":
-            cut = F.regexp_replace(cut, r"^[\]>:|\s-]+", "")
-        out = F.when(notation == n.name, F.ltrim(cut)).otherwise(out)
+    src = lines.select("log_id", "file_path", F.col("line_no").cast("int").alias("line_no"), F.coalesce("raw", F.lit("")).alias("raw")).where("log_id is not null and line_no is not null")
+    text = staged(src, {"text": clean_line(F.col("raw"))}).drop("raw")
+    keys, values = _keyed(F.col("text"))
+    looks_keyed = F.col("text").startswith("{") | F.col("text").contains("=")
+    split = staged(text, {"at": _taken_apart(F.col("text")), "keys": F.when(looks_keyed, keys), "values": F.when(looks_keyed, values)})
+    split = split.withColumn("keys", F.when(F.size("keys") > 0, F.col("keys")))
+    read = staged(split, {"entry_ts": F.when(F.col("keys").isNull(), _stamp(F.col("at"), F.col("file_path"))), "pairs": F.when(F.col("keys").isNotNull(), _pairs(F.col("keys"), F.col("values")))})
+    read = read.where(F.col("entry_ts").isNotNull() | F.exists("pairs", lambda p: p["sort"] == "s"))
+    n = len(_PARTS)
+    words = F.concat(_tokens(F.element_at("at", 1)), F.array(F.lit(STAMP)), _tokens(F.regexp_extract(F.element_at("at", n + 3), f"({_REGION})", 1)))
+    read = staged(read, {"words": F.when(F.col("entry_ts").isNotNull(), words)})
+    form = F.when(F.col("entry_ts").isNotNull(), "plain").when(F.col("text").startswith("{"), "json").otherwise("pairs")
+    pattern = F.array_join(F.transform("words", _sort_of), " ")
+    stamp = F.when(F.col("entry_ts").isNotNull(), _shape(F.element_at("at", n + 2)))
+    rows = read.select("log_id", "line_no", "file_path", form.alias("form"), "entry_ts", stamp.alias("shape"), pattern.alias("pattern"), "words", F.filter("pairs", lambda p: p["sort"] != "-").alias("pairs"), F.transform("pairs", lambda p: p["key"]).alias("keys"))
+    once = rows.groupBy("log_id", "line_no").agg(F.min(F.struct("file_path", "form", "entry_ts", "shape", "pattern", "words", "pairs", "keys")).alias("h"))
+    return once.select("log_id", "line_no", "h.*")
+
+
+def position_counts(heads: DataFrame) -> DataFrame:
+    """``log_id, form, shape, pattern, key, n, stamps, levels, names``: how often what stands around stamps, or under keys, of a file."""
+    zero = F.lit(0).cast("bigint")
+    plain = heads.where("form = 'plain'").groupBy("log_id", "form", "shape", "pattern").agg(F.count(F.lit(1)).alias("n")).select("log_id", "form", "shape", "pattern", F.lit(None).cast("string").alias("key"), "n", *[zero.alias(c) for c in ("stamps", "levels", "names")])
+    keyed = heads.where("form <> 'plain'")
+    sorts = keyed.select("log_id", "form", F.explode("pairs").alias("p")).select("log_id", "form", "p.key", "p.sort").unionByName(keyed.select("log_id", "form", F.explode("keys").alias("key"), F.lit("").alias("sort")))
+    by_key = sorts.groupBy("log_id", "form", "key").agg(F.count_if(F.col("sort") == "").alias("n"), *[F.count_if(F.col("sort") == s).alias(c) for s, c in (("s", "stamps"), ("l", "levels"), ("n", "names"))])
+    return plain.unionByName(by_key, allowMissingColumns=True)
+
+
+# ---- templates of one file, from its counts -------------------------------------------------------
+
+
+def _cuts(sorts: tuple[str, ...]) -> list[int]:
+    """Where a head may end: behind the closing marks of a slot, behind the stamp, behind a bare level."""
+    out, slot, i = [], False, 0
+    while i < len(sorts):
+        if sorts[i] in _CLOSERS and slot:
+            while i + 1 < len(sorts) and sorts[i + 1] in _CLOSERS:
+                i += 1
+            out.append(i + 1)
+            slot = False
+        elif sorts[i] in (STAMP, "L") and (i + 1 == len(sorts) or sorts[i + 1] not in _CLOSERS):
+            out.append(i + 1)
+            slot = False
+        else:
+            slot = slot or sorts[i] in (STAMP, "L", "l", "N", "w")
+        i += 1
     return out
 
 
-def _number(names: list[str], c: Column) -> Column:
-    m = F.create_map(*[x for i, n in enumerate(names, 1) for x in (F.lit(n), F.lit(i))])
-    return F.element_at(m, c)
+def _slots(sorts: tuple[str, ...], thread: list[float]) -> tuple[int | None, int | None]:
+    """Places of level and component in a template; ``thread`` is the share of thread names at each place."""
+    level = next((i for i, t in enumerate(sorts) if t == "L"), None)
+    if level is None:
+        level = next((i for i, t in enumerate(sorts[:-1]) if t == "l" and sorts[i + 1] in "/])|:"), None)
+    names = [i for i, t in enumerate(sorts) if t in ("w", "l") and i != level]
+    return level, next(reversed([i for i in names if thread[i] < 0.5] or names), None)
 
 
-def read_heads(lines: DataFrame, text: str, path: str) -> DataFrame:
-    """Add ``entry_ts``, ``log_level``, ``component``, ``notation``; all null where no valid stamp stands.
+def templates(patterns: dict[str, int]) -> dict[str, tuple[int, int | None, int | None]]:
+    """``(length of the head, place of the level, of the component)`` for every pattern of one stamp's shape in a file.
 
-    ``entry_ts`` is the printed local time as TIMESTAMP_NTZ; epoch stamps are UTC;
-    a year that is not printed is the four-digit folder in ``path``.
+    The patterns are followed from the left, one closed slot at a time, as long as the lines agree on
+    how it goes on; the rest is message. A pattern that leaves the agreement takes the commonest template with
+    its marks, else the part it shares.
     """
-    part = {p: F.nullif(F.element_at("__parts", i), F.lit("")) for i, p in enumerate(_PARTS, 1)}
+    raw = {p: tuple(p.split(" ")) for p in patterns}
+    sorts = {p: tuple("w" if t in ("W", "X", "T") else t for t in ts) for p, ts in raw.items()}
+    cuts = {p: _cuts(ts) for p, ts in sorts.items()}
+    ends: dict[str, int] = {}
+    agreed: set[str] = set()
+    todo = [(list(patterns), 0, 0)]
+    while todo:
+        group, depth, length = todo.pop()
+        total = sum(patterns[p] for p in group)
+        children = defaultdict(list)
+        for p in group:
+            ends[p] = length
+            if depth < len(cuts[p]):
+                children[sorts[p][length : cuts[p][depth]]].append(p)
+        weight = {c: sum(patterns[p] for p in ps) for c, ps in children.items()}
+        before = [sorts[group[0]].index(STAMP) >= length] if group else []
+        common = [c for c in children if any(before) or weight[c] >= BRANCH * total]
+        closed = length and not any(before) and any(t in _ENDS for t in sorts[group[0]][length - 2 : length]) and any(t == "w" for t in sorts[group[0]][sorts[group[0]].index(STAMP) : length])
+        if closed or not common or (not any(before) and sum(weight[c] for c in common) < WHOLE * total):
+            agreed.update(group)
+            continue
+        for c in common:
+            todo.append((children[c], depth + 1, length + len(c)))
+    by_template: Counter = Counter()
+    for p in agreed:
+        by_template[sorts[p][: ends[p]]] += patterns[p]
+    threads, compound = defaultdict(Counter), defaultdict(int)
+    for p in agreed:
+        t = sorts[p][: ends[p]]
+        for i, sort in enumerate(raw[p][: ends[p]]):
+            threads[t][i] += patterns[p] * (sort == "T")
+        compound[t] += patterns[p] * (raw[p][ends[p] : ends[p] + 1] == ("X",))
+    known = {}
+    for t, n in by_template.items():
+        level, component = _slots(t, [threads[t][i] / n for i in range(len(t))])
+        # a name of dotted or compound words right behind a bare level is its component
+        bare = component is None and level is not None and level == len(t) - 1 and compound[t] >= WHOLE * n
+        known[t] = (len(t) + 1, level, len(t)) if bare else (len(t), level, component)
+
+    def marks(ts: tuple[str, ...]) -> tuple[str, ...]:
+        return tuple("x" if t in ("L", "l", "N", "w") else t for t in ts)
+
+    ranked = sorted(by_template, key=lambda t: (-by_template[t], t))
+    out = {}
+    for p in patterns:
+        t = sorts[p][: ends[p]]
+        if p not in agreed:
+            t = next((k for k in ranked if marks(sorts[p][: len(k)]) == marks(k)), t)
+        out[p] = known.get(t) or (len(t), *_slots(t, [0.0] * len(t)))
+    return out
 
-    def num(p: str) -> Column:
-        return F.trim(part[p]).try_cast("int")
 
-    hour = F.when(part["ap"].isNull(), num("h")).when((num("h") < 1) | (num("h") > 12), None).otherwise(num("h") % 12 + F.when(part["ap"] == "PM", 12).otherwise(0))
-    month = F.coalesce(num("mo"), _number(MONTHS, part["mon"]))
-    year = F.coalesce(num("y"), F.nullif(F.regexp_extract(path, r"/(\d{4})/", 1), F.lit("")).cast("int"))
-    printed = F.when(num("s") < 60, F.call_function("try_make_timestamp_ntz", year, month, num("d"), hour, num("mi"), num("s").cast("decimal(16,6)")))
-    # 946684800: the epoch second of 2000-01-01
-    utc = from_wall_seconds(F.floor(part["ms"].try_cast("bigint") / 1000) - 946_684_800)
-    stamp = F.coalesce(printed, utc)
-    right_day = part["wd"].isNull() | (_number(WEEKDAYS, part["wd"]) == F.weekday(F.to_date(stamp)) + 1)
-    words = F.create_map(*[x for level, ws in LEVELS.items() for w in ws for x in (F.lit(w), F.lit(level))])
-    level = F.coalesce(F.element_at(words, F.lower(part["level"])), F.lit(""))
-    ok = F.col("__ts").isNotNull()
-    read = staged(lines, {"__parts": _read(F.col(text))})
-    return (
-        staged(read, {"__ts": F.when(F.col("__parts").isNotNull() & right_day, stamp)})
-        .select(
-            *lines.columns,
-            F.col("__ts").alias("entry_ts"),
-            F.when(ok, level).alias("log_level"),
-            F.when(ok, F.coalesce(part["component"], F.lit(""))).alias("component"),
-            F.when(ok, F.element_at("__parts", len(_PARTS) + 1)).alias("notation"),
-        )
-    )
+def _best(keys: dict[str, tuple[int, int]], usual: list[str]) -> list[str]:
+    """Keys whose values nearly all are of a sort, usual names first, then by count; ``keys``: of the sort, all."""
+    fit = [k for k, (n, total) in keys.items() if n and n >= WHOLE * total]
+    return sorted(fit, key=lambda k: (usual.index(k.lower()) if k.lower() in usual else len(usual), -keys[k][0], k))
+
 
+_TEMPLATE = "log_id string, form string, shape string, pattern string, head int, level_at int, component_at int, stamp_keys array<string>, level_key string, component_key string, message_key string"
 
-def position_words(lines: DataFrame) -> DataFrame:
-    """``log_id, pos, word, n, share`` of the head words of each file."""
-    words = lines.select("log_id", F.posexplode(head_words(clean_line(F.col("raw")))).alias("pos", "word"))
-    counts = words.groupBy("log_id", "pos", "word").agg(F.count(F.lit(1)).alias("n"))
-    # every line has a word at position 0
-    n_lines = counts.where("pos = 0").groupBy("log_id").agg(F.sum("n").alias("n_lines"))
-    return counts.join(n_lines, "log_id").select("log_id", "pos", "word", "n", (F.col("n") / F.col("n_lines")).alias("share"))
+
+def mine(counts: pd.DataFrame, support: float) -> pd.DataFrame:
+    """Templates of the layouts that one file uses, from its :func:`position_counts`.
+
+    A layout is the shape of a stamp with the marks before it, or a set of keys. Those that neither ``support`` of the
+    file's heads nor LEAST_HEADS of them have are no layout of a program of this file.
+    """
+    log_id, out, used = counts["log_id"].iloc[0], [], {}
+    plain, keyed = counts[counts["form"] == "plain"], counts[counts["form"] != "plain"]
+    layouts = defaultdict(dict)
+    for shape, pattern, n in zip(plain["shape"], plain["pattern"], plain["n"], strict=True):
+        before = tuple("x" if len(t) == 1 and t.isalpha() else t for t in pattern.split(STAMP)[0].split(" "))
+        layouts[shape, before][pattern] = int(n)
+    stamps = {form: _best(dict(zip(g["key"], zip(g["stamps"], g["n"], strict=True), strict=True)), STAMP_KEYS) for form, g in keyed.groupby("form")}
+    for key, patterns in layouts.items():
+        used[key] = sum(patterns.values())
+    for form, g in keyed.groupby("form"):
+        used[form] = max((int(n) for k, n in zip(g["key"], g["n"], strict=True) if k in stamps[form]), default=0)
+    total = sum(used.values())
+    used = {k for k, n in used.items() if n and (n >= LEAST_HEADS or n >= support * total)}
+    for key, patterns in layouts.items():
+        if key in used:
+            for pattern, (head, level, component) in templates(patterns).items():
+                out.append((log_id, "plain", key[0], pattern, head, level, component, None, None, None, None))
+    for form, g in keyed.groupby("form"):
+        if form in used:
+            tell = {c: dict(zip(g["key"], zip(g[c], g["n"], strict=True), strict=True)) for c in ("levels", "names")}
+            level = next(iter(_best(tell["levels"], LEVEL_KEYS)), None)
+            taken = {*stamps[form], level}
+            message = next((k for m in MESSAGE_KEYS for k in g["key"] if k.lower() == m), None)
+            component = next((k for k in _best(tell["names"], COMPONENT_KEYS) if k not in taken and k.lower() not in MESSAGE_KEYS), None)
+            out.append((log_id, form, None, None, None, None, None, stamps[form], level, component, message))
+    names = [c.split()[0] for c in _TEMPLATE.split(", ")]
+    return pd.DataFrame(out, columns=names).astype({c: "Int32" for c in ("head", "level_at", "component_at")})
 
 
 def entry_heads(lines: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """``log_id, line_no, entry_ts, log_level, component, notation, slots``: the lines that open an entry, each once.
-
-    Reading heads is a projection over the scan; only lines that read as a head go on, without
-    their text, and are written to the shared folder once. They keep their place if their file uses
-    their layout: ``support`` of the file's heads have it, or LEAST_HEADS of them. So neither long
-    entries nor what varies in a stamp (width of the day, name of the month) cost a layout its
-    lines. Level and component of a layout in STAMPS come from its file's template; ``slots`` is the
-    number of words that take them. A join with the layouts in use (a few per file), salted by line number because a
-    file may hold a third of all lines.
+    """The lines that open an entry: ``log_id, line_no, entry_ts, log_level, component, form, slots`` and the keys of keyed ones.
+
+    The scan is read once; heads, without their text, are written to the shared folder. Their counts per
+    file are small (patterns and keys, not lines) and are turned into templates file by file. The join with
+    the templates is salted by line number because a file may hold a third of all
+    lines. ``slots`` is the number of words and marks behind the stamp that belong to the head.
     """
-    src = lines.select("log_id", "file_path", F.col("line_no").cast("int").alias("line_no"), F.coalesce("raw", F.lit("")).alias("raw")).where("log_id is not null and line_no is not null")
-    text = staged(src, {"text": clean_line(F.col("raw"))}).drop("raw")
-    words = F.when(F.col("notation").isin([n.name for n in STAMPS]), _words_behind(F.col("text")))
-    read = read_heads(text, "text", "file_path").where("entry_ts is not null").withColumn("words", words)
-    once = read.groupBy("log_id", "line_no").agg(F.min(F.struct("entry_ts", "log_level", "component", "notation", "words")).alias("h"))
-    heads = cut_lineage(once.select("log_id", "line_no", "h.*"))
-    counts = heads.groupBy("log_id", "notation").agg(F.count(F.lit(1)).alias("n"))
-    n_heads = counts.groupBy("log_id").agg(F.sum("n").alias("n_heads"))
-    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt")
-    used = counts.join(n_heads, "log_id").where((F.col("n") >= LEAST_HEADS) | (F.col("n") >= support * F.col("n_heads"))).select("log_id", "notation")
-    used = used.join(_slots(heads), ["log_id", "notation"], "left").select("*", salts)
+    heads = cut_lineage(read_heads(lines))
+    found = position_counts(heads).groupBy("log_id").applyInPandas(lambda pdf: mine(pdf, support), _TEMPLATE)
+    found = cut_lineage(found).select("*", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
     salted = heads.withColumn("salt", F.pmod("line_no", F.lit(SALTS)))
     levels = F.create_map(*[x for level, ws in LEVELS.items() for w in ws for x in (F.lit(w), F.lit(level))])
-    level = F.coalesce(F.element_at(levels, F.lower(_bare(F.get("words", F.col("level_at"))))), F.col("log_level"))
-    component = F.coalesce(F.regexp_replace(_bare(F.get("words", F.col("component_at"))), r"\[\d+$", ""), F.col("component"))
-    slots = (F.coalesce(F.greatest("level_at", "component_at"), F.lit(-1)) + 1).alias("slots")
-    return salted.join(used, ["log_id", "notation", "salt"]).select("log_id", "line_no", "entry_ts", level.alias("log_level"), component.alias("component"), "notation", slots)
+
+    def level(word: Column) -> Column:
+        return F.coalesce(F.element_at(levels, F.lower(word)), F.lit(""))
+
+    plain = salted.where("form = 'plain'").join(found.where("form = 'plain'").drop("form"), ["log_id", "shape", "pattern", "salt"])
+    plain = plain.select("log_id", "line_no", "entry_ts", level(F.get("words", F.col("level_at"))).alias("log_level"), F.coalesce(F.get("words", F.col("component_at")), F.lit("")).alias("component"), "form", (F.col("head") - F.array_position("words", STAMP)).cast("int").alias("slots"))
+
+    def value(key: Column) -> Column:
+        return F.get(F.filter("pairs", lambda p: p["key"] == key), F.lit(0))
+
+    keyed = salted.where("form <> 'plain'").join(found.where("form <> 'plain'").drop("shape", "pattern"), ["log_id", "form", "salt"])
+    stamp_key = F.get(F.filter("stamp_keys", lambda k: F.exists("pairs", lambda p: (p["key"] == k) & (p["sort"] == "s"))), F.lit(0))
+    keyed = staged(staged(keyed, {"stamp_key": stamp_key}), {"at": _taken_apart(value(F.col("stamp_key"))["value"])})
+    keyed = staged(keyed, {"ts": _stamp(F.col("at"), F.col("file_path"))}).where("ts is not null")
+    keyed = keyed.select(
+        "log_id", "line_no", F.col("ts").alias("entry_ts"), level(value(F.col("level_key"))["value"]).alias("log_level"), F.coalesce(value(F.col("component_key"))["value"], F.lit("")).alias("component"), "form",
+        F.array_compact(F.array("stamp_key", "level_key", "component_key")).alias("head_keys"), "message_key",
+    )
+    return plain.unionByName(keyed, allowMissingColumns=True)
+
+
+def without_head(text: Column, form: Column, slots: Column, head_keys: Column, message_key: Column) -> Column:
+    """The message of an opening line: what its template does not name as stamp, level or component.
+
+    A JSON line with more keys than these and its message stays as printed, as does what a
+    key=value line has beside its message.
+    """
+    skip = F.concat(F.lit(rf"^(?:\s*(?:{_WORD}|\S)){{"), F.coalesce(slots, F.lit(0)).cast("string"), F.lit("}"))
+    plain = F.regexp_replace(F.regexp_replace(text, _HEAD, f"${sum(len(f) for _, f in STAMPS) + 3}"), skip, F.lit(""))
+    keys, values = _keyed(text)
+    told = F.get(values, (F.array_position(keys, message_key) - 1).cast("int"))
+    rest = F.array_except(keys, head_keys)
+    only = (F.size(rest) == 1) & (F.get(rest, F.lit(0)) == message_key) & told.isNotNull()
+    cut = F.regexp_replace(text, F.concat(F.lit(r"(?:^|(?<=\s))(?:"), F.array_join(head_keys, "|"), F.lit(r")=(?:\"(?:[^\"\\]|\\.)*+\"|[^\s\"]*+)(?:\s+|$)")), F.lit(""))
+    return F.ltrim(F.when(form == "plain", plain).when(only, told).when(form == "pairs", cut).otherwise(text))
 
 
 def log_entries(lines: DataFrame, support: float = SUPPORT, with_message: bool = True, cut_head: bool = False) -> DataFrame:
@@ -277,9 +413,9 @@ def log_entries(lines: DataFrame, support: float = SUPPORT, with_message: bool =
         return entries
     body = lines.where("log_id is not null and line_no is not null").select("log_id", F.col("line_no").cast("int").alias("line_no"), clean_line(F.coalesce("raw", F.lit(""))).alias("text"))
     body = body.groupBy("log_id", chunk, "line_no").agg(F.min("text").alias("text"))
-    opened = body.join(heads.select("log_id", "chunk", "line_no", F.col("line_no").alias("start"), "notation", "slots"), ["log_id", "chunk", "line_no"], "left")
+    opened = body.join(heads.select("log_id", "chunk", "line_no", F.col("line_no").alias("start"), "form", "slots", "head_keys", "message_key"), ["log_id", "chunk", "line_no"], "left")
     if cut_head:
-        opened = opened.withColumn("text", F.when(F.col("start").isNull(), F.col("text")).otherwise(without_head(F.col("text"), F.col("notation"), F.col("slots"))))
+        opened = opened.withColumn("text", F.when(F.col("start").isNull(), F.col("text")).otherwise(without_head(*[F.col(c) for c in ("text", "form", "slots", "head_keys", "message_key")])))
     carried = heads.groupBy("log_id", "chunk").agg(F.max("line_no").alias("last_start"))
     every = body.select("log_id", "chunk").distinct().join(carried, ["log_id", "chunk"], "left")
     earlier = later.rowsBetween(Window.unboundedPreceding, -1)

@@ -1,5 +1,5 @@
 from skirmish.operators import log_entries as le
-from skirmish.operators.log_entries import clean_line, log_entries, position_words
+from skirmish.operators.log_entries import clean_line, log_entries
 
 GAME = ["stray", "[Mon Mar 04 01:00:00 2019] You hit a rat.", "", "  indented", "[Mon Mar 05 01:00:00 2019] wrong weekday", "[Sat Feb 30 01:00:00 2019] no such day", "[Mon Mar 04 01:00:02 2019] done\r"]
 APP = [
@@ -36,10 +36,24 @@ def test_layouts_fallbacks_and_messages(spark, monkeypatch):
     assert {(r.log_id, r.first_line, r.last_line) for r in log_entries(df, with_message=False).collect()} == {(k[0], k[1], v[0]) for k, v in got.items()}
 
 
-def test_position_words_are_shares_of_lines(spark):
-    df = spark.createDataFrame([("a", "p", 1, "x 12 y"), ("a", "p", 2, "x 34 z"), ("a", "p", 3, "")], "log_id string, file_path string, line_no int, raw string")
-    got = {(r.pos, r.word): (r.n, round(r.share, 3)) for r in position_words(df).collect()}
-    assert got[0, "x"] == (2, 0.667) and got[1, "00"] == (2, 0.667) and got[0, ""] == (1, 0.333)
+def test_position_counts_of_a_file(spark):
+    rows, schema = _lines(spark, {"/logs/h/2019/a.log": APP})
+    got = {(r.form, r.pattern or r.key): (r.n, r.stamps, r.levels, r.names) for r in le.position_counts(le.read_heads(spark.createDataFrame(rows, schema))).collect()}
+    assert got == {
+        ("plain", f"{le.STAMP} L [ T ] W - W"): (1, 0, 0, 0), ("plain", f"{le.STAMP} L [ T ] X - W"): (1, 0, 0, 0), ("plain", f"{le.STAMP} W W [ N ] : W W"): (1, 0, 0, 0),
+        ("pairs", "time"): (1, 1, 0, 0), ("pairs", "component"): (1, 0, 0, 1), ("pairs", "level"): (1, 0, 1, 0), ("pairs", "msg"): (1, 0, 0, 1),
+    }
+
+
+def test_templates_follow_agreement():
+    S = le.STAMP
+    many = {f"{S} W W [ N ] : W W": 70, f"{S} W W : L W": 25, f"{S} W W [ N ] : W W :": 5}
+    assert le.templates(many) == {f"{S} W W [ N ] : W W": (7, None, 2), f"{S} W W : L W": (4, None, 2), f"{S} W W [ N ] : W W :": (7, None, 2)}
+    odd = {f"{S} [ L ] < W > W": 95, f"{S} [ W ] < W > W W": 1, f"{S} W W": 1}
+    assert le.templates(odd) == {f"{S} [ L ] < W > W": (7, 2, 5), f"{S} [ W ] < W > W W": (7, 2, 5), f"{S} W W": (1, None, None)}
+    assert le.templates({f"L : X : {S} : W W": 9}) == {f"L : X : {S} : W W": (6, 0, 2)}
+    assert le.templates({f"{S} L X W": 9, f"{S} L X X": 5}) == {f"{S} L X W": (3, 1, 2), f"{S} L X X": (3, 1, 2)}
+    assert le.templates({f"{S} L W W": 9, f"{S} L": 5}) == {f"{S} L W W": (2, 1, None), f"{S} L": (2, 1, None)}
 
 
 def test_edges(spark):
@@ -91,3 +105,24 @@ def test_messages_of_key_value_lines_lose_nothing(spark):
     rows, schema = _lines(spark, {"/logs/h/2019/a.log": [line % "", line % ',"took":3', head + 'msg="say \\"a\\""', head + 'msg="x" took=3']})
     got = [r.message for r in log_entries(spark.createDataFrame(rows, schema), cut_head=True).orderBy("first_line").collect()]
     assert got == ['say "a"', line % ',"took":3', 'say "a"', 'msg="x" took=3']
+
+
+def test_probes_of_layouts(spark):
+    """Padded days over midnight, long entries, digits in components, long first fields, layouts seen nowhere else."""
+    padded = [f"[Sat Mar  9 23:59:{i:02d} 2019] x" for i in range(5)] + [f"[Sun Mar 10 00:{i // 60:02d}:{i % 60:02d} 2019] x" for i in range(1000)]
+    longs = [x for i in range(20) for x in [f"[Sat Mar 09 23:59:{i:02d} 2019] x", *["  at y"] * 150]]
+    digits = [f"INFO:disk{i}:09-Mar-2019 01:{i // 60:02d}:{i % 60:02d}: x" for i in range(1000)]
+    first = ['{"message":"%s","level":"warn","logger":"net","ts":"2019-03-04T01:00:%02dZ"}' % ("long " * 50, i % 60) for i in range(100)]
+    slash = [f"2024/02/09 23:59:{i % 60:02d} {['INFO', 'WARN'][i % 2]} db.pool took {i} ms" for i in range(100)]
+    access = [f'10.0.0.{i} - - [04/Mar/2019:01:00:{i % 60:02d} +0000] "GET / HTTP/1.1" 200 {i}' for i in range(50)]
+    spark_style = [f"19/03/04 01:00:{i % 60:02d} {['INFO', 'WARN'][i % 2]} DAGScheduler: job {i}" for i in range(50)]
+    rows, schema = _lines(spark, {f"/logs/h/2019/{i}.log": t for i, t in enumerate((padded, longs, digits, first, slash, access, spark_style))})
+    got = log_entries(spark.createDataFrame(rows, schema), with_message=False).collect()
+    counts = {}
+    for r in got:
+        counts[r.log_id] = counts.get(r.log_id, 0) + 1
+    assert counts == {"log0": 1005, "log1": 20, "log2": 1000, "log3": 100, "log4": 100, "log5": 50, "log6": 50}
+    fields = {(r.log_id, r.first_line): (r.log_level, r.component) for r in got}
+    assert fields["log2", 8] == ("info", "disk7") and fields["log3", 1] == ("warn", "net") and fields["log4", 2] == ("warn", "db.pool")
+    assert fields["log5", 1] == ("", "") or fields["log5", 1][0] == ""
+    assert fields["log6", 2] == ("warn", "DAGScheduler")
