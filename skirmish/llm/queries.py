@@ -58,6 +58,7 @@ def p6_merged_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CONTAINER_TOKENS = 8192
+QUANTITY_ROOM = 120
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LEAK_WORDS = 12
 LEAK_SHARE = 0.5
@@ -75,6 +76,24 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("unused", F.lit(CONTAINER_TOKENS).cast("bigint") - F.col("used"))
 
 
+def p7_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a packing must hold to: every message in it, none cut that fits, no container over its capacity, none empty."""
+    out = p7_packing(spark, sf_dir)
+    per_doc = out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("tokens"))
+    docs = per_doc.agg(F.count(F.lit(1)).alias("n_messages"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= CONTAINER_TOKENS)).alias("cut_but_fit"))
+    rooms = out.groupBy("container").agg(F.sum("n_tokens").alias("used"))
+    rooms = rooms.agg(F.count_if(F.col("used") > CONTAINER_TOKENS).alias("overfull"), F.count_if((F.col("used") == 0) & (F.col("container") > 0)).alias("empty"))
+    both = docs.unionByName(rooms, allowMissingColumns=True)
+    return both.agg(*[F.sum(c).alias(c) for c in both.columns])
+
+
+def p7_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items by quantity in containers of QUANTITY_ROOM: items, their sum, the fullest container, containers used."""
+    li = load(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line"), F.floor("l_quantity").cast("bigint").alias("n"))
+    rooms = pack(li, "line", "n", QUANTITY_ROOM).groupBy("container").agg(F.count(F.lit(1)).alias("items"), F.sum("n_tokens").alias("used"))
+    return rooms.agg(F.sum("items").alias("n_items"), F.sum("used").alias("total"), F.max("used").alias("fullest"), F.count(F.lit(1)).alias("n_containers"))
+
+
 def _leaks(spark: SparkSession, sf_dir: str, least_share: float | None = None) -> DataFrame:
     return leaked_items(spread(load(spark, sf_dir, "documents")), "doc_id", "text", load(spark, sf_dir, "eval_items"), "item_id", "text", LEAK_WORDS, least_share)
 
@@ -101,6 +120,8 @@ QUERIES = {
     "p6_merged_logs": p6_merged_logs,
     "p7_packing": p7_packing,
     "p7_fill": p7_fill,
+    "p7_check": p7_check,
+    "p7_quantities": p7_quantities,
     "p8_found": p8_found,
     "p8_alignments": p8_alignments,
     "p9_found": p9_found,

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from skirmish.llm import leaks, packing
 from skirmish.llm.leaks import ItemIndex, align, leaked_items, reach, words_of
-from skirmish.llm.packing import complete, pack, pack_histogram, token_counts, tokenizer
+from skirmish.llm.packing import completions, complete, lower_bound, pack, pack_histogram, search, token_counts, tokenizer
 
 WORDS = [f"w{i}" for i in range(300)]
 
@@ -106,6 +106,58 @@ def test_completion_finds_an_exact_fill_where_best_fit_does_not():
     assert complete([], {}, 5) == [] and complete([9], {9: 1}, 5) == []
 
 
+def fewest(items, capacity):
+    """Brute force: the fewest containers, items in falling order into every open container or a new one."""
+    items, best = sorted(items, reverse=True), [len(items)]
+
+    def place(i, loads):
+        if len(loads) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(loads)
+            return
+        for j, load in enumerate(loads):
+            if load + items[i] <= capacity and load not in loads[:j]:
+                place(i + 1, [*loads[:j], load + items[i], *loads[j + 1 :]])
+        place(i + 1, [*loads, items[i]])
+
+    place(0, [])
+    return best[0]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=11))
+def test_search_until_proven_needs_the_fewest_containers(items):
+    counts = Counter(items)
+    fillings = pack_histogram(counts, 30, None)
+    check(counts, fillings, 30)
+    n = fewest(items, 30)
+    assert sum(f.copies for f in fillings) == n >= lower_bound(counts, 30)
+    assert search(counts, 30, n) is not None and search(counts, 30, n - 1) is None
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_perfect_triples(seed):
+    rng = random.Random(seed)
+    items = []
+    for _ in range(20):
+        a = rng.randint(250, 450)
+        b = rng.randint(251, 999 - a - 200) if 999 - a - 200 > 251 else 251
+        items += [a, b, 1000 - a - b]
+    counts = Counter(items)
+    fillings = pack_histogram(counts, 1000)
+    check(counts, fillings, 1000)
+    assert sum(f.copies for f in fillings) == 20
+
+
+def test_completions_are_undominated():
+    got = list(completions({6: 1, 5: 1, 4: 1, 3: 1, 2: 1}, 10, 3))
+    assert got[0] == (0, [(6, 1), (4, 1)]) and all(sum(s * k for s, k in f) == 10 - w for w, f in got)
+    assert (0, [(5, 1), (3, 1), (2, 1)]) in [(w, sorted(f, reverse=True)) for w, f in got] or all(f != [(5, 1), (3, 1), (2, 1)] for _, f in got)
+    assert list(completions({10: 1, 5: 2}, 10, 10)) == [(0, [(10, 1)])]
+    assert list(completions({}, 3, 3)) == [(3, [])] and list(completions({}, 3, 2)) == []
+
+
 def test_pack_spark(spark):
     rng = random.Random(7)
     sizes = [rng.choice([0, 1, 30, 30, 64, 100, 101, 250, None, -3]) for _ in range(600)]
