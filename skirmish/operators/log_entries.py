@@ -70,7 +70,7 @@ _SEP = "\u0001"
 _CORE = "(?:" + "|".join(p for p, _ in STAMPS) + ")"
 _TAIL = r"(?:[.,]\d+)?(?: ?(?:Z|UTC|GMT|[+-]\d\d:?\d\d)(?![\p{L}\p{N}]))?(?![\p{L}\p{N}])"
 # What may stand before a stamp: a level, the three words of an access log, one run of marks and words.
-_BEFORE = rf"(?![\s>\"'`|])((?:[\[(<]?(?:{'|'.join(w.upper() for w in _LONG)})[\])>]?[:|,-]? +)?(?:\S+ \S+ \S+ (?=\[))?\S*?(?<![\p{{L}}\p{{N}}]))"
+_BEFORE = rf"(?![\s>\"'`|])((?:[\[(<]?(?:{'|'.join(w.upper() for w in _LONG)})[\])>]?[:|,-]? +)?(?:\S++ \S++ \S++ (?=\[))?\S*?(?<![\p{{L}}\p{{N}}]))"
 _HEAD = f"(?s)^{_BEFORE}({_CORE}){_TAIL}(.*)$"
 _WHOLE_STAMP = f"^{_CORE}{_TAIL}$"
 _WORD = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_.$@+-]*[\p{L}\p{N}_$])?"
