@@ -1,4 +1,9 @@
-"""Evaluation items leaking into messages: rare n-gram seeds, then local alignment."""
+"""Evaluation items leaking into messages: rare n-gram seeds, then local alignment.
+
+Words are 64-bit hashes, so neither a vocabulary nor the items are sent around: a Bloom filter of the
+items' n-grams, of bounded size whatever their number, finds the passages in one pass over the corpus. Passages
+and items then meet by joins on n-grams, and Smith-Waterman scores the pairs.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,9 +22,12 @@ from skirmish.llm.mime import html_text, text_parts
 from skirmish.session import cut_lineage
 
 GRAM = 5
-ITEMS_PER_BLOCK = 20_000
 REGION_GAP = 40
 MATCH, MISMATCH, SKIP = 2, -1, -1
+# Bits of the filter per n-gram and at most in all (64 MB), probes per n-gram.
+FILTER_BITS, FILTER_MOST, PROBES = 32, 1 << 29, 6
+# Words whose hash a task remembers.
+REMEMBERED = 1_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -35,71 +44,58 @@ def part_words(message: str | None) -> list[list[str]]:
     return [words_of(html_text(p.text) if p.kind == "text/html" else p.text) for p in text_parts(message)]
 
 
+class Codes(dict):
+    """Word -> 64-bit hash, remembered."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        code = self[word] = xxhash.xxh3_64_intdigest(word)
+        return code
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
 def gram_hashes(codes: np.ndarray) -> np.ndarray:
     """Rolling hash of every GRAM-long window of word codes."""
     n = len(codes) - GRAM + 1
     h = np.zeros(max(n, 0), np.uint64)
     for i in range(GRAM if n > 0 else 0):
-        h = (h * np.uint64(0x9E3779B97F4A7C15)) ^ (codes[i : i + n].astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+        h = (h * np.uint64(0x9E3779B97F4A7C15)) ^ (codes[i : i + n] + np.uint64(0x632BE59BD9B4E019))
         h ^= h >> np.uint64(29)
     return h
 
 
-class ItemIndex:
-    """Words and n-grams of one block of items; shipped to every task (at most ITEMS_PER_BLOCK items)."""
-
-    def __init__(self, items: list[tuple]) -> None:
-        self.vocabulary: dict[str, int] = {}
-        self.codes: dict = {}
-        grams: dict[int, int] = {}
-        self.grams_of: dict = {}
-        for item_id, text in items:
-            c = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text or "")], np.int64)
-            self.codes[item_id] = c
-            self.grams_of[item_id] = [grams.setdefault(h, len(grams)) for h in gram_hashes(c).tolist()]
-        hashes = np.fromiter(grams, np.uint64, len(grams))
-        order = np.argsort(hashes)
-        self.hashes, self.gram_ids = hashes[order], order.astype(np.int64)
-
-    def encode(self, words: list[str]) -> np.ndarray:
-        get = self.vocabulary.get
-        return np.array([get(w, -1) for w in words], np.int64)
-
-    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and gram numbers of the item n-grams in a coded text."""
-        if len(codes) < GRAM or not len(self.hashes):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        known = np.concatenate(([0], np.cumsum(codes >= 0)))
-        full = np.flatnonzero(known[GRAM:] - known[:-GRAM] == GRAM)
-        if not len(full):
-            return full, full
-        h = gram_hashes(codes)[full]
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        ok = self.hashes[at] == h
-        return full[ok], self.gram_ids[at[ok]]
-
-    def seeds(self, in_docs: dict[int, int], run: int) -> dict[int, list]:
-        """Gram -> items: in every window of ``run`` words of an item its rarest gram that the corpus has.
-
-        A message that shares ``run`` consecutive words with an item holds all grams of
-        that window, so also its seed: no such pair is lost.
-        """
-        out: dict[int, set] = {}
-        for item_id, grams in self.grams_of.items():
-            width = max(1, min(run - GRAM + 1, len(grams)))
-            for s in range(len(grams) - width + 1):
-                there = [(in_docs[g], g) for g in grams[s : s + width] if g in in_docs]
-                if there:
-                    out.setdefault(min(there)[1], set()).add(item_id)
-        return {g: sorted(x) for g, x in out.items()}
-
-    def holders(self) -> dict[int, list]:
-        """Gram -> items, for every gram of every item."""
-        out: dict[int, set] = {}
-        for item_id, grams in self.grams_of.items():
-            for g in grams:
-                out.setdefault(g, set()).add(item_id)
-        return {g: sorted(x) for g, x in out.items()}
+class GramFilter:
+    """Which n-gram hashes may be an item's; the bits are those of :func:`_filter_words`."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words, self.mask = words, np.uint64(len(words) * 64 - 1)
+
+    def hits(self, h: np.ndarray) -> np.ndarray:
+        """Places of the hashes that pass every probe."""
+        at = np.arange(len(h))
+        low, high = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
+        for i in range(PROBES):
+            if not len(at):
+                break
+            bit = (low[at] + np.uint64(i) * high[at]) & self.mask
+            at = at[(self.words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)]
+        return at
+
+
+def _filter(grams: DataFrame) -> GramFilter:
+    """The filter of a table of ``gram``; the driver gets its words, at most FILTER_MOST / 64 of them."""
+    n = grams.count()
+    bits = min(FILTER_MOST, max(1 << 13, 1 << (FILTER_BITS * max(1, n) - 1).bit_length()))
+    low, high = F.col("gram").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("gram", 32).bitwiseOR(F.lit(1).cast("bigint"))
+    bit = F.explode(F.transform(F.sequence(F.lit(0), F.lit(PROBES - 1)), lambda i: (low + i.cast("bigint") * high).bitwiseAND(bits - 1)))
+    words = grams.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("bit") % 64).cast("int"))).alias("word"))
+    out = np.zeros(bits // 64, np.int64)
+    for r in words.toLocalIterator():
+        out[r["at"]] = r["word"]
+    return GramFilter(out.view(np.uint64))
 
 
 def reach(matched: np.ndarray) -> int:
@@ -131,124 +127,121 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best, longest
 
 
-def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, run: int = 12, least_share: float | None = None) -> DataFrame:
-    """``doc_id, item_id, score, share, longest_run``: messages and items that share a rare passage.
+def _coded_items(items: DataFrame) -> DataFrame:
+    """``item_id, codes, grams`` of items ``item_id, text``; null ids are left out."""
+    out_type = T.StructType([items.schema["item_id"], T.StructField("codes", T.ArrayType(T.LongType())), T.StructField("grams", T.ArrayType(T.LongType()))])
 
-    ``score`` is the best Smith-Waterman score (words; match 2, mismatch -1, skip -1) of
-    a passage of the message against the item, ``share`` that score over the item's own
-    (1.0: the whole item), ``longest_run`` the most consecutive words in common. All
-    pairs that share ``run`` words or more are among them. With ``least_share`` also all edited
-    copies of at least that share that keep any GRAM words of the item in a row: every gram of an
-    item is a seed then, however many copies or items have it, and a passage is spared the
-    alignment only if its words cannot reach the share. Filter by ``longest_run`` or ``share``.
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes()
+        for b in batches:
+            coded = [codes.of(words_of(t.as_py() or "")) for t in b.column(1)]
+            grams = [gram_hashes(c).view(np.int64) for c in coded]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.view(np.int64) for c in coded], pa.list_(pa.int64())), pa.array(grams, pa.list_(pa.int64()))], names=["item_id", "codes", "grams"])
 
-    The corpus is read once: a task codes the words of each text part, looks up all item
-    n-grams and keeps only the passages around hits, written to the shared folder. Message counts
-    per gram (combined before the shuffle) choose the seeds, and only seeded passages
-    are aligned. Items are taken in blocks of ITEMS_PER_BLOCK, the bound of what is sent
-    to the tasks; with more items the passes repeat per block. Null or empty texts
-    match nothing, items shorter than GRAM words match nothing, rows with the same id
-    count as one message.
-    """
-    src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    listed = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("i is not null")
-    blocks = max(1, -(-listed.count() // ITEMS_PER_BLOCK))
-    id_type, item_type = src.schema["doc_id"].dataType, listed.schema["i"].dataType
-    out = None
-    for k in range(blocks):
-        block = listed.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k) if blocks > 1 else listed
-        found = _leaks_of_block(src, id_type, ItemIndex([(r.i, r.t) for r in block.toLocalIterator()]), item_type, run, least_share)
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _leaks_of_block(src: DataFrame, id_type: T.DataType, index: ItemIndex, item_type: T.DataType, run: int, least_share: float | None) -> DataFrame:
-    shared = src.sparkSession.sparkContext.broadcast(index)
-    passage_type = T.StructType(
-        [
-            T.StructField("doc_id", id_type),
-            T.StructField("codes", T.ArrayType(T.IntegerType())),
-            T.StructField("grams", T.ArrayType(T.LongType())),
-        ]
-    )
-    pair_type = T.StructType(
-        [
-            T.StructField("doc_id", id_type),
-            T.StructField("item_id", item_type),
-            T.StructField("score", T.LongType()),
-            T.StructField("share", T.DoubleType()),
-            T.StructField("longest_run", T.IntegerType()),
-        ]
-    )
-
-    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = shared.value
+    return items.where("item_id is not null").mapInArrow(code, out_type)
+
+
+def _passages(src: DataFrame, gram_filter: GramFilter) -> DataFrame:
+    """``doc_id, passage, codes, grams``: the passages of messages around n-grams that pass the filter."""
+    shared = src.sparkSession.sparkContext.broadcast(gram_filter)
+    out_type = T.StructType([src.schema["doc_id"], T.StructField("passage", T.IntegerType()), T.StructField("codes", T.ArrayType(T.LongType())), T.StructField("grams", T.ArrayType(T.LongType()))])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, word_codes = shared.value, Codes()
         for b in batches:
-            at, codes_out, grams_out = [], [], []
+            at, numbers, codes_out, grams_out = [], [], [], []
             for i, message in enumerate(b.column(1)):
-                seen: set[tuple] = set()
+                seen: set[bytes] = set()
                 for words in part_words(message.as_py()):
-                    codes = ix.encode(words)
-                    pos, grams = ix.hits(codes)
+                    if len(words) < GRAM:
+                        continue
+                    codes = word_codes.of(words)
+                    hashes = gram_hashes(codes)
+                    pos = known.hits(hashes)
                     if not len(pos):
                         continue
-                    cuts = np.flatnonzero(np.diff(pos) > REGION_GAP) + 1
-                    for p, g in zip(np.split(pos, cuts), np.split(grams, cuts), strict=True):
+                    for p in np.split(pos, np.flatnonzero(np.diff(pos) > REGION_GAP) + 1):
                         passage = codes[max(0, int(p[0]) - REGION_GAP) : int(p[-1]) + GRAM + REGION_GAP]
-                        key = tuple(passage.tolist())
+                        key = passage.tobytes()
                         if key not in seen:  # the HTML twin of a plain part
-                            seen.add(key)
                             at.append(i)
-                            codes_out.append(passage.astype(np.int32))
-                            grams_out.append(np.unique(g))
+                            numbers.append(len(seen))
+                            codes_out.append(passage.view(np.int64))
+                            grams_out.append(np.unique(hashes[p]).view(np.int64))
+                            seen.add(key)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(at, pa.int64())), pa.array(codes_out, pa.list_(pa.int32())), pa.array(grams_out, pa.list_(pa.int64()))],
-                names=["doc_id", "codes", "grams"],
+                [b.column(0).take(pa.array(at, pa.int64())), pa.array(numbers, pa.int32()), pa.array(codes_out, pa.list_(pa.int64())), pa.array(grams_out, pa.list_(pa.int64()))],
+                names=["doc_id", "passage", "codes", "grams"],
             )
 
-    kept = cut_lineage(src.mapInArrow(passages, passage_type))
-    counts = kept.select("doc_id", F.explode("grams").alias("gram")).distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    # at most as many rows as the block has grams
-    seeds = index.seeds({r.gram: r.n for r in counts.toLocalIterator()}, run)
-    seeded = src.sparkSession.sparkContext.broadcast((seeds, {} if least_share is None else index.holders()))
+    return src.mapInArrow(cut, out_type)
+
+
+def _seeds(grams: DataFrame, in_docs: DataFrame, run: int) -> DataFrame:
+    """``gram, item_id``: in every window of ``run`` words of an item its rarest n-gram that the corpus has.
+
+    Rare is what few items hold, then what few messages hold. A message that shares ``run``
+    consecutive words with an item holds all n-grams of that window, so also its seed: no such pair is lost.
+    """
+    held = grams.groupBy("gram").agg(F.countDistinct("item_id").alias("n_items")).join(in_docs, "gram")
+    there = grams.join(held, "gram", "left").withColumn("key", F.when(F.col("n_docs").isNotNull(), F.struct("n_items", "n_docs", "gram")))
+    own = Window.partitionBy("item_id").orderBy("at")
+    last = F.count(F.lit(1)).over(Window.partitionBy("item_id")) - 1
+    width = max(0, run - GRAM)
+    # the windows that begin at each place; items shorter than a window have one
+    rarest = there.select("item_id", "at", last.alias("last"), F.min("key").over(own.rowsBetween(0, width)).alias("key"))
+    return rarest.where((F.col("at") == 0) | (F.col("at") + width <= F.col("last"))).where("key is not null").select("key.gram", "item_id").distinct()
+
+
+def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, run: int = 12, least_share: float | None = None) -> DataFrame:
+    """``doc_id, item_id, score, share, longest_run``: messages and items that share a rare passage.
+
+    ``score`` is the best Smith-Waterman score (words; match 2, mismatch -1, skip -1) of
+    a passage of the message against the item, ``share`` that score over the item's own
+    (1.0: the whole item), ``longest_run`` the most consecutive words in common. All
+    pairs that share ``run`` words or more are among them. With ``least_share`` also all edited
+    copies of at least that share that keep any GRAM words of the item in a row: every n-gram of an
+    item is a seed then, however many copies or items have it, and a passage is spared the
+    alignment only if its words cannot reach the share.
+
+    The corpus is read once: only the passages around n-grams that pass the items' filter are
+    kept, written to the shared folder. They meet the items by n-gram; everything
+    shuffled is in proportion to what passed the filter, not to the corpus. Null or empty texts
+    match nothing, items shorter than GRAM words match nothing, rows with the same id
+    count as one message or item.
+    """
+    src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    coded = cut_lineage(_coded_items(items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))))
+    grams = coded.select("item_id", F.posexplode("grams").alias("at", "gram"))
+    kept = cut_lineage(_passages(src, _filter(grams.select("gram").distinct())))
+    held = kept.select("doc_id", "passage", F.explode("grams").alias("gram"))
+    in_docs = held.groupBy("gram").agg(F.countDistinct("doc_id").alias("n_docs"))
+    seeds = _seeds(grams, in_docs, run).withColumn("sure", F.lit(True))
+    if least_share is not None:
+        every = grams.select("gram", "item_id").withColumn("sure", F.lit(False))
+        seeds = seeds.unionByName(every).groupBy("gram", "item_id").agg(F.max("sure").alias("sure"))
+    met = held.join(seeds, "gram").groupBy("doc_id", "passage", "item_id").agg(F.max("sure").alias("sure"))
+    pairs = met.join(kept.select("doc_id", "passage", "codes"), ["doc_id", "passage"]).join(coded.select("item_id", F.col("codes").alias("own")), "item_id").select("doc_id", "item_id", "sure", "codes", "own")
+    out_type = T.StructType([src.schema["doc_id"], coded.schema["item_id"], T.StructField("score", T.LongType()), T.StructField("share", T.DoubleType()), T.StructField("longest_run", T.IntegerType())])
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix, (chosen, holders) = shared.value, seeded.value
-        present = np.zeros(len(ix.vocabulary) + 1, bool)  # the last place, -1, is that of foreign words and stays false
-        own = {i: MATCH * max(1, len(c)) for i, c in ix.codes.items()}
         for b in batches:
-            at, items_out, scores, shares, runs = [], [], [], [], []
-            for i, (codes, grams) in enumerate(zip(b.column(1), b.column(2), strict=True)):
-                held = grams.as_py()
-                candidates = {item for g in held for item in chosen.get(g, ())}
-                others = {item for g in held for item in holders.get(g, ())} - candidates
-                if not candidates and not others:
+            at, scores, shares, runs = [], [], [], []
+            for i, (sure, passage, own) in enumerate(zip(*[b.column(c) for c in ("sure", "codes", "own")], strict=True)):
+                words, item = passage.values.to_numpy(), own.values.to_numpy()
+                full = MATCH * max(1, len(item))
+                if not sure.as_py() and min(reach(np.isin(item, words)), reach(np.isin(words, item))) < least_share * full:
                     continue
-                passage = np.array(codes.as_py(), np.int64)
-                if others:
-                    present[passage[passage >= 0]] = True
-                    others = [item for item in others if reach(present[ix.codes[item]]) >= least_share * own[item]]
-                    present[passage] = False
-                for item in others:
-                    present[ix.codes[item]] = True
-                    if reach(present[passage]) >= least_share * own[item]:
-                        candidates.add(item)
-                    present[ix.codes[item]] = False
-                for item in candidates:
-                    score, longest = align(ix.codes[item], passage)
-                    at.append(i)
-                    items_out.append(item)
-                    scores.append(score)
-                    shares.append(score / own[item])
-                    runs.append(longest)
+                score, longest = align(item, words)
+                at.append(i)
+                scores.append(score)
+                shares.append(score / full)
+                runs.append(longest)
+            take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(at, pa.int64())), pa.array(items_out, _arrow(item_type)), pa.array(scores, pa.int64()), pa.array(shares, pa.float64()), pa.array(runs, pa.int32())],
-                names=[f.name for f in pair_type],
+                [b.column("doc_id").take(take), b.column("item_id").take(take), pa.array(scores, pa.int64()), pa.array(shares, pa.float64()), pa.array(runs, pa.int32())],
+                names=["doc_id", "item_id", "score", "share", "longest_run"],
             )
 
-    pairs = kept.mapInArrow(aligned, pair_type)
-    return pairs.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("share").alias("share"), F.max("longest_run").alias("longest_run"))
-
-
-def _arrow(t: T.DataType) -> pa.DataType:
-    return {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.StringType: pa.string()}[type(t)]
+    found = pairs.mapInArrow(aligned, out_type)
+    return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("share").alias("share"), F.max("longest_run").alias("longest_run"))

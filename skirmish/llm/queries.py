@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skirmish.functions.names import name_key, term_key
 from skirmish.llm import oracles
-from skirmish.llm.leaks import leaked_items
+from skirmish.llm.leaks import MATCH, leaked_items
 from skirmish.llm.packing import pack, token_counts
 from skirmish.llm.percentiles import exact_percentiles, merge_counts, value_counts
 from skirmish.llm.sentences import message_sentences
@@ -100,7 +100,8 @@ def _leaks(spark: SparkSession, sf_dir: str, least_share: float | None = None) -
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages and the items of which they hold at least twelve consecutive words."""
-    return _leaks(spark, sf_dir).where(F.col("longest_run") >= LEAK_WORDS).select("doc_id", "item_id")
+    # the alignment of a run of n words scores at least n matches; the exact run decides among what scores that
+    return _leaks(spark, sf_dir).where(F.col("score") >= MATCH * LEAK_WORDS).where(F.col("longest_run") >= LEAK_WORDS).select("doc_id", "item_id")
 
 
 def p8_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from skirmish.llm import leaks, packing
-from skirmish.llm.leaks import ItemIndex, align, leaked_items, reach, words_of
+from skirmish.llm.leaks import Codes, GramFilter, align, gram_hashes, leaked_items, reach, words_of
 from skirmish.llm.packing import completions, complete, lower_bound, pack, pack_histogram, search, token_counts, tokenizer
 
 WORDS = [f"w{i}" for i in range(300)]
@@ -17,9 +17,9 @@ def body(words):
     return "From: a@b.c\nContent-Type: text/plain\n\n" + " ".join(words)
 
 
-@pytest.mark.parametrize("block", [3, 20_000])
-def test_every_run_of_twelve_is_found(spark, monkeypatch, block):
-    monkeypatch.setattr(leaks, "ITEMS_PER_BLOCK", block)
+@pytest.mark.parametrize("bits", [1 << 13, 1 << 29])
+def test_every_run_of_twelve_is_found(spark, monkeypatch, bits):
+    monkeypatch.setattr(leaks, "FILTER_MOST", bits)
     rng = random.Random(1)
     stock = rng.choices(WORDS, k=14)
     items = [(i, rng.choices(WORDS, k=40) + (stock if i % 2 else [])) for i in range(8)] + [(100, ["only", "three", "words"]), (101, [])]
@@ -70,9 +70,51 @@ def test_reach_bounds_the_alignment():
         assert align(a, b)[0] <= min(reach(np.isin(a, b)), reach(np.isin(b, a)))
 
 
-def test_words_and_empty_index():
+def test_words_codes_and_filter(monkeypatch):
     assert words_of("Él_dijo: 3,5 Straße—ok") == ["él", "dijo", "3", "5", "straße", "ok"]
-    assert len(ItemIndex([]).hits(np.arange(9))[0]) == 0
+    monkeypatch.setattr(leaks, "REMEMBERED", 3)
+    words = [f"w{i % 7}" for i in range(50)]
+    assert np.array_equal(Codes().of(words), np.concatenate([Codes().of([w]) for w in words]))
+    assert len(gram_hashes(Codes().of(words))) == 46 and len(gram_hashes(Codes().of(words[:3]))) == 0
+    assert len(GramFilter(np.zeros(128, np.uint64)).hits(gram_hashes(Codes().of(words)))) == 0
+
+
+def test_filter_passes_every_item_gram(spark):
+    rng = np.random.default_rng(1)
+    grams = rng.integers(-(1 << 62), 1 << 62, 2000)
+    f = leaks._filter(spark.createDataFrame([(int(g),) for g in grams], "gram bigint"))
+    assert len(f.hits(grams.view(np.uint64))) == 2000
+    assert len(f.hits(rng.integers(-(1 << 62), 1 << 62, 100_000).view(np.uint64))) < 50
+
+
+@pytest.mark.parametrize("percent", [10, 15, 20])
+def test_recall_of_edited_copies_beside_intact_ones(spark, percent):
+    """Each item once intact and once with replaced words; pairs that truly align over half the item."""
+    rng = random.Random(percent)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    items = [(i, rng.choices(vocabulary, k=rng.randint(30, 90))) for i in range(120)]
+    docs, want = [], set()
+    for i, w in items:
+        edited = [rng.choice(vocabulary) if rng.random() < percent / 100 else x for x in w]
+        noise = [rng.choices(vocabulary, k=30) for _ in range(4)]
+        docs += [(2 * i, body(noise[0] + w + noise[1])), (2 * i + 1, body(noise[2] + edited + noise[3]))]
+        codes = Codes()
+        if align(codes.of(w), codes.of(edited))[0] >= 0.5 * 2 * len(w):
+            want.add((2 * i + 1, i))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    it = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in leaked_items(df, "doc_id", "text", it, "item_id", "text", 12, 0.5).collect() if r.share >= 0.5}
+    assert len(want) > 100 and len(got & want) >= 0.98 * len(want)
+    assert {(2 * i, i) for i, _ in items} <= got
+
+
+def test_item_ids_of_any_type(spark):
+    import datetime as dt
+
+    item = WORDS[:20]
+    it = spark.createDataFrame([(dt.date(2020, 1, 1), " ".join(item))], "item_id date, text string")
+    df = spark.createDataFrame([("d", body(item))], "doc_id string, text string")
+    assert [(r.doc_id, r.item_id, r.longest_run) for r in leaked_items(df, "doc_id", "text", it, "item_id", "text").collect()] == [("d", dt.date(2020, 1, 1), 20)]
 
 
 def test_leaks_of_empty_tables(spark):
