@@ -13,8 +13,6 @@ import html
 import re
 from dataclasses import dataclass
 
-MAX_DEPTH = 20
-
 _HEADER = re.compile(r"^([!-9;-~]+)[ \t]*:[ \t]*(.*)$")
 _PARAM = re.compile(r""";\s*([\w*-]+)\s*=\s*("(?:[^"\\]|\\.)*"|[^;\s]*)""")
 _NOT64 = re.compile(rb"[^A-Za-z0-9+/]")
@@ -102,32 +100,35 @@ def _split(text: str) -> tuple[dict[str, str], str]:
     return _headers(head), "" if end < 0 else text[end + 2 :]
 
 
-def _walk(text: str, out: list[Part], depth: int) -> None:
-    head, body = _split(text)
-    ctype = head.get("content-type", "text/plain")
-    kind = ctype.split(";", 1)[0].strip().lower() or "text/plain"
-    params = _params(ctype)
-    if kind.startswith("multipart/") and params.get("boundary") and depth < MAX_DEPTH:
-        mark = re.escape(params["boundary"])
-        pieces = re.split(rf"(?:^|\n)--{mark}(--)?[ \t]*(?=\n|$)", body)
-        # pieces: preamble, closing mark or None, part, ...
-        for i in range(1, len(pieces) - 1, 2):
-            if pieces[i]:
-                break
-            _walk(pieces[i + 1].removeprefix("\n"), out, depth + 1)
-        return
-    attached = head.get("content-disposition", "").strip().lower().startswith("attachment")
-    if kind == "message/rfc822" and depth < MAX_DEPTH:
-        inner: list[Part] = []
-        _walk(decode_body(body, head.get("content-transfer-encoding", "").strip().lower(), "utf-8"), inner, depth + 1)
-        out.extend(Part(p.kind, True, p.text) for p in inner)
-        return
-    if kind in ("text/plain", "text/html"):
+def _leaves(entity: str) -> list[Part]:
+    """Text leaves of an entity in order, however deep; those within an attached message count as attached."""
+    out: list[Part] = []
+    todo = [(entity, False)]
+    while todo:
+        text, within = todo.pop()
+        head, body = _split(text)
+        ctype = head.get("content-type", "text/plain")
+        kind = ctype.split(";", 1)[0].strip().lower() or "text/plain"
+        params = _params(ctype)
         encoding = head.get("content-transfer-encoding", "").split(";")[0].strip().lower()
-        plain = decode_body(body, encoding, params.get("charset", "").strip("'\""))
-        if "\r" in plain:
-            plain = plain.replace("\r\n", "\n").replace("\r", "\n")
-        out.append(Part(kind, attached, plain))
+        if kind.startswith("multipart/") and params.get("boundary"):
+            pieces = re.split(rf"(?:^|\n)--{re.escape(params['boundary'])}(--)?[ \t]*(?=\n|$)", body)
+            # pieces: preamble, closing mark or None, part, ...
+            inner = []
+            for i in range(1, len(pieces) - 1, 2):
+                if pieces[i]:
+                    break
+                inner.append((pieces[i + 1].removeprefix("\n"), within))
+            todo += reversed(inner)
+        elif kind == "message/rfc822":
+            todo.append((decode_body(body, encoding, "utf-8"), True))
+        elif kind in ("text/plain", "text/html"):
+            attached = within or head.get("content-disposition", "").strip().lower().startswith("attachment")
+            plain = decode_body(body, encoding, params.get("charset", "").strip("'\""))
+            if "\r" in plain:
+                plain = plain.replace("\r\n", "\n").replace("\r", "\n")
+            out.append(Part(kind, attached, plain))
+    return out
 
 
 def text_parts(message: str | None) -> list[Part]:
@@ -140,9 +141,7 @@ def text_parts(message: str | None) -> list[Part]:
     t = t.lstrip("\n﻿")
     if t.startswith(("From ", ">From ")):
         t = t[t.find("\n") + 1 :] if "\n" in t else ""
-    out: list[Part] = []
-    _walk(t, out, 0)
-    return out
+    return _leaves(t)
 
 
 _DROP = re.compile(r"<!--.*?(?:-->|$)|<(style|script|head|title)\b[^>]*>.*?(?:</\1\s*>|$)", re.I | re.S)

@@ -152,3 +152,58 @@ def test_openers_without_a_partner_block_nothing(text, n):
 def test_openers_and_whole_runs(text, n):
     got = split_paragraph(text)
     assert len(got) == n, got
+
+
+# Sentences no list was written for, each with its boundaries marked by a bar.
+HELD_OUT = [
+    "ฉันชอบกินข้าวผัด |แมวของฉันชอบนอนกลางวัน",
+    "พ่อทำงานที่ธนาคาร |แม่ขายผลไม้ในตลาด |น้องกำลังเรียนหนังสือ",
+    "ถ้าฝนตก เราจะไม่ไปทะเล |พรุ่งนี้อากาศจะดี",
+    "เขาบอกว่า ไม่มีเวลา |เราต้องรอจนถึงเย็น",
+    "รถไฟออกแล้ว |เรามาไม่ทัน |ดังนั้นต้องรอคันต่อไป",
+    "ร้านนี้ขายของแพง |คนไม่ค่อยมาซื้อ",
+    "今朝は雨が降っていた。|電車が遅れたので、会社に遅刻した。|「大丈夫？」と部長に聞かれた。|明日は早く出よう！",
+    "彼は「行かない。」と言った。|私は驚いた。",
+    "今天天气很好。|我们去公园吧！|她问：“你吃饭了吗？”|他摇摇头。",
+    "“快走！”老师喊道。|学生们跑了出去。",
+    "ខ្ញុំទៅផ្សារព្រឹកនេះ។ |គាត់នៅផ្ទះ។ |តើអ្នកសុខសប្បាយទេ?",
+    "ကျွန်တော်သွားမယ်။ |သူလာမယ်။ |စားပြီးပြီ။",
+    "ཁྱེད་རང་ག་པར་འགྲོ། |ང་ཁྲོམ་ལ་འགྲོ།",
+    "Բարեւ։ |Ինչպես ես։ |Լավ եմ։",
+    "ሰላም ነው። |ደህና ነኝ።",
+    "I met Adm. Hale on board. |We sailed at dawn (see p. 4). |“Land!” he cried. |Nobody slept.",
+    "1. Open the door. |2. Walk in. |3. Close it.",
+    "Il a dit « non. Jamais. » et il est parti. |Elle rit.",
+]
+
+
+def test_held_out_texts():
+    """Boundaries of sentences the lists were not made from: recall and precision."""
+    hit = wanted = given = 0
+    for marked in HELD_OUT:
+        want = {x.strip() for x in marked.split("|")}
+        got = set(split_paragraph(marked.replace("|", "")))
+        hit, wanted, given = hit + len(got & want), wanted + len(want), given + len(got)
+    assert hit >= 0.9 * wanted and hit >= 0.9 * given, (hit, wanted, given)
+
+
+def test_long_paragraphs_take_linear_time():
+    import time
+
+    for text in ("word one two. " * 8000, "(a. " * 8000, "a.b@c/" * 8000 + ".", "“x. " * 8000, "他说。" * 8000, "ฉันไป " * 8000):
+        began = time.perf_counter()
+        got = split_paragraph(text.strip())
+        assert time.perf_counter() - began < 2 and "".join("".join(got).split()) == "".join(text.split())
+
+
+def test_a_later_choice_revises_an_earlier_one():
+    # without its closing mark the bracket is no pair, with it the boundary inside is given up
+    assert len(split_paragraph("We left (it was late. We knew. Bron stayed.")) == 3
+    assert len(split_paragraph("We left (it was late. We knew). Bron stayed.")) == 2
+
+
+def test_parts_of_any_depth():
+    inner = "Content-Type: text/plain\n\nDeep words."
+    for i in range(60):
+        inner = f"Content-Type: multipart/mixed; boundary=b{i}\n\n--b{i}\n{inner}\n--b{i}--\n"
+    assert [(p.kind, p.attached, p.text.strip()) for p in text_parts("From: a@b.c\n" + inner)] == [("text/plain", False, "Deep words.")]
