@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skirmish.functions.arrow import grouped
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_BROKEN = (T.FloatType, T.DoubleType, T.DecimalType)
 
-GROUPS_IN_MEMORY = 50_000
-_FLIP = bytes(255 - i for i in range(256))
 
+def least_of(df: DataFrame, value: Column, n: int) -> Column:
+    """Aggregate: the ``n`` least of ``value`` in order.
 
-def descending(text: str | None) -> bytes:
-    """Key whose ascending order is the descending byte order of ``text``; null counts as ''."""
-    return (text or "").encode().translate(_FLIP) + b"\xff"
+    Spark's own bounded priority queue, which has a partial step that keeps at most ``n`` values per
+    group and a merge step; it has no Python name, so it is fetched from the JVM.
+    """
+    jvm = df.sparkSession._jvm
+    bridge = jvm.org.apache.spark.sql.classic.ExpressionUtils
+    heap = jvm.org.apache.spark.sql.catalyst.expressions.aggregate.CollectTopK(bridge.expression(value._jc), n, True)
+    return Column(bridge.column(heap.toAggregateExpression()))
 
 
 def top_n(df: DataFrame, groups: list[str], score: str, ties: list[str], n: int, rank: str = "rank_no") -> DataFrame:
@@ -26,83 +27,31 @@ def top_n(df: DataFrame, groups: list[str], score: str, ties: list[str], n: int,
 
     Equal scores rank by ``ties`` (strings) in ascending byte order, null as the
     empty string; rows equal in all of these are interchangeable and each takes
-    a rank. Rows with a null score are not ranked. Null group keys form a group.
+    a rank. Rows with a null or NaN score are not ranked. Null group keys form a group. ``score`` is a number.
 
-    Every task keeps one heap of at most ``n`` rows per group and gives its heaps
-    out when it holds GROUPS_IN_MEMORY groups, so memory is bounded and what
-    reaches the shuffle is at most ``n`` rows per group and heap, however large a
-    group is. Heaps of a group are merged by the same rule after the shuffle.
+    Every task keeps one heap of at most ``n`` rows per group, and what
+    reaches the shuffle is at most ``n`` rows per group and task, however large a
+    group is. Heaps of a group are merged by the same rule after the shuffle; no Python is run.
     Result: ``groups``, ``score``, ``ties`` and ``rank``; other columns are dropped.
     """
-    src = df.where(F.col(score).isNotNull()).select(*groups, score, *ties)
-    if isinstance(df.schema[score].dataType, T.DoubleType | T.FloatType):
-        src = src.where(~F.isnan(score))
-    names = src.columns
-    heap_type = src.schema
-    out_type = T.StructType([*heap_type.fields, T.StructField(rank, T.IntegerType())])
-    g, k = len(groups), len(groups) + 1
-
-    def push(heaps: dict, key: tuple, item: tuple) -> None:
-        heap = heaps.setdefault(key, [])
-        if len(heap) < n:
-            heapq.heappush(heap, item)
-        elif item > heap[0]:
-            heapq.heapreplace(heap, item)
-
-    def items(cols: list[list]) -> Iterator[tuple[tuple, tuple]]:
-        """(group key, heap item); the least item is the first to go."""
-        for row in zip(*cols, strict=True):
-            yield row[:g], (row[g], *[descending(x) for x in row[k:]], *[x is None for x in row[k:]])
-
-    def restored(key: tuple, item: tuple) -> tuple:
-        texts = item[1 : 1 + len(ties)]
-        nulls = item[1 + len(ties) :]
-        return (*key, item[0], *[None if z else b[:-1].translate(_FLIP).decode() for b, z in zip(texts, nulls, strict=True)])
+    kind = df.schema[score].dataType
+    if not isinstance(kind, _WHOLE + _BROKEN):
+        raise TypeError(f"{score} is no number")
+    whole = isinstance(kind, _WHOLE)
 
-    def batch(rows: list[tuple], fields: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
-        cols = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=fields)
+    def turned(c: Column) -> Column:
+        """Descending order as ascending; its own inverse, without overflow."""
+        return F.bitwise_not(c) if whole else -c
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heaps: dict[tuple, list] = {}
-        types: list[pa.DataType] = []
-
-        def given() -> Iterator[pa.RecordBatch]:
-            rows = []
-            for key, heap in heaps.items():
-                rows += [restored(key, i) for i in heap]
-                if len(rows) > 20_000:
-                    yield batch(rows, names, types)
-                    rows = []
-            if rows:
-                yield batch(rows, names, types)
-            heaps.clear()
-
-        for b in batches:
-            types = [f.type for f in b.schema]
-            for key, item in items([c.to_pylist() for c in b.columns]):
-                push(heaps, key, item)
-            if len(heaps) >= GROUPS_IN_MEMORY:
-                yield from given()
-        if heaps:
-            yield from given()
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, starts, ends in grouped(batches, groups):
-            types = [f.type for f in t.schema]
-            cols = [c.to_pylist() for c in t.columns]
-            rows = []
-            for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-                heaps: dict[tuple, list] = {}
-                for key, item in items([c[s:e] for c in cols]):
-                    push(heaps, key, item)
-                for key, heap in heaps.items():
-                    rows += [(*restored(key, i), r) for r, i in enumerate(sorted(heap, reverse=True), 1)]
-                if len(rows) > 20_000:
-                    yield batch(rows, [*names, rank], [*types, pa.int32()])
-                    rows = []
-            if rows:
-                yield batch(rows, [*names, rank], [*types, pa.int32()])
-
-    small = src.mapInArrow(partial, heap_type)
-    return small.repartition(*groups).sortWithinPartitions(*groups).mapInArrow(merged, out_type)
+    src = df.where(F.col(score).isNotNull())
+    if isinstance(kind, T.DoubleType | T.FloatType):
+        src = src.where(~F.isnan(score))
+    item = F.struct(
+        turned(F.col(score)).alias("s"),
+        *[F.coalesce(F.col(t), F.lit("")).alias(f"t{i}") for i, t in enumerate(ties)],
+        *[F.col(t).isNull().alias(f"n{i}") for i, t in enumerate(ties)],
+    )
+    best = src.select(*groups, item.alias("__item")).groupBy(*groups).agg(least_of(df, F.col("__item"), n).alias("__best"))
+    rows = best.select(*groups, F.posexplode("__best").alias("__at", "__item"))
+    restored = [F.when(~F.col(f"__item.n{i}"), F.col(f"__item.t{i}")).alias(t) for i, t in enumerate(ties)]
+    return rows.select(*groups, turned(F.col("__item.s")).cast(kind).alias(score), *restored, (F.col("__at") + 1).cast("int").alias(rank))
