@@ -30,8 +30,8 @@ def asof_last(df: DataFrame, keys: list[str], seq: str, value: str, out: str, ch
     cut = df.withColumn("__chunk", F.expr(f"{seq} div {chunk}"))
     within = Window.partitionBy(*keys, "__chunk").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
     local = cut.withColumn("__v", F.last(value, ignorenulls=True).over(within))
-    ends = cut.where(F.col(value).isNotNull()).groupBy(*keys, "__chunk").agg(F.max(F.struct(seq, value)).getField(value).alias("__e"))
-    chunks = cut.select(*keys, "__chunk").distinct().join(ends, [*keys, "__chunk"], "left")
+    last = F.max(F.when(F.col(value).isNotNull(), F.struct(seq, value))).getField(value)
+    chunks = cut.groupBy(*keys, "__chunk").agg(last.alias("__e"))
     before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = chunks.withColumn("__c", F.last("__e", ignorenulls=True).over(before)).drop("__e")
     return local.join(carried, [*keys, "__chunk"], "left").withColumn(out, F.coalesce("__v", "__c")).drop("__chunk", "__v", "__c")

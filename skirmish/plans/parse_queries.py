@@ -11,6 +11,7 @@ from skirmish.operators.owners import ownership_tags
 from skirmish.operators.parse import line_shape, parse_lines, parser_metrics, split_lines, unparsed_shapes
 from skirmish.plans import report
 from skirmish.plans.pipeline import Battle, analyze
+from skirmish.plans.queries import as_text
 from skirmish.session import cut_lineage, load, spread
 from skirmish.sources.logs import character_of, log_identity, retro_window, server_of
 
@@ -128,8 +129,7 @@ def _battle(spark: SparkSession, sf_dir: str) -> Battle:
 
 def b_battle_encounters(spark, sf_dir):
     """The whole batch pipeline on the raw game logs: encounter headers."""
-    heads = _battle(spark, sf_dir).encounters
-    return heads.withColumn("npc_damage", F.to_json("npc_damage"))
+    return as_text(_battle(spark, sf_dir).encounters)
 
 
 def b_battle_fighters(spark, sf_dir):

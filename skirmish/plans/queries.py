@@ -11,27 +11,37 @@ from skirmish.operators.encounters import build_encounters
 from skirmish.operators.gap_tree import sessionize
 from skirmish.operators.owners import asof_last, final_owners
 from skirmish.plans import report
-from skirmish.session import load
+from skirmish.plans.fold_twin import FOLD, HEADERS
+from skirmish.session import cut_lineage, load
 
 BY = report.ENCOUNTER
 
 
-def clean_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each delivered line once, names in comparison form, only rows with a stamp."""
+# Columns a report reads; the one-row-per-line shuffle carries no others.
+CORE = ["ts", "enc_id", "action", "amount", "attacker", "target", "attacker_kind", "target_kind"]
+FIGHTER = [*CORE, "attacker_owner", "target_owner", "mechanic", "is_critical"]
+SOURCE = [*FIGHTER, "verb", "spell"]
+DEFENSE = [*SOURCE, "miss_reason"]
+CLASS = ["ts", "attacker", "attacker_kind", "verb", "spell"]
+FOLD_IN = ["ts", "action", "amount", "attacker", "target", "attacker_kind", "target_kind", "mechanic"]
+
+
+def clean_events(spark: SparkSession, sf_dir: str, need: list[str] = DEFENSE) -> DataFrame:
+    """Each delivered line once, names in comparison form, only rows with a stamp; of the columns those in ``need``."""
     names = {c: name_key(F.col(c)) for c in ("attacker", "target", "attacker_owner", "target_owner")}
     terms = {c: term_key(F.col(c)) for c in ("spell", "verb")}
     rest = {c: F.col(c) for c in ("ts", "action", "mechanic", "miss_reason", "is_critical", "attacker_kind", "target_kind", "enc_id")}
-    columns = {**names, **terms, **rest, "amount": F.coalesce("amount", F.lit(0))}
+    columns = {c: e for c, e in {**names, **terms, **rest, "amount": F.coalesce("amount", F.lit(0))}.items() if c in need}
     return once_per_key(load(spark, sf_dir, "combat_events"), ["log_id", "line_no"], "arrived_at", columns).where("ts is not null")
 
 
-def fought(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fought(spark: SparkSession, sf_dir: str, need: list[str] = DEFENSE) -> DataFrame:
     """Clean events inside encounters."""
-    return clean_events(spark, sf_dir).where("enc_id is not null")
+    return clean_events(spark, sf_dir, need).where("enc_id is not null")
 
 
-def _given(spark: SparkSession, sf_dir: str, by: list[str] = BY) -> DataFrame:
-    return report.credits(fought(spark, sf_dir), by)
+def _given(spark: SparkSession, sf_dir: str, by: list[str] = BY, need: list[str] = FIGHTER) -> DataFrame:
+    return report.credits(fought(spark, sf_dir, need), by)
 
 
 def r_fighters(spark, sf_dir):
@@ -42,12 +52,12 @@ def r_fighters(spark, sf_dir):
 
 def r_sources(spark, sf_dir):
     """Source buckets of damage done, damage taken and healing."""
-    return report.sources(_given(spark, sf_dir)).drop("fighter_key", "pet_key")
+    return report.sources(_given(spark, sf_dir, need=SOURCE)).drop("fighter_key", "pet_key")
 
 
 def r_top_sources(spark, sf_dir):
     """K2, K5: the six largest buckets of each fighter and metric, with their share of the fighter's total."""
-    s = report.sources(_given(spark, sf_dir))
+    s = report.sources(_given(spark, sf_dir, need=SOURCE))
     grp = [*BY, "metric", "fighter"]
     share = report.ratio(F.col("total"), F.sum("total").over(Window.partitionBy(*grp)))
     ties = [F.asc("category"), F.asc("source"), F.asc_nulls_first("pet")]
@@ -64,7 +74,7 @@ def r_ranking(spark, sf_dir):
 
 def r_totals(spark, sf_dir):
     """A10: total damage and healing of each encounter."""
-    return report.totals(_given(spark, sf_dir))
+    return report.totals(_given(spark, sf_dir, need=CORE))
 
 
 def r_merged_logs(spark, sf_dir):
@@ -81,12 +91,12 @@ def r_damage_plus_healing(spark, sf_dir):
 
 def r_mobs(spark, sf_dir):
     """Monsters with damage, deaths, last killer and time to kill."""
-    return report.mobs(fought(spark, sf_dir)).drop("mob_key", "first_seq")
+    return report.mobs(fought(spark, sf_dir, CORE)).drop("mob_key", "first_seq")
 
 
 def r_mob_sources(spark, sf_dir):
     """Monster x fighter x source."""
-    return report.mob_sources(fought(spark, sf_dir)).drop("mob_key", "fighter_key", "pet_key")
+    return report.mob_sources(fought(spark, sf_dir, SOURCE)).drop("mob_key", "fighter_key", "pet_key")
 
 
 def r_defenses(spark, sf_dir):
@@ -102,12 +112,12 @@ def r_defense_rollup(spark, sf_dir):
 
 def r_source_tree(spark, sf_dir):
     """Damage tree fighter > group > leaf with shares, as grouping sets."""
-    return report.source_tree(_given(spark, sf_dir), "done")
+    return report.source_tree(_given(spark, sf_dir, need=SOURCE), "done")
 
 
 def r_branch(spark, sf_dir):
     """One fighter's (the top of each encounter) sources, pets in front, with their share."""
-    given = _given(spark, sf_dir)
+    given = _given(spark, sf_dir, need=SOURCE)
     top = report.ranked(report.fighters(given), BY, "damage_done", [F.asc("first_seq"), F.asc("fighter_key")], 1).select(*BY, "fighter_key")
     rows = report.sources(given).where("metric = 'done'").join(top, [*BY, "fighter_key"], "left_semi")
     label = F.concat(F.coalesce(F.concat("pet", F.lit(": ")), F.lit("")), "source")
@@ -117,13 +127,13 @@ def r_branch(spark, sf_dir):
 
 def r_class_evidence(spark, sf_dir):
     """Class evidence of players over all events of a log."""
-    ev = report.class_evidence(clean_events(spark, sf_dir), load(spark, sf_dir, "class_catalog"))
+    ev = report.class_evidence(clean_events(spark, sf_dir, CLASS), load(spark, sf_dir, "class_catalog"))
     return ev.select("log_id", "player", "class_name", "uses")
 
 
 def r_class_labels(spark, sf_dir):
     """The three best-supported classes of a player as a label."""
-    return report.class_labels(report.class_evidence(clean_events(spark, sf_dir), load(spark, sf_dir, "class_catalog"))).select("log_id", "player", "label")
+    return report.class_labels(report.class_evidence(clean_events(spark, sf_dir, CLASS), load(spark, sf_dir, "class_catalog"))).select("log_id", "player", "label")
 
 
 def _headers(spark, sf_dir):
@@ -139,12 +149,12 @@ def r_summaries(spark, sf_dir):
 
 def r_time_range(spark, sf_dir):
     """Merged time range of a log: span, summed durations, totals."""
-    return report.time_range(_headers(spark, sf_dir), _given(spark, sf_dir))
+    return report.time_range(_headers(spark, sf_dir), _given(spark, sf_dir, need=CORE))
 
 
 def r_titles(spark, sf_dir):
     """The hardest-hit monster of an encounter and how many others."""
-    m = report.mobs(fought(spark, sf_dir))
+    m = report.mobs(fought(spark, sf_dir, CORE))
     out = m.groupBy(*BY).agg(F.min(F.struct((-F.col("damage_taken")).alias("d"), "first_seq", "mob")).getField("mob").alias("mob"), (F.count(F.lit(1)) - 1).alias("others"))
     title = F.when(F.col("others") > 0, F.concat("mob", F.lit(" +"), F.col("others").cast("string"))).otherwise(F.col("mob"))
     return out.select(*BY, title.alias("title"))
@@ -160,12 +170,18 @@ def r_chat_line(spark, sf_dir):
 def r_selected(spark, sf_dir):
     """Totals of the encounters that ended with a kill (semi join)."""
     chosen = _headers(spark, sf_dir).where("end_reason = 'all_mobs_dead'").select(*BY)
-    return report.totals(report.credits(fought(spark, sf_dir).join(chosen, BY, "left_semi")))
+    return report.totals(report.credits(fought(spark, sf_dir, CORE).join(chosen, BY, "left_semi")))
 
 
 def r_unlisted(spark, sf_dir):
     """Encounters that have events but no header (anti join)."""
-    return fought(spark, sf_dir).groupBy(*BY).agg(F.count(F.lit(1)).alias("n_events")).join(_headers(spark, sf_dir), BY, "left_anti")
+    return fought(spark, sf_dir, ["ts", "enc_id"]).groupBy(*BY).agg(F.count(F.lit(1)).alias("n_events")).join(_headers(spark, sf_dir), BY, "left_anti")
+
+
+def o_idle_pets(spark, sf_dir):
+    """Pets with a stated owner that never act in their log (anti join)."""
+    acts = load(spark, sf_dir, "combat_events").select("log_id", name_key(F.col("attacker")).alias("pet"))
+    return load(spark, sf_dir, "pet_tags").select("log_id", name_key(F.col("pet")).alias("pet")).distinct().join(acts, ["log_id", "pet"], "left_anti")
 
 
 def o_final_owner(spark, sf_dir):
@@ -176,11 +192,11 @@ def o_final_owner(spark, sf_dir):
 
 def o_owner_asof(spark, sf_dir):
     """The owner stated last at or before each event's line."""
-    ev = clean_events(spark, sf_dir).where("attacker is not null").select("log_id", "line_no", F.col("attacker").alias("pet"), F.lit(None).cast("string").alias("owner"), F.lit(True).alias("is_event"))
+    ev = clean_events(spark, sf_dir, ["ts", "attacker"]).where("attacker is not null").select("log_id", "line_no", F.col("attacker").alias("pet"), F.lit(None).cast("string").alias("owner"), F.lit(True).alias("is_event"))
     tags = load(spark, sf_dir, "pet_tags").select("log_id", "line_no", name_key(F.col("pet")).alias("pet"), name_key(F.col("owner")).alias("owner"))
     tags = tags.groupBy("log_id", "line_no", "pet").agg(F.max("owner").alias("owner")).withColumn("is_event", F.lit(False))
     both = tags.unionByName(ev).groupBy("log_id", "line_no", "pet").agg(F.max("owner").alias("owner"), F.max("is_event").alias("is_event"))
-    out = asof_last(both, ["log_id", "pet"], "line_no", "owner", "owner_asof")
+    out = asof_last(cut_lineage(both), ["log_id", "pet"], "line_no", "owner", "owner_asof")
     return out.where("is_event and owner_asof is not null").select("log_id", "line_no", "pet", "owner_asof")
 
 
@@ -189,12 +205,16 @@ def s_sessions_of_users(spark, sf_dir):
     return sessionize(load(spark, sf_dir, "events"), ["user_id"], "ts", 6 * 3600, chunk_hours=24 * 7).select("user_id", "start_ts", "end_ts", "n_events")
 
 
+def as_text(headers: DataFrame) -> DataFrame:
+    """Headers with their map as JSON and their lists joined by bars."""
+    return headers.withColumns({"npc_damage": F.to_json("npc_damage"), **{c: F.array_join(c, "|") for c in ("npcs_killed", "player_deaths")}})
+
+
 def s_encounter_fold(spark, sf_dir):
     """E1-E17 over the classified events and the split markers: encounter headers."""
-    ev = clean_events(spark, sf_dir)
+    ev = clean_events(spark, sf_dir, FOLD_IN)
     marks = load(spark, sf_dir, "split_markers").where("kind = 0").select("log_id", "ts").distinct()
-    headers, _ = build_encounters(ev, None, marks)
-    return headers.withColumn("npc_damage", F.to_json("npc_damage"))
+    return as_text(build_encounters(ev, None, marks)[0])
 
 
 QUERIES = {
@@ -202,7 +222,7 @@ QUERIES = {
     for f in (
         r_fighters, r_sources, r_top_sources, r_ranking, r_totals, r_merged_logs, r_damage_plus_healing, r_mobs, r_mob_sources, r_defenses,
         r_defense_rollup, r_source_tree, r_branch, r_class_evidence, r_class_labels, r_summaries, r_time_range, r_titles, r_chat_line, r_selected, r_unlisted,
-        o_final_owner, o_owner_asof, s_sessions_of_users, s_encounter_fold,
+        o_final_owner, o_idle_pets, o_owner_asof, s_sessions_of_users, s_encounter_fold,
     )
 }
 
@@ -277,6 +297,7 @@ _COMPACT = """case when damage_done >= 1000000 then ((damage_done + 5000) // 100
 _RANK = "row_number() over (partition by log_id, enc_id order by damage_done desc, first_seq, fighter)"
 
 ORACLES = {
+    "s_encounter_fold": f"with recursive {_CLEAN}, {FOLD} {HEADERS}",
     "r_fighters": f"""with {_GIVEN}, {_WHO} select * exclude (first_seq), case when swing_hits + swing_misses > 0 then swing_hits / (swing_hits + swing_misses) else 0 end as accuracy,
  case when swing_hits > 0 then crit_hits / swing_hits else 0 end as crit_rate from who""",
     "r_sources": f"with {_GIVEN}, {_SOURCES} select * from buckets where fighter is not null",
@@ -318,6 +339,7 @@ c as (select *, sum(length(t) + 3) over (partition by log_id, enc_id order by n)
 select log_id, enc_id, string_agg(t, ' | ' order by n) filter (used <= 480) || case when count(*) filter (used > 480) > 0 then ' (+' || count(*) filter (used > 480) || ' more)' else '' end as line from c group by 1, 2""",
     "r_selected": f"with {_GIVEN}, {_HEADS} select log_id, enc_id, cast(coalesce(sum(amount) filter (metric = 'done'), 0) as bigint) as total_damage, cast(coalesce(sum(amount) filter (metric = 'heal'), 0) as bigint) as total_healing from given semi join (select * from heads where end_reason = 'all_mobs_dead') h using (log_id, enc_id) group by 1, 2",
     "r_unlisted": f"with {_CLEAN}, {_HEADS} select log_id, enc_id, count(*) as n_events from clean anti join heads using (log_id, enc_id) where enc_id is not null group by 1, 2",
+    "o_idle_pets": f"select distinct log_id, {_k('pet')} as pet from pet_tags p anti join (select log_id as l, {_k('attacker')} as a from combat_events) on l = log_id and a = {_k('pet')}",
     "o_final_owner": f"select log_id, {_k('pet')} as pet, max(struct_pack(l := line_no, o := {_k('owner')})).o as owner from pet_tags group by 1, 2",
     "o_owner_asof": f"""with {_CLEAN}, tags as (select log_id, line_no, {_k('pet')} as pet, max({_k('owner')}) as owner from pet_tags group by 1, 2, 3)
 select c.log_id, c.line_no, c.attacker as pet, t.owner as owner_asof from clean c asof join tags t on c.log_id = t.log_id and c.attacker = t.pet and c.line_no >= t.line_no""",

@@ -50,13 +50,18 @@ def credits(events: DataFrame, by: list[str] = ENCOUNTER) -> DataFrame:
     """``by``, seq, metric, fighter, pet, category, source, amount, swing, critical: one row per credit of an event.
 
     Metrics: done, taken, heal (healing done), healed (received, never credited to an owner), miss, death.
-    Null amounts count as 0; events with unknown actors give what their known side earns.
+    Null amounts count as 0; events with unknown actors give what their known side earns. Owners, mechanic,
+    spell, verb and is_critical may be missing as columns where the report does not show them.
     """
-    att, tgt = (F.col("attacker_kind"), F.col("attacker"), F.col("attacker_owner")), (F.col("target_kind"), F.col("target"), F.col("target_owner"))
+
+    def col(name: str) -> Column:
+        return F.col(name) if name in events.columns else F.lit(None).cast("boolean" if name == "is_critical" else "string")
+
+    att, tgt = (F.col("attacker_kind"), F.col("attacker"), col("attacker_owner")), (F.col("target_kind"), F.col("target"), col("target_owner"))
     is_ = {a: F.col("action") == a for a in ("damage", "miss", "heal", "death")}
-    mech, no_text = F.col("mechanic"), F.lit(None).cast("string")
+    mech, no_text = col("mechanic"), F.lit(None).cast("string")
     swing = F.coalesce(mech.isin("melee", "melee_special"), F.lit(False))
-    crit = F.coalesce(F.col("is_critical"), F.lit(False))
+    crit = F.coalesce(col("is_critical"), F.lit(False))
     incoming = F.coalesce(F.col("attacker_kind") == "npc", F.lit(False)) | F.col("attacker").isNull()
 
     def credit(metric: str, fighter: Column, pet: Column, cat: Column, source: Column, critical: Column) -> Column:
@@ -64,10 +69,10 @@ def credits(events: DataFrame, by: list[str] = ENCOUNTER) -> DataFrame:
 
     nobody = F.coalesce("attacker", F.when(mech == "damage_shield", "damage shield").otherwise("unknown"))
     given = F.array(
-        F.when(is_["damage"] & _friend("attacker") & _foe("target"), credit("done", credited(*att), pet_of(*att), category(mech), source_name(F.col("spell"), F.col("verb"), mech), crit)),
+        F.when(is_["damage"] & _friend("attacker") & _foe("target"), credit("done", credited(*att), pet_of(*att), category(mech), source_name(col("spell"), col("verb"), mech), crit)),
         F.when(is_["damage"] & _friend("target") & incoming, credit("taken", credited(*tgt), pet_of(*tgt), category(mech), nobody, crit)),
         F.when(is_["miss"] & _friend("attacker") & _foe("target"), credit("miss", credited(*att), no_text, no_text, no_text, F.lit(False))),
-        F.when(is_["heal"] & _friend("attacker"), credit("heal", credited(*att), pet_of(*att), F.lit("Heal"), F.coalesce("spell", F.lit("heal")), F.lit(False))),
+        F.when(is_["heal"] & _friend("attacker"), credit("heal", credited(*att), pet_of(*att), F.lit("Heal"), F.coalesce(col("spell"), F.lit("heal")), F.lit(False))),
         F.when(is_["heal"] & _friend("target"), credit("healed", F.col("target"), no_text, no_text, no_text, F.lit(False))),
         F.when(is_["death"] & (F.col("target_kind") == "player"), credit("death", F.col("target"), no_text, no_text, no_text, F.lit(False))),
     )
@@ -234,12 +239,12 @@ def defense_rollup(by_type: DataFrame, who: DataFrame, by: list[str] = ENCOUNTER
 def class_evidence(events: DataFrame, catalog: DataFrame, least: int = 2) -> DataFrame:
     """``log_id, player, class_name, uses`` of signature spells and verbs used at least ``least`` times.
 
-    ``catalog`` (kind, signature, class_name) has a fixed size and is joined by broadcast.
+    ``catalog`` is (kind, signature, class_name).
     """
     uses = events.where((F.col("attacker_kind") == "player") & F.col("attacker").isNotNull())
     pair = F.explode(F.array(F.struct(F.lit("spell").alias("kind"), F.lower("spell").alias("sig")), F.struct(F.lit("verb").alias("kind"), F.lower("verb").alias("sig")))).alias("p")
     cat = catalog.select("kind", F.lower("signature").alias("sig"), "class_name").distinct()
-    hits = uses.select("log_id", "attacker", F.struct("ts", "line_no").alias("seq"), pair).select("log_id", "attacker", "seq", "p.*").where("sig is not null").join(F.broadcast(cat), ["kind", "sig"])
+    hits = uses.select("log_id", "attacker", F.struct("ts", "line_no").alias("seq"), pair).select("log_id", "attacker", "seq", "p.*").where("sig is not null").join(cat, ["kind", "sig"])
     return hits.groupBy("log_id", F.lower("attacker").alias("player_key"), "class_name").agg(F.min(F.struct("seq", "attacker")).getField("attacker").alias("player"), F.count(F.lit(1)).alias("uses")).where(F.col("uses") >= least)
 
 
