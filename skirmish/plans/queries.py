@@ -178,10 +178,10 @@ def r_unlisted(spark, sf_dir):
     return fought(spark, sf_dir, ["ts", "enc_id"]).groupBy(*BY).agg(F.count(F.lit(1)).alias("n_events")).join(_headers(spark, sf_dir), BY, "left_anti")
 
 
-def o_idle_pets(spark, sf_dir):
-    """Pets with a stated owner that never act in their log (anti join)."""
-    acts = load(spark, sf_dir, "combat_events").select("log_id", name_key(F.col("attacker")).alias("pet"))
-    return load(spark, sf_dir, "pet_tags").select("log_id", name_key(F.col("pet")).alias("pet")).distinct().join(acts, ["log_id", "pet"], "left_anti")
+def l_other_logs(spark, sf_dir):
+    """Logs with lines but without any event (anti join), with their number of lines."""
+    lines = load(spark, sf_dir, "raw_lines").select("log_id", "line_no").distinct().groupBy("log_id").agg(F.count(F.lit(1)).alias("n_lines"))
+    return lines.join(load(spark, sf_dir, "combat_events").select("log_id"), "log_id", "left_anti")
 
 
 def o_final_owner(spark, sf_dir):
@@ -222,7 +222,7 @@ QUERIES = {
     for f in (
         r_fighters, r_sources, r_top_sources, r_ranking, r_totals, r_merged_logs, r_damage_plus_healing, r_mobs, r_mob_sources, r_defenses,
         r_defense_rollup, r_source_tree, r_branch, r_class_evidence, r_class_labels, r_summaries, r_time_range, r_titles, r_chat_line, r_selected, r_unlisted,
-        o_final_owner, o_idle_pets, o_owner_asof, s_sessions_of_users, s_encounter_fold,
+        o_final_owner, l_other_logs, o_owner_asof, s_sessions_of_users, s_encounter_fold,
     )
 }
 
@@ -339,7 +339,7 @@ c as (select *, sum(length(t) + 3) over (partition by log_id, enc_id order by n)
 select log_id, enc_id, string_agg(t, ' | ' order by n) filter (used <= 480) || case when count(*) filter (used > 480) > 0 then ' (+' || count(*) filter (used > 480) || ' more)' else '' end as line from c group by 1, 2""",
     "r_selected": f"with {_GIVEN}, {_HEADS} select log_id, enc_id, cast(coalesce(sum(amount) filter (metric = 'done'), 0) as bigint) as total_damage, cast(coalesce(sum(amount) filter (metric = 'heal'), 0) as bigint) as total_healing from given semi join (select * from heads where end_reason = 'all_mobs_dead') h using (log_id, enc_id) group by 1, 2",
     "r_unlisted": f"with {_CLEAN}, {_HEADS} select log_id, enc_id, count(*) as n_events from clean anti join heads using (log_id, enc_id) where enc_id is not null group by 1, 2",
-    "o_idle_pets": f"select distinct log_id, {_k('pet')} as pet from pet_tags p anti join (select log_id as l, {_k('attacker')} as a from combat_events) on l = log_id and a = {_k('pet')}",
+    "l_other_logs": "select log_id, count(distinct line_no) as n_lines from raw_lines where log_id not in (select log_id from combat_events where log_id is not null) and log_id is not null group by 1",
     "o_final_owner": f"select log_id, {_k('pet')} as pet, max(struct_pack(l := line_no, o := {_k('owner')})).o as owner from pet_tags group by 1, 2",
     "o_owner_asof": f"""with {_CLEAN}, tags as (select log_id, line_no, {_k('pet')} as pet, max({_k('owner')}) as owner from pet_tags group by 1, 2, 3)
 select c.log_id, c.line_no, c.attacker as pet, t.owner as owner_asof from clean c asof join tags t on c.log_id = t.log_id and c.attacker = t.pet and c.line_no >= t.line_no""",

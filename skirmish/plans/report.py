@@ -271,6 +271,13 @@ def summaries(headers: DataFrame, who: DataFrame) -> DataFrame:
     )
 
 
+def per_second(who: DataFrame, headers: DataFrame) -> DataFrame:
+    """Fighters with damage and healing per second of their encounter, which lasts at least one second."""
+    lasted = headers.select(*ENCOUNTER, F.greatest(F.lit(1.0), (wall_seconds("end_ts") - wall_seconds("start_ts")).cast("double")).alias("seconds"))
+    rates = {"dps": F.col("damage_done") / F.col("seconds"), "hps": F.col("healing_done") / F.col("seconds")}
+    return who.join(lasted, ENCOUNTER).withColumns(rates).drop("seconds")
+
+
 def time_range(headers: DataFrame, given: DataFrame) -> DataFrame:
     """One merged report per log: span, summed durations, totals."""
     seconds = F.greatest(F.lit(1.0), (wall_seconds("end_ts") - wall_seconds("start_ts")).cast("double"))
