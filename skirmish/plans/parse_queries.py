@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skirmish.operators.crits import associate_crits
-from skirmish.operators.grammar import DAMAGE_LIKE, PET_TAG, RULES
 from skirmish.operators.owners import ownership_tags
 from skirmish.operators.parse import line_shape, parse_lines, parser_metrics, split_lines, unparsed_shapes
 from skirmish.plans import report
@@ -151,29 +150,52 @@ def _q(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-def _rule_case() -> str:
-    hits = []
-    for r in RULES:
-        cond = f"regexp_matches(msg, {_q(r.pattern)})" + (" and tagged" if r.tag_only else "")
-        hits.append(f"when {cond} then '{r.id}'")
-    return "case " + " ".join(hits) + " end"
-
-
-def _amount_case() -> str:
-    rows = [f"when '{r.id}' then regexp_extract(msg, {_q(r.pattern)}, {r.slots.index('amount') + 1})" for r in RULES if "amount" in r.slots]
-    return "coalesce(try_cast(case rule " + " ".join(rows) + " end as bigint), 0)"
-
-
-_KINDS = {o: [r.id for r in RULES if r.outcome == o] for o in ("event", "crit", "zone", "ignored")}
-_OUTCOME = "case when rule = 'R1' and lower(trim(regexp_extract(msg, '^You have entered (.+?)\\.$', 1))) = 'an instanced version of the zone' then 'ignored' " + " ".join(
-    f"when rule in ({', '.join(_q(i) for i in ids)}) then '{o}'" for o, ids in _KINDS.items()
-) + f" when regexp_matches(msg, {_q(DAMAGE_LIKE)}) then 'unparsed' else 'none' end"
+# The twins read lines by patterns of their own, in the order of the rules; the amount is the pattern's group n, if any.
+_VERB = "hits|crushes|slashes|pierces|bites|claws|gores|stings|mauls|smashes|slams|rends|burns|freezes|slices|kicks|punches|bashes|backstabs|strikes|frenzies on"
+_FOR = r"for (?P<n>\d+) points? of damage\."
+_MAGIC = r"for (?P<n>\d+) points? of non-melee damage\."
+_AFTER = r"( \(.+\))?$"
+_READ = [
+    ("R1", r"^You have entered .+\.$", "zone"),
+    ("R2", r"^.+ has been slain by .+!$", "event"),
+    ("R3", r"^You have slain .+!$", "event"),
+    ("R4", r"^You have been slain by .+!$", "event"),
+    ("R5", r"^.+ (score a critical hit|scores a critical hit|land a Crippling Blow|lands a Crippling Blow|deliver a critical blast|delivers a critical blast)! \((?P<n>\d+)\)" + _AFTER, "crit"),
+    ("R6", r"\b(has|have) shielded .+ from \d+ points? of damage\.", "ignored"),
+    ("R7", r"^The Spellshield absorbed \d+ of \d+ points? of damage$", "ignored"),
+    ("R8", r"\babsorbs? \d+ (of \d+ )?points? of damage", "ignored"),
+    ("R9", r"^You have taken (?P<n>\d+) points? of damage\.$", "event"),
+    ("R10", "^You have been healed " + _FOR + _AFTER, "event"),
+    ("R11", "^.+ (has|have) healed .+ " + _FOR + _AFTER, "event"),
+    ("R12", "^(has|have) healed .+ " + _FOR + _AFTER, "event"),
+    ("R13", "^You heal .+ " + _FOR + _AFTER, "event"),
+    ("R14", r"^.+ has taken (?P<n>\d+) damage from .+ by .+\.$", "event"),
+    ("R15", r"^.+ has taken (?P<n>\d+) damage from your .+\.$", "event"),
+    ("R16", rf"^[A-Z][A-Za-z`'-]+`s [A-Z][A-Za-z '-]+ (hit|{_VERB}) .+ for (?P<n>\d+) points? of (non-melee )?damage\." + _AFTER, "event"),
+    ("R17", r"^[A-Z][A-Za-z`'-]+`s [A-Z][A-Za-z '-]+ tries to [a-z]+ .+, but [^!]+!$", "event"),
+    ("R18", r"^.+ was hit by non-melee for (?P<n>\d+) points? of damage\.$", "event"),
+    ("R19", "^.+ hit .+ " + _MAGIC + _AFTER, "event"),
+    ("R20", "^hit .+ " + _MAGIC + _AFTER, "event"),
+    ("R21", "^You [a-z]+ .+ " + _FOR + _AFTER, "event"),
+    ("R22", r"^You try to [a-z]+ .+, but [^!]+!$", "event"),
+    ("R23", "^.+ [a-z]+ YOU " + _FOR + _AFTER, "event"),
+    ("R24", f"^.+ ({_VERB}) .+ " + _FOR + _AFTER, "event"),
+    ("R25", f"^({_VERB}) .+ " + _FOR + _AFTER, "event"),
+    ("R26", r"^.+ tries to [a-z]+ .+, but [^!]+!$", "event"),
+]
+_PET = r"^([A-Z][A-Za-z`'-]+) \(Owner: ([A-Z][A-Za-z`'-]+)\) (.+)$"
+_SWARM = r"^([A-Z][A-Za-z`'-]+?)`s ([A-Z][A-Za-z '-]+?) (?:tries to |(?:hit|" + _VERB + ") )"
+_RULE = "case " + " ".join(f"when {'tagged and ' if i == 'R12' else ''}regexp_matches(msg, {_q(p)}) then '{i}'" for i, p, _ in _READ) + " end"
+_AMOUNT = "coalesce(try_cast(case rule " + " ".join(f"when '{i}' then regexp_extract(msg, {_q('(?:for|taken) (\\d+) (?:points?|damage)' if i != 'R5' else '! \\((\\d+)\\)')}, 1)" for i, p, _ in _READ if "?P<n>" in p) + " end as bigint), 0)"
+_OUTCOME = "case when rule = 'R1' and lower(msg) = 'you have entered an instanced version of the zone.' then 'ignored' " + " ".join(
+    f"when rule in ({', '.join(_q(i) for i, _, o in _READ if o == kind)}) then '{kind}'" for kind in ("event", "crit", "zone", "ignored")
+) + " when regexp_matches(msg, '(?i)points? of (non-melee )?damage|has taken \\d+ damage') then 'unparsed' else 'none' end"
 _PARSED = f"""lines as (select log_id, line_no, min(raw) as raw from raw_lines where file_path like '/logs/game/%' group by 1, 2),
 cut as (select log_id, line_no, regexp_extract(regexp_replace(replace(raw, chr(65279), ''), '\\r$', ''), '^\\[([A-Z][a-z]{{2}}) ([A-Z][a-z]{{2}} \\d{{2}} \\d{{2}}:\\d{{2}}:\\d{{2}} \\d{{4}})\\] (.*)$', ['wd', 'at', 'message']) as p from lines),
 stamped as (select log_id, line_no, try_strptime(p.at, '%b %d %H:%M:%S %Y') as ts, p.message as message from cut where p.at <> '' and try_strptime(p.at, '%b %d %H:%M:%S %Y') is not null and strftime(try_strptime(p.at, '%b %d %H:%M:%S %Y'), '%a') = p.wd),
-tagged as (select *, regexp_matches(message, {_q(PET_TAG)}) as tagged, case when regexp_matches(message, {_q(PET_TAG)}) then regexp_extract(message, {_q(PET_TAG)}, 3) else message end as msg from stamped),
-ruled as (select *, {_rule_case()} as rule from tagged),
-parsed as (select *, {_OUTCOME} as outcome, {_amount_case()} as amount from ruled)"""
+tagged as (select *, regexp_matches(message, {_q(_PET)}) as tagged, case when regexp_matches(message, {_q(_PET)}) then regexp_extract(message, {_q(_PET)}, 3) else message end as msg from stamped),
+ruled as (select *, {_RULE} as rule from tagged),
+parsed as (select *, {_OUTCOME} as outcome, {_AMOUNT} as amount from ruled)"""
 _WHO = "'U' || translate(user_id::varchar, '0123456789', 'abcdefghij')"
 _N = "cast(floor(value) as bigint) + 1"
 
@@ -185,10 +207,8 @@ select t.log_id, total_lines, coalesce(timestamped_lines, 0) as timestamped_line
  case when timestamped_lines > 0 then 1 - unparsed / timestamped_lines else 1.0 end as coverage from t left join b using (log_id)""",
     "l_unparsed_shapes": f"with {_PARSED} select regexp_replace(message, '\\d+', '#', 'g') as shape, count(*) as n from parsed where outcome = 'unparsed' group by 1",
     "l_line_shapes": f"with {_PARSED} select regexp_replace(message, '\\d+', '#', 'g') as shape, count(*) as n from parsed where outcome = 'none' group by 1",
-    "l_pet_tags": f"""with {_PARSED}, s as (select log_id, line_no, case when rule in ('R16', 'R17') then regexp_extract(msg, '^([A-Z][A-Za-z`''-]+)`s', 1) when tagged then regexp_extract(message, {_q(PET_TAG)}, 2) end as owner,
- case when rule = 'R16' then regexp_extract(msg, {_q(next(r.pattern for r in RULES if r.id == "R16"))}, 2) when rule = 'R17' then regexp_extract(msg, {_q(next(r.pattern for r in RULES if r.id == "R17"))}, 2) end as words,
- regexp_extract(message, {_q(PET_TAG)}, 1) as tag from parsed where tagged or rule in ('R16', 'R17'))
-select log_id, line_no, case when words is not null then owner || '`s ' || words else tag end as pet, owner from s""",
+    "l_pet_tags": f"""with {_PARSED} select log_id, line_no, case when rule in ('R16', 'R17') then regexp_extract(msg, {_q(_SWARM)}, 1) || '`s ' || regexp_extract(msg, {_q(_SWARM)}, 2) else regexp_extract(message, {_q(_PET)}, 1) end as pet,
+ case when rule in ('R16', 'R17') then regexp_extract(msg, {_q(_SWARM)}, 1) else regexp_extract(message, {_q(_PET)}, 2) end as owner from parsed where tagged or rule in ('R16', 'R17')""",
     "l_log_identity": "with p as (select distinct file_path, regexp_replace(regexp_replace(regexp_replace(file_path, '^.*/', ''), '\\.txt$', ''), '\\.\\d{8}-\\d{6}(-\\d+)?$', '') as stem from raw_lines where file_path like '/logs/game/%'), i as (select file_path, regexp_replace(stem, '^eqlog_', '') as identity from p) select file_path, identity, split_part(identity, '_', 1) as character, nullif(regexp_replace(identity, '^[^_]*_?', ''), '') as server from i",
     "l_retro_window": f"with {_PARSED}, f as (select log_id, min(line_no) as first_line from stamped where ts >= timestamp '2019-03-29 20:00:00' - interval 14 days group by 1) select s.log_id, count(*) as n_lines, min(line_no) as first_line from stamped s join f using (log_id) where line_no >= f.first_line group by 1",
     "t_events_roundtrip": f"""select case event_type when 'error' then 'miss' when 'purchase' then 'heal' else 'damage' end as action,

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skirmish.plans import parse_queries, planted, problems, queries
+from skirmish.plans import parse_queries, planted, problems, queries, sinks
 
-QUERIES = {**problems.QUERIES, **queries.QUERIES, **parse_queries.QUERIES, **planted.QUERIES}
-ORACLES = {**problems.ORACLES, **queries.ORACLES, **parse_queries.ORACLES, **planted.ORACLES}
+QUERIES = {**problems.QUERIES, **queries.QUERIES, **parse_queries.QUERIES, **planted.QUERIES, **sinks.QUERIES}
+ORACLES = {**problems.ORACLES, **queries.ORACLES, **parse_queries.ORACLES, **planted.ORACLES, **sinks.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
