@@ -1,4 +1,7 @@
-"""``python -m skirmish LOG [--table | --json | --csv DIR | --unparsed] [--idle S | --rest S] [--top N] [--markers PATH | --no-markers] [--follow]``."""
+"""``python -m skirmish LOG [--table | --json | --csv DIR | --unparsed] [--idle S | --rest S] [--top N] [--markers PATH | --no-markers] [--follow]``.
+
+Without ``--markers`` the saved markers of the log's character are applied.
+"""
 
 from __future__ import annotations
 
@@ -34,20 +37,27 @@ def main(argv: list[str] | None = None) -> int:
     from skirmish.schema import Options
     from skirmish.sources import export
     from skirmish.sources.logs import read_logs
-    from skirmish.sources.markers import load_markers
+    from skirmish.sources.markers import default_path, load_markers
+    from skirmish.sources.tail import identity_of
 
     options = Options.from_rest_period(a.rest) if a.rest is not None else Options()
     if a.idle is not None and a.rest is None:
         options = options.with_idle(a.idle)
     spark = SparkSession.builder.appName("skirmish").getOrCreate()
+    saved = a.markers or default_path(identity_of(a.log))
+    splits = None if a.no_markers or not (a.markers or os.path.exists(saved)) else load_markers(spark, saved).where("kind = 0")
     if a.follow:
-        from skirmish.streaming.follow import follow_path
+        from skirmish.functions.times import wall_seconds
+        from skirmish.streaming.follow import ClosedOnce, follow_path
 
-        closed = follow_path(spark, a.log, options, tick_ms=1000).where("not active")
-        closed.writeStream.outputMode("update").format("console").trigger(processingTime="1 second").start().awaitTermination()
+        marks: dict[str, list[int]] = {}
+        # a marker file is as small as its user's patience
+        for r in splits.select("log_id", wall_seconds("ts").alias("at")).collect() if splits is not None else []:
+            marks.setdefault(r.log_id, []).append(r["at"])
+        closed = follow_path(spark, a.log, options, tick_ms=1000, marks=marks)
+        closed.writeStream.outputMode("update").foreachBatch(ClosedOnce(a.json, a.top)).trigger(processingTime="1 second").start().awaitTermination()
         return 0
     lines = read_logs(spark, a.log)
-    splits = load_markers(spark, a.markers).where("kind = 0") if a.markers and not a.no_markers else None
     battle = analyze(lines, options, splits)
     events = battle.events.where("enc_id is not null")
     if a.unparsed:

@@ -14,6 +14,51 @@ from skirmish.functions.times import wall_seconds
 from skirmish.functions.arrow import grouped
 
 
+class Marks:
+    """Markers and hits waiting for each other, oldest first, per amount; what is older than ``window_s`` is gone."""
+
+    def __init__(self, window_s: float) -> None:
+        self.window_s = window_s
+        self.waiting: dict = {}
+
+    def _of(self, amount, now) -> tuple[deque, deque]:
+        pair = self.waiting.setdefault(amount, (deque(), deque()))
+        for queue in pair:
+            while queue and now - queue[0][0] > self.window_s:
+                queue.popleft()
+        return pair
+
+    @staticmethod
+    def _fits(mark_spell, hit_spell, melee) -> bool:
+        return (hit_spell or "").lower() == mark_spell.lower() if mark_spell else bool(melee)
+
+    def mark(self, now, amount, spell):
+        """The newest free hit that fits a marker, as it was handed in; None if the marker has to wait."""
+        hits, marks = self._of(amount, now)
+        for hit in reversed(hits):
+            if self._fits(spell, hit[1], hit[2]):
+                hits.remove(hit)
+                return hit[3]
+        marks.append((now, spell))
+        return None
+
+    def hit(self, now, amount, spell, melee, what) -> bool:
+        """Whether a waiting marker takes a hit; else ``what`` waits for one."""
+        hits, marks = self._of(amount, now)
+        for mark in marks:
+            if self._fits(mark[1], spell, melee):
+                marks.remove(mark)
+                return True
+        hits.append((now, spell, melee, what))
+        return False
+
+    def forget(self, now) -> None:
+        """Drop the amounts nothing waits for any more."""
+        for amount in list(self.waiting):
+            if not any(self._of(amount, now)):
+                del self.waiting[amount]
+
+
 def match_marks(rows: Iterable[tuple], window_s: float) -> list:
     """Line numbers of critical hits among ``(seconds, line_no, is_marker, spell, is_melee)`` in order.
 
@@ -21,31 +66,11 @@ def match_marks(rows: Iterable[tuple], window_s: float) -> list:
     seconds, else waits; a hit is taken by the oldest waiting marker. A marker with a
     spell wants that spell (any case), one without wants a melee swing.
     """
-    hits: deque = deque()
-    marks: deque = deque()
-    taken = []
-
-    def fits(mark_spell, hit_spell, melee) -> bool:
-        return (hit_spell or "").lower() == mark_spell.lower() if mark_spell else bool(melee)
-
+    marks, taken = Marks(window_s), []
     for now, line, is_marker, spell, melee in rows:
-        for waiting in (hits, marks):
-            while waiting and now - waiting[0][0] > window_s:
-                waiting.popleft()
-        if is_marker:
-            other = next((h for h in reversed(hits) if fits(spell, h[2], h[3])), None)
-            if other:
-                taken.append(other[1])
-                hits.remove(other)
-            else:
-                marks.append((now, line, spell))
-        else:
-            other = next((m for m in marks if fits(m[2], spell, melee)), None)
-            if other:
-                taken.append(line)
-                marks.remove(other)
-            else:
-                hits.append((now, line, spell, melee))
+        found = marks.mark(now, None, spell) if is_marker else line if marks.hit(now, None, spell, melee, line) else None
+        if found is not None:
+            taken.append(found)
     return taken
 
 

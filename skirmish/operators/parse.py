@@ -26,7 +26,9 @@ def split_lines(lines: DataFrame) -> DataFrame:
     """
     raw = F.when(F.col("raw").endswith("\r"), F.substring("raw", F.lit(1), F.length("raw") - 1)).otherwise(F.col("raw"))
     raw = F.when(raw.startswith("\ufeff"), F.substring(raw, 2, 1 << 30)).otherwise(raw)
-    cut = staged(lines.select("log_id", "line_no", "raw"), {"__t": raw}).where(F.substring("__t", 1, 27).rlike(_STAMP))
+    # a followed log that was replaced starts a new generation of line numbers
+    keep = ["log_id", "line_no", *(["generation"] if "generation" in lines.columns else [])]
+    cut = staged(lines.select(*keep, "raw"), {"__t": raw}).where(F.substring("__t", 1, 27).rlike(_STAMP))
 
     def nth(names: list[str], c: Column) -> Column:
         return F.element_at(F.create_map(*[x for i, n in enumerate(names, 1) for x in (F.lit(n), F.lit(i))]), c)
@@ -37,7 +39,7 @@ def split_lines(lines: DataFrame) -> DataFrame:
     second = num(19, 2)
     ts = F.when(second < 60, F.call_function("try_make_timestamp_ntz", num(22, 4), nth(_MONTHS, F.substring("__t", 6, 3)), num(10, 2), num(13, 2), num(16, 2), second.cast("decimal(16,6)")))
     read = staged(cut, {"ts": ts, "__day": nth(_DAYS, F.substring("__t", 2, 3)), "message": F.substring("__t", 28, 1 << 30)})
-    return read.where(F.col("ts").isNotNull() & (F.weekday(F.to_date("ts")) + 1 == F.col("__day"))).select("log_id", F.col("line_no").cast("int").alias("line_no"), "ts", "message", "raw")
+    return read.where(F.col("ts").isNotNull() & (F.weekday(F.to_date("ts")) + 1 == F.col("__day"))).select("log_id", F.col("line_no").cast("int").alias("line_no"), *keep[2:], "ts", "message", "raw")
 
 
 def normalize_verb(c: Column) -> Column:
@@ -89,14 +91,15 @@ def parse_lines(lines: DataFrame, character: Column | None = None, strict_compat
     log's own character (default: the part of ``log_id`` before the first ``_``).
     Result: ``log_id, line_no, ts, outcome`` (event, crit, zone, ignored, unparsed,
     none), ``rule_id``, event fields, ``owner_hint``, ``pet_tag``/``pet_tag_owner`` (ownership seen
-    on the line), ``zone``, ``crit_is_self``, ``message``, ``raw``. Amounts that do not fit a bigint are 0.
+    on the line), ``zone``, ``crit_is_self``, ``message``, ``raw``, and ``generation`` if the lines have it. Amounts that do not fit a bigint are 0.
 
     Everything is a projection: two CASE cascades behind a cheap word test, no shuffle.
     """
     me = character if character is not None else F.split("log_id", "_").getItem(0)
+    kept = ["generation"] if "generation" in lines.columns else []
     tag = F.col("message").contains(" (Owner: ") & F.col("message").rlike("(?d)" + PET_TAG)
     cut = staged(
-        lines.select("log_id", "line_no", "ts", "message", "raw"),
+        lines.select("log_id", "line_no", *kept, "ts", "message", "raw"),
         {
             "__tag": F.when(tag, F.regexp_extract("message", "(?d)" + PET_TAG, 1)),
             "__tag_owner": F.when(tag, F.regexp_extract("message", "(?d)" + PET_TAG, 2)),
@@ -175,7 +178,7 @@ def parse_lines(lines: DataFrame, character: Column | None = None, strict_compat
         "pet_tag": F.coalesce(F.when(kind == "swarm", swarm), F.col("__tag")),
         "pet_tag_owner": hinted,
     }
-    return staged(cut, out).select("log_id", "line_no", "ts", "outcome", *out, "message", "raw")
+    return staged(cut, out).select("log_id", "line_no", *kept, "ts", "outcome", *out, "message", "raw")
 
 
 def parser_metrics(lines: DataFrame, outcomes: DataFrame) -> DataFrame:

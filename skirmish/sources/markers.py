@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 _SCHEMA = "Identity string, Markers array<struct<Timestamp:string,Kind:int>>"
 
 
+def default_path(identity: str) -> str:
+    """Where the markers of a character's logs are kept: a folder in the user's home."""
+    return os.path.join(os.path.expanduser("~"), ".skirmish", "markers", identity + ".json")
+
+
 def load_markers(spark: SparkSession, path: str) -> DataFrame:
     """``log_id, ts, kind`` of all marker files under ``path``; broken or missing files give no rows."""
     try:

@@ -17,6 +17,7 @@ from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 _ARCHIVED = re.compile(r"\.\d{8}-\d{6}(?:-\d+)?$")
 MAX_BYTES = 32 * 1024 * 1024
+COUNTED = 1 << 20
 
 
 def identity_of(path: str) -> str:
@@ -39,10 +40,14 @@ class _Reader(SimpleDataSourceStreamReader):
             return {}
         out = {}
         for f in self._files():
+            pos = end = lines = 0
             with open(f, "rb") as h:
-                data = h.read()
-            end = data.rfind(b"\n") + 1
-            out[f] = [end, data.count(b"\n", 0, end), 0]
+                while data := h.read(COUNTED):
+                    lines += data.count(b"\n")
+                    last = data.rfind(b"\n")
+                    end = pos + last + 1 if last >= 0 else end
+                    pos += len(data)
+            out[f] = [end, lines, 0]
         return out
 
     def _lines(self, f: str, at: list, until: int | None) -> tuple[list[tuple], list]:

@@ -22,23 +22,28 @@ from skirmish.streaming.live import LiveLog
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 REVISION = (
     "log_id string, enc_id int, revision int, start_s bigint, end_s bigint, zone string, active boolean, end_reason string, title string, "
-    "total_damage bigint, top_fighter string, kills int, player_deaths int, crits int, coverage double"
+    "total_damage bigint, top_fighter string, kills int, player_deaths int, crits int, coverage double, fighters string"
 )
-_NEEDED = ["log_id", "line_no", "sec", "outcome", "action", "attacker", "target", "owner_hint", "amount", "mechanic", "verb", "spell", "zone", "pet_tag", "pet_tag_owner"]
+_NEEDED = ["log_id", "generation", "line_no", "sec", "outcome", "action", "attacker", "target", "owner_hint", "amount", "mechanic", "verb", "spell", "zone", "pet_tag", "pet_tag_owner"]
 
 
 class LogFollower(StatefulProcessor):
     """One `LiveLog` per log in the state store; emits revisions, and closes quiet fights by timer."""
 
-    def __init__(self, options: Options, tick_ms: int) -> None:
-        self.options, self.tick_ms = options, tick_ms
+    def __init__(self, options: Options, tick_ms: int, marks: dict[str, list[int]] | None = None) -> None:
+        self.options, self.tick_ms, self.marks = options, tick_ms, marks or {}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("live", "blob binary")
 
     def _live(self, log_id: str) -> LiveLog:
-        return pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else LiveLog(log_id, self.options)
+        if self.state.exists():
+            return pickle.loads(bytes(self.state.get()[0]))
+        live = LiveLog(log_id, self.options)
+        for at in self.marks.get(log_id, ()):
+            live.add_split(at)
+        return live
 
     def _out(self, live: LiveLog) -> Iterator[pd.DataFrame]:
         rows = live.revisions()
@@ -48,7 +53,7 @@ class LogFollower(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         live = self._live(key[0])
-        batch = pd.concat(list(rows)).sort_values("line_no")
+        batch = pd.concat(list(rows)).sort_values(["generation", "line_no"], kind="stable")
         clean = batch.astype(object).where(batch.notna(), None)
         for row in clean.to_dict("records"):
             for c in ("sec", "amount"):
@@ -76,34 +81,37 @@ class LogFollower(StatefulProcessor):
 
 def parsed_stream(lines: DataFrame) -> DataFrame:
     """Outcomes of a stream of ``log_id, line_no, raw`` with event seconds."""
+    if "generation" not in lines.columns:
+        lines = lines.withColumn("generation", F.lit(0))
     out = parse_lines(split_lines(lines))
     return out.withColumn("sec", wall_seconds("ts")).select(*_NEEDED)
 
 
-def follow(lines: DataFrame, options: Options | None = None, splits: DataFrame | None = None, tick_ms: int = 0) -> DataFrame:
+def follow(lines: DataFrame, options: Options | None = None, splits: DataFrame | None = None, tick_ms: int = 0, marks: dict[str, list[int]] | None = None) -> DataFrame:
     """Revisions of encounters of a stream of lines, in update mode keyed by (log_id, enc_id).
 
-    ``splits`` is an optional control stream ``log_id, ts``. With ``tick_ms`` a fight is closed by wall
+    ``splits`` is an optional control stream ``log_id, ts``, ``marks`` holds the seconds (of :func:`wall_seconds`) of splits
+    saved before. Lines of a replaced file come after those of the old one. With ``tick_ms`` a fight is closed by wall
     clock when its log has been silent that long. State is one object per log; restart from a
     checkpoint continues where it stopped.
     """
     opt = options or Options()
     rows = parsed_stream(lines)
     if splits is not None:
-        marks = splits.select("log_id", F.lit(0).alias("line_no"), wall_seconds("ts").alias("sec"), F.lit("split").alias("outcome"))
-        rows = rows.unionByName(marks, allowMissingColumns=True)
+        cuts = splits.select("log_id", F.lit(-1).alias("generation"), F.lit(0).alias("line_no"), wall_seconds("ts").alias("sec"), F.lit("split").alias("outcome"))
+        rows = rows.unionByName(cuts, allowMissingColumns=True)
     mode = "processingTime" if tick_ms else "none"
-    revisions = rows.groupBy("log_id").transformWithStateInPandas(LogFollower(opt, tick_ms), REVISION, "update", mode)
+    revisions = rows.groupBy("log_id").transformWithStateInPandas(LogFollower(opt, tick_ms, marks), REVISION, "update", mode)
     start, end = [from_wall_seconds(c).alias(n) for c, n in (("start_s", "start_ts"), ("end_s", "end_ts"))]
     return revisions.select("log_id", "enc_id", "revision", start, end, *[c.split()[0] for c in REVISION.split(", ")[5:]])
 
 
-def follow_path(spark: SparkSession, path: str, options: Options | None = None, latest: bool = False, tick_ms: int = 0) -> DataFrame:
+def follow_path(spark: SparkSession, path: str, options: Options | None = None, latest: bool = False, tick_ms: int = 0, marks: dict[str, list[int]] | None = None) -> DataFrame:
     """Follow all files of a glob."""
     register(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     lines = spark.readStream.format("log_tail").option("path", path).option("startingOffset", "latest" if latest else "earliest").load()
-    return follow(lines, options, tick_ms=tick_ms)
+    return follow(lines, options, tick_ms=tick_ms, marks=marks)
 
 
 def windowed_damage(lines: DataFrame, window: str = "1 minute", late: str = "10 minutes") -> DataFrame:
@@ -122,6 +130,46 @@ def unparsed_examples(lines: DataFrame) -> DataFrame:
     return bad.select(line_shape(F.col("message")).alias("shape"), "log_id", "line_no", "raw").dropDuplicates(["shape"])
 
 
+class ClosedOnce:
+    """Batch function that shows each closed encounter once, with its fighters, as text or JSON."""
+
+    def __init__(self, json_lines: bool = False, top: int = 6, show=print) -> None:
+        self.json_lines, self.top, self.show = json_lines, top, show
+        self.shown: set[tuple[str, int]] = set()
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        # as many rows as encounters closed during one batch
+        for r in batch.where("not active and end_reason <> 'dropped'").orderBy("log_id", "enc_id", "revision").toLocalIterator():
+            if (r.log_id, r.enc_id) in self.shown:
+                continue
+            self.shown.add((r.log_id, r.enc_id))
+            who = json.loads(r.fighters)[: self.top]
+            if self.json_lines:
+                self.show(json.dumps(dict(log_id=r.log_id, enc_id=r.enc_id, title=r.title, start=str(r.start_ts), end=str(r.end_ts), zone=r.zone, end_reason=r.end_reason, total_damage=r.total_damage, kills=r.kills, fighters=who), ensure_ascii=False))
+            else:
+                self.show(f"#{r.enc_id} {r.title} ({(r.end_ts - r.start_ts).total_seconds():.0f} s, {r.end_reason}) {r.total_damage}")
+                for f in who:
+                    self.show(f"  {f['fighter']} {f['damage']} ({f['share']:.1%}), {f['crits']} critical")
+
+
+class UnparsedFile:
+    """Batch function that appends the first raw line of each new shape to a text file; a file that cannot be written is no error."""
+
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        # :func:`unparsed_examples` gives one row per new shape
+        rows = [r.raw for r in batch.orderBy("log_id", "line_no").select("raw").toLocalIterator()]
+        try:
+            if rows:
+                os.makedirs(os.path.dirname(os.path.abspath(self.path)), exist_ok=True)
+                with open(self.path, "a", encoding="utf-8") as f:
+                    f.writelines(r + "\n" for r in rows)
+        except OSError:
+            pass
+
+
 class LiveQuery:
     """Follow logs in the background and look at the latest state.
 

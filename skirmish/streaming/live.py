@@ -7,8 +7,10 @@ credited to that owner for the whole open encounter.
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 
+from skirmish.operators.crits import Marks
 from skirmish.operators.encounters import FightMachine
 from skirmish.operators.roster import PET, Roster
 from skirmish.schema import Options
@@ -23,8 +25,7 @@ class LiveLog:
         me = log_id.split("_")[0]
         self.roster = Roster(me)
         self.machine = FightMachine(self.opt, me)
-        self.hits: list[list] = []
-        self.marks: list[list] = []
+        self.marks = Marks(self.opt.crit_window_s)
         self.splits: list[int] = []
         self.lines = Counter()
         self.damage: dict[int, Counter] = {}
@@ -61,25 +62,11 @@ class LiveLog:
         elif kind == "event":
             self._event(row)
 
-    def _fits(self, mark: list, hit: list) -> bool:
-        if mark[1] != hit[1]:
-            return False
-        return (mark[2] or "").lower() == (hit[2] or "").lower() if mark[2] else hit[3] in ("melee", "melee_special")
-
-    def _trim(self, now: int) -> None:
-        self.hits = [h for h in self.hits if now - h[0] <= self.opt.crit_window_s]
-        self.marks = [m for m in self.marks if now - m[0] <= self.opt.crit_window_s]
-
     def _mark(self, row: dict) -> None:
-        self._trim(row["sec"])
-        mark = [row["sec"], row["amount"], row["spell"]]
-        for h in reversed(self.hits):
-            if self._fits(mark, h):
-                self.hits.remove(h)
-                if h[4] is not None:
-                    self.crits.setdefault(h[4], Counter())[h[5]] += 1
-                return
-        self.marks.append(mark)
+        found = self.marks.mark(row["sec"], row["amount"], row["spell"])
+        if found is not None and found[0] is not None:
+            no, actor = found
+            self.crits.setdefault(no, Counter())[actor] += 1
 
     def _event(self, row: dict) -> None:
         now, action, a, t = row["sec"], row["action"], row["attacker"], row["target"]
@@ -105,20 +92,12 @@ class LiveLog:
             fight = self.machine.done[-1]
         no = fight.no if fight is not None else None
         if action == "damage" and row["amount"] > 0:
-            crit = False
-            self._trim(now)
-            hit = [now, row["amount"], row["spell"], row["mechanic"], no, (a or "").lower()]
-            for m in self.marks:
-                if self._fits(m, hit):
-                    self.marks.remove(m)
-                    crit = True
-                    break
-            if not crit:
-                self.hits.append(hit)
+            actor = (a or "").lower()
+            crit = self.marks.hit(now, row["amount"], row["spell"], row["mechanic"] in ("melee", "melee_special"), (no, actor))
             if no is not None and a and ak in ("player", PET) and tk == "npc":
-                self.damage.setdefault(no, Counter())[a.lower()] += row["amount"]
+                self.damage.setdefault(no, Counter())[actor] += row["amount"]
                 if crit:
-                    self.crits.setdefault(no, Counter())[a.lower()] += 1
+                    self.crits.setdefault(no, Counter())[actor] += 1
 
     def tick(self, now: int) -> None:
         """Wall clock: close what has gone quiet."""
@@ -143,6 +122,14 @@ class LiveLog:
             out[self.roster.owner.get(actor, actor).lower()] += amount
         return dict(out)
 
+    def _report(self, no: int, by: dict[str, int]) -> str:
+        """Fighters of an encounter as JSON, most damage first."""
+        crits: Counter = Counter()
+        for actor, n in self.crits.get(no, {}).items():
+            crits[self.roster.owner.get(actor, actor).lower()] += n
+        ranked = sorted(by.items(), key=lambda x: (-x[1], x[0]))
+        return json.dumps([dict(fighter=who, damage=n, crits=crits[who], share=round(n / max(1, sum(by.values())), 4)) for who, n in ranked], ensure_ascii=False)
+
     def revisions(self) -> list[dict]:
         """Encounters that are new or changed since the last call.
 
@@ -156,7 +143,7 @@ class LiveLog:
             out.append(
                 dict(
                     log_id=self.log_id, enc_id=no, revision=self.revision[no] + 1, start_s=start, end_s=end, zone=None, active=False, end_reason="dropped", title=title,
-                    total_damage=0, top_fighter=None, kills=0, player_deaths=0, crits=0, coverage=self.coverage(),
+                    total_damage=0, top_fighter=None, kills=0, player_deaths=0, crits=0, coverage=self.coverage(), fighters="[]",
                 )
             )
         for f in fights:
@@ -170,7 +157,7 @@ class LiveLog:
             out.append(
                 dict(
                     log_id=self.log_id, enc_id=f.no, revision=self.revision[f.no], start_s=f.start, end_s=f.end, zone=f.zone, active=not f.reason, end_reason=f.reason, title=f.title,
-                    total_damage=state[4], top_fighter=top, kills=state[6], player_deaths=state[7], crits=state[8], coverage=self.coverage(),
+                    total_damage=state[4], top_fighter=top, kills=state[6], player_deaths=state[7], crits=state[8], coverage=self.coverage(), fighters=self._report(f.no, by),
                 )
             )
         self._forget()
@@ -179,6 +166,8 @@ class LiveLog:
     def _forget(self) -> None:
         """Drop what can no longer change, so that state does not grow with the log."""
         keep = {f.no for f in self.machine.done[-1:]} | {f.no for f in (self.machine.open, self.machine.parked) if f is not None}
+        if self.last_event is not None:
+            self.marks.forget(self.last_event)
         for table in (self.damage, self.crits, self.reported, self.revision):
             for no in [n for n in table if n not in keep]:
                 del table[no]

@@ -112,3 +112,69 @@ def test_unparsed_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r["shape"] for r in spark.table("odd").collect()] == ["Odd # points of damage"]
+
+
+def test_closed_encounters_are_shown_once_with_their_fighters(spark, tmp_path):
+    import json
+
+    from skirmish.functions.times import wall_seconds
+    from skirmish.streaming.follow import ClosedOnce
+
+    log = tmp_path / "eqlog_Mira_ashfall.txt"
+    log.write_text(FIGHT + MORE)
+    at = spark.range(1).select(wall_seconds(F.lit("2026-09-03 20:10:12").cast("timestamp_ntz")).alias("s")).first().s
+    said, text = [], []
+    show, again = ClosedOnce(True, 1, said.append), ClosedOnce(False, 6, text.append)
+
+    def both(batch, number):
+        for f in (show, again, show):
+            f(batch, number)
+
+    q = follow_path(spark, str(log), marks={"Mira_ashfall": [at]}).writeStream.outputMode("update").foreachBatch(both).option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    docs = [json.loads(x) for x in said]
+    # the saved split stands between the first blow of the second fight and its end
+    assert [(d["enc_id"], d["end_reason"]) for d in docs] == [(1, "all_mobs_dead")]
+    assert docs[0]["fighters"] == [{"fighter": "mira", "damage": 1000, "crits": 1, "share": 1.0}]
+    assert text == ["#1 a cinder wolf (5 s, all_mobs_dead) 1000", "  mira 1000 (100.0%), 1 critical"]
+
+
+def test_replaced_file_comes_after_the_old_one(spark, tmp_path):
+    rows = [("Mira_x", g, n, raw) for g, lines in ((0, FIGHT), (1, MORE)) for n, raw in enumerate(lines.splitlines(), 1)]
+    src = tmp_path / "in"
+    spark.createDataFrame(rows, "log_id string, generation int, line_no int, raw string").repartition(3).write.parquet(str(src))
+    from skirmish.streaming.follow import follow
+
+    stream = spark.readStream.schema("log_id string, generation int, line_no int, raw string").parquet(str(src))
+    q = follow(stream).writeStream.outputMode("update").format("memory").queryName("gen").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = {r.enc_id: (r.title, r.total_damage, r.end_reason) for r in spark.table("gen").orderBy("revision").collect()}
+    assert got == {1: ("a cinder wolf", 1000, "all_mobs_dead"), 2: ("a smoke imp", 100, "all_mobs_dead")}
+
+
+def test_unparsed_lines_are_appended_to_a_file(spark, tmp_path):
+    from skirmish.streaming.follow import UnparsedFile
+
+    df = spark.createDataFrame([("a", 2, "second"), ("a", 1, "first")], "log_id string, line_no int, raw string")
+    sink = UnparsedFile(str(tmp_path / "deep" / "unparsed.txt"))
+    sink(df, 0)
+    sink(df.limit(0), 1)
+    sink(df.where("line_no = 1"), 2)
+    assert (tmp_path / "deep" / "unparsed.txt").read_text() == "first\nsecond\nfirst\n"
+    UnparsedFile("/proc/none/x.txt")(df, 0)
+
+
+def test_default_markers_of_a_character(spark, tmp_path, monkeypatch):
+    import datetime as dt
+
+    from skirmish.sources.markers import add_split, default_path, load_markers
+
+    monkeypatch.setenv("HOME", str(tmp_path))
+    path = default_path("Mira_ashfall")
+    (tmp_path / ".skirmish" / "markers").mkdir(parents=True)
+    add_split(path, "Mira_ashfall", dt.datetime(2026, 9, 3, 20, 0, 12))
+    assert [(r.log_id, str(r.ts), r.kind) for r in load_markers(spark, path).collect()] == [("Mira_ashfall", "2026-09-03 20:00:12", 0)]
