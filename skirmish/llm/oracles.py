@@ -33,6 +33,15 @@ c as (select field, term, count(*) as n_events, count(distinct case when enc_id
 select field, term, n_events, n_encounters, case when n_encounters < 3 then 'rare' when n_encounters > (select n from a) * 0.1 then 'common' else 'kept' end as mark from c""",
     "p6_found": _P6,
     "p6_merged_logs": _P6,
+    "p8_planted": """
+with i as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from eval_items),
+g as (select item_id, unnest(list_transform(range(1, greatest(len(w) - 10, 1)), lambda s: list_aggregate(w[s:s + 11], 'string_agg', ' '))) as gram from i),
+d as (select item_id * 100 + n as doc_id, w[(item_id + n) % greatest(len(w) - 12, 1) + 1:(item_id + n) % greatest(len(w) - 12, 1) + n] as w from i, range(30) t(n)),
+e as (select doc_id, list_concat(list_concat(['planted', 'words'], w), ['planted', 'end']) as w from d),
+h as (select doc_id, unnest(list_transform(range(1, greatest(len(w) - 10, 1)), lambda s: list_aggregate(w[s:s + 11], 'string_agg', ' '))) as gram from e)
+select distinct doc_id, item_id from h join g using (gram)""",
+    "p9_planted": """
+select p_partkey as doc_id, unnest(['Part no. ' || p_partkey || ' is the ' || p_name || '.', 'Dr. Vexa paid 3.5 coins for it!', '"Where is it?" asked Bron.', '昨夜届いた。']) as sentence from part""",
     "p7_check": "select count(distinct doc_id) as n_messages, 0 as cut_but_fit, 0 as overfull, 0 as empty from documents",
     # the fewest containers that hold this sum
     "p7_quantities": """select count(*) as n_items, cast(sum(floor(l_quantity)) as bigint) as total, 120 as fullest, cast(ceil(sum(floor(l_quantity)) / 120) as bigint) as n_containers from lineitem""",

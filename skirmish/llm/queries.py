@@ -114,6 +114,26 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return message_sentences(spread(load(spark, sf_dir, "documents")), "doc_id", "text")
 
 
+def p8_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages made of runs of 0 to 29 words of the items, and the items that share twelve words with them."""
+    items = load(spark, sf_dir, "eval_items")
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    runs = items.select("item_id", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("n"), words.alias("w"))
+    run = F.array_join(F.slice("w", F.pmod(F.col("item_id") + F.col("n"), F.greatest(F.size("w") - 12, F.lit(1))).cast("int") + 1, F.col("n")), " ")
+    text = F.concat(F.lit("From: a@kiln.example\nContent-Type: text/plain\n\nplanted words "), run, F.lit("\nplanted end"))
+    docs = runs.select((F.col("item_id") * 100 + F.col("n")).alias("doc_id"), text.alias("text"))
+    out = leaked_items(docs, "doc_id", "text", items, "item_id", "text", LEAK_WORDS)
+    return out.where(F.col("score") >= MATCH * LEAK_WORDS).where(F.col("longest_run") >= LEAK_WORDS).select("doc_id", "item_id")
+
+
+def p9_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of four sentences around each part's name, and the sentences found in them."""
+    name, key = F.col("p_name"), F.col("p_partkey").cast("string")
+    lines = [F.lit("From: a@kiln.example\nContent-Type: text/plain\n\nPart no. "), key, F.lit(" is the "), name, F.lit(". Dr. Vexa paid 3.5 coins for it! \"Where is\nit?\" asked Bron. 昨夜届いた。\n\n> Old words.\n-- \nMira. Sender.")]
+    docs = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(*lines).alias("text"))
+    return message_sentences(docs, "doc_id", "text")
+
+
 QUERIES = {
     "p4_found": p4_found,
     "p5_found": p5_found,
@@ -125,6 +145,8 @@ QUERIES = {
     "p7_quantities": p7_quantities,
     "p8_found": p8_found,
     "p8_alignments": p8_alignments,
+    "p8_planted": p8_planted,
     "p9_found": p9_found,
+    "p9_planted": p9_planted,
 }
 ORACLES = oracles.ORACLES
