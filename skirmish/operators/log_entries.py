@@ -12,11 +12,15 @@ the entry before it.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from skirmish.functions.arrow import grouped
 from skirmish.functions.times import from_wall_seconds
 from skirmish.functions.staging import staged
 from skirmish.session import cut_lineage
@@ -95,8 +99,8 @@ def _number(names: list[str], c: Column) -> Column:
     return F.element_at(m, c)
 
 
-def _taken_apart(text: Column) -> Column:
-    """``[before, parts in _PARTS order.., stamp, behind]`` of a line that begins with a stamp; null otherwise."""
+def _rewritten(text: Column) -> Column:
+    """The parts of the stamp a line begins with, between separators: what is before, _PARTS, the stamp, what is behind; else anything without separators."""
     group, where = 3, defaultdict(list)
     for _, fields in STAMPS:
         for f in fields:
@@ -104,25 +108,25 @@ def _taken_apart(text: Column) -> Column:
             group += 1
     # of the alternatives only the one that matched has text in its groups
     template = _SEP.join(["$1", *["".join(where[p]) for p in _PARTS], "$2", f"${group}"])
-    told = F.regexp_replace(text, _HEAD, template)
-    return F.when(F.substring(text, 1, 1).rlike(r"[^\s>\"'`|]") & text.rlike(r"\d:\d\d|\d{10}|\dT\d{6}") & ~text.contains(_SEP) & told.contains(_SEP), F.split(told, _SEP))
-
-
-def _stamp(parts: Column, path: Column) -> Column:
-    """TIMESTAMP_NTZ of a stamp taken apart; null if it does not exist or its weekday is wrong."""
-    part = {p: F.nullif(F.element_at(parts, i), F.lit("")) for i, p in enumerate(_PARTS, 2)}
-
-    def num(p: str) -> Column:
-        return F.trim(part[p]).try_cast("int")
-
-    hour = F.when(part["ap"].isNull(), num("h")).when((num("h") < 1) | (num("h") > 12), None).otherwise(num("h") % 12 + F.when(part["ap"] == "PM", 12).otherwise(0))
-    month = F.coalesce(num("mo"), _number(MONTHS, part["mon"]))
-    year = F.coalesce(num("y"), num("yy") + 2000, F.nullif(F.regexp_extract(path, r"/(\d{4})/", 1), F.lit("")).cast("int"))
-    printed = F.when(num("s") < 60, F.call_function("try_make_timestamp_ntz", year, month, num("d"), hour, num("mi"), num("s").cast("decimal(16,6)")))
+    may = F.substring(text, 1, 1).rlike(r"[^\s>\"'`|]") & text.rlike(r"\d:\d\d|\d{10}|\dT\d{6}") & ~text.contains(_SEP)
+    return F.when(may, F.regexp_replace(text, _HEAD, template))
+
+
+def with_stamp(df: DataFrame, told: str, path: str, out: str) -> DataFrame:
+    """Add ``at``, the parts of a stamp rewritten in ``told``, and ``out``, its TIMESTAMP_NTZ: null if it does not exist or its weekday is wrong."""
+    df = staged(df, {"at": F.when(F.col(told).contains(_SEP), F.split(told, _SEP))}).drop(told)
+    part = {p: F.nullif(F.element_at("at", i), F.lit("")) for i, p in enumerate(_PARTS, 2)}
+    clock = part["h"].cast("int")
+    hour = F.when(part["ap"].isNull(), part["h"]).when((clock >= 1) & (clock <= 12), (clock % 12 + F.when(part["ap"] == "PM", 12).otherwise(0)).cast("string"))
+    month = F.coalesce(part["mo"], _number(MONTHS, part["mon"]).cast("string"))
+    year = F.coalesce(part["y"], F.concat(F.lit("20"), part["yy"]), F.nullif(F.regexp_extract(path, r"/(\d{4})/", 1), F.lit("")))
+    colon, dash = F.lit(":"), F.lit("-")
+    printed = F.concat(year, dash, month, dash, F.trim(part["d"]), F.lit(" "), hour, colon, part["mi"], colon, part["s"]).try_cast("timestamp_ntz")
     # 946684800: the epoch second of 2000-01-01
     utc = from_wall_seconds(F.coalesce(F.floor(part["ms"].try_cast("bigint") / 1000), part["es"].try_cast("bigint")) - 946_684_800)
-    stamp = F.coalesce(printed, utc)
-    return F.when(part["wd"].isNull() | (_number(WEEKDAYS, part["wd"]) == F.weekday(F.to_date(stamp)) + 1), stamp)
+    df = staged(df, {"__at": F.when(F.col("at").isNotNull(), F.coalesce(printed, utc))})
+    right_day = part["wd"].isNull() | (_number(WEEKDAYS, part["wd"]) == F.weekday(F.to_date("__at")) + 1)
+    return staged(df, {out: F.when(F.col("__at").isNotNull() & right_day, F.col("__at"))}).drop("__at")
 
 
 def _shape(stamp: Column) -> Column:
@@ -176,9 +180,10 @@ def read_heads(lines: DataFrame) -> DataFrame:
     text = staged(src, {"text": clean_line(F.col("raw"))}).drop("raw")
     keys, values = _keyed(F.col("text"))
     looks_keyed = F.col("text").startswith("{") | F.col("text").contains("=")
-    split = staged(text, {"at": _taken_apart(F.col("text")), "keys": F.when(looks_keyed, keys), "values": F.when(looks_keyed, values)})
-    split = split.withColumn("keys", F.when(F.size("keys") > 0, F.col("keys")))
-    read = staged(split, {"entry_ts": F.when(F.col("keys").isNull(), _stamp(F.col("at"), F.col("file_path"))), "pairs": F.when(F.col("keys").isNotNull(), _pairs(F.col("keys"), F.col("values")))})
+    split = staged(text, {"told": _rewritten(F.col("text")), "keys": F.when(looks_keyed, keys), "values": F.when(looks_keyed, values)})
+    is_keyed = F.size("keys") > 0
+    split = staged(split, {"pairs": F.when(is_keyed, _pairs(F.col("keys"), F.col("values"))), "told": F.when(~F.coalesce(is_keyed, F.lit(False)), F.col("told"))})
+    read = with_stamp(split, "told", "file_path", "entry_ts")
     read = read.where(F.col("entry_ts").isNotNull() | F.exists("pairs", lambda p: p["sort"] == "s"))
     n = len(_PARTS)
     words = F.concat(_tokens(F.element_at("at", 1)), F.array(F.lit(STAMP)), _tokens(F.regexp_extract(F.element_at("at", n + 3), f"({_REGION})", 1)))
@@ -297,41 +302,56 @@ def _best(keys: dict[str, tuple[int, int]], usual: list[str]) -> list[str]:
 
 
 _TEMPLATE = "log_id string, form string, shape string, pattern string, head int, level_at int, component_at int, stamp_keys array<string>, level_key string, component_key string, message_key string"
+_COUNTED = ["form", "shape", "pattern", "key", "n", "stamps", "levels", "names"]
 
 
-def mine(counts: pd.DataFrame, support: float) -> pd.DataFrame:
-    """Templates of the layouts that one file uses, from its :func:`position_counts`.
+def mine(counts: list[tuple], support: float) -> list[dict]:
+    """Templates of the layouts that one file uses, from its :func:`position_counts` (rows of _COUNTED).
 
     A layout is the shape of a stamp with the marks before it, or a set of keys. Those that neither ``support`` of the
     file's heads nor LEAST_HEADS of them have are no layout of a program of this file.
     """
-    log_id, out, used = counts["log_id"].iloc[0], [], {}
-    plain, keyed = counts[counts["form"] == "plain"], counts[counts["form"] != "plain"]
-    layouts = defaultdict(dict)
-    for shape, pattern, n in zip(plain["shape"], plain["pattern"], plain["n"], strict=True):
-        before = tuple("x" if len(t) == 1 and t.isalpha() else t for t in pattern.split(STAMP)[0].split(" "))
-        layouts[shape, before][pattern] = int(n)
-    stamps = {form: _best(dict(zip(g["key"], zip(g["stamps"], g["n"], strict=True), strict=True)), STAMP_KEYS) for form, g in keyed.groupby("form")}
-    for key, patterns in layouts.items():
-        used[key] = sum(patterns.values())
-    for form, g in keyed.groupby("form"):
-        used[form] = max((int(n) for k, n in zip(g["key"], g["n"], strict=True) if k in stamps[form]), default=0)
+    layouts: dict = defaultdict(dict)
+    keyed: dict = defaultdict(dict)
+    for form, shape, pattern, key, *n in counts:
+        if form == "plain":
+            before = tuple("x" if len(t) == 1 and t.isalpha() else t for t in pattern.split(STAMP)[0].split(" "))
+            layouts[shape, before][pattern] = n[0]
+        else:
+            keyed[form][key] = n
+    stamps = {form: _best({k: (n[1], n[0]) for k, n in keys.items()}, STAMP_KEYS) for form, keys in keyed.items()}
+    used = {layout: sum(patterns.values()) for layout, patterns in layouts.items()}
+    used |= {form: max((keyed[form][k][0] for k in ks), default=0) for form, ks in stamps.items()}
     total = sum(used.values())
     used = {k for k, n in used.items() if n and (n >= LEAST_HEADS or n >= support * total)}
-    for key, patterns in layouts.items():
-        if key in used:
-            for pattern, (head, level, component) in templates(patterns).items():
-                out.append((log_id, "plain", key[0], pattern, head, level, component, None, None, None, None))
-    for form, g in keyed.groupby("form"):
-        if form in used:
-            tell = {c: dict(zip(g["key"], zip(g[c], g["n"], strict=True), strict=True)) for c in ("levels", "names")}
-            level = next(iter(_best(tell["levels"], LEVEL_KEYS)), None)
-            taken = {*stamps[form], level}
-            message = next((k for m in MESSAGE_KEYS for k in g["key"] if k.lower() == m), None)
-            component = next((k for k in _best(tell["names"], COMPONENT_KEYS) if k not in taken and k.lower() not in MESSAGE_KEYS), None)
-            out.append((log_id, form, None, None, None, None, None, stamps[form], level, component, message))
-    names = [c.split()[0] for c in _TEMPLATE.split(", ")]
-    return pd.DataFrame(out, columns=names).astype({c: "Int32" for c in ("head", "level_at", "component_at")})
+    out = []
+    for layout in used & layouts.keys():
+        for pattern, (head, level, component) in templates(layouts[layout]).items():
+            out.append(dict(form="plain", shape=layout[0], pattern=pattern, head=head, level_at=level, component_at=component))
+    for form in used & keyed.keys():
+        keys = keyed[form]
+        level = next(iter(_best({k: (n[2], n[0]) for k, n in keys.items()}, LEVEL_KEYS)), None)
+        taken = {*stamps[form], level}
+        message = next((k for m in MESSAGE_KEYS for k in sorted(keys) if k.lower() == m), None)
+        names = _best({k: (n[3], n[0]) for k, n in keys.items()}, COMPONENT_KEYS)
+        component = next((k for k in names if k not in taken and k.lower() not in MESSAGE_KEYS), None)
+        out.append(dict(form=form, stamp_keys=stamps[form], level_key=level, component_key=component, message_key=message))
+    return out
+
+
+def mined(counts: DataFrame, support: float) -> DataFrame:
+    """Templates of every file; a task takes its files one after the other."""
+    out_type = T._parse_datatype_string(_TEMPLATE)
+    arrow = to_arrow_schema(out_type)
+
+    def by_file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts, ends in grouped(batches, ["log_id"]):
+            logs, cols = t.column("log_id").to_pylist(), [t.column(c).to_pylist() for c in _COUNTED]
+            rows = [dict(r, log_id=logs[s]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True) for r in mine(list(zip(*[c[s:e] for c in cols], strict=True)), support)]
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    return counts.repartition("log_id").sortWithinPartitions("log_id").mapInArrow(by_file, out_type)
 
 
 def entry_heads(lines: DataFrame, support: float = SUPPORT) -> DataFrame:
@@ -343,8 +363,7 @@ def entry_heads(lines: DataFrame, support: float = SUPPORT) -> DataFrame:
     lines. ``slots`` is the number of words and marks behind the stamp that belong to the head.
     """
     heads = cut_lineage(read_heads(lines))
-    found = position_counts(heads).groupBy("log_id").applyInPandas(lambda pdf: mine(pdf, support), _TEMPLATE)
-    found = cut_lineage(found).select("*", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
+    found = cut_lineage(mined(position_counts(heads), support)).select("*", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
     salted = heads.withColumn("salt", F.pmod("line_no", F.lit(SALTS)))
     levels = F.create_map(*[x for level, ws in LEVELS.items() for w in ws for x in (F.lit(w), F.lit(level))])
 
@@ -359,8 +378,8 @@ def entry_heads(lines: DataFrame, support: float = SUPPORT) -> DataFrame:
 
     keyed = salted.where("form <> 'plain'").join(found.where("form <> 'plain'").drop("shape", "pattern"), ["log_id", "form", "salt"])
     stamp_key = F.get(F.filter("stamp_keys", lambda k: F.exists("pairs", lambda p: (p["key"] == k) & (p["sort"] == "s"))), F.lit(0))
-    keyed = staged(staged(keyed, {"stamp_key": stamp_key}), {"at": _taken_apart(value(F.col("stamp_key"))["value"])})
-    keyed = staged(keyed, {"ts": _stamp(F.col("at"), F.col("file_path"))}).where("ts is not null")
+    keyed = staged(staged(keyed, {"stamp_key": stamp_key}), {"told": _rewritten(value(F.col("stamp_key"))["value"])})
+    keyed = with_stamp(keyed, "told", "file_path", "ts").where("ts is not null")
     keyed = keyed.select(
         "log_id", "line_no", F.col("ts").alias("entry_ts"), level(value(F.col("level_key"))["value"]).alias("log_level"), F.coalesce(value(F.col("component_key"))["value"], F.lit("")).alias("component"), "form",
         F.array_compact(F.array("stamp_key", "level_key", "component_key")).alias("head_keys"), "message_key",
