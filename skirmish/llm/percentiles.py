@@ -51,7 +51,8 @@ def exact_percentiles(counts: DataFrame, pcts: list[int], least: int = 1) -> Dat
     bits = max(1, (high - low).bit_length())
     shift = -(-bits // BITS_PER_PASS) * BITS_PER_PASS - BITS_PER_PASS
     salt = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")
-    base = counts.select("grp", (F.col("v") - F.lit(low)).alias("v"), "n")
+    # shifting floors, also below zero, so intervals need no common origin and no difference can overflow
+    base = counts.select("grp", "v", "n")
 
     # first pass: one interval for all percentiles of a group
     piece = F.shiftright("v", shift)
@@ -78,4 +79,4 @@ def exact_percentiles(counts: DataFrame, pcts: list[int], least: int = 1) -> Dat
         inside = F.filter("want", lambda x: (x["rank"] <= F.col("upto")) & (x["rank"] > F.col("upto") - F.col("n")))
         spans = ranked.select("grp", F.col("sub").alias("piece"), lowered(inside, F.col("upto") - F.col("n")).alias("want")).where(F.size("want") > 0)
         shift = next_shift
-    return spans.select("grp", (F.col("piece") + F.lit(low)).alias("value"), F.explode("want").alias("w")).select("grp", F.col("w.pct").alias("pct"), "value")
+    return spans.select("grp", F.col("piece").alias("value"), F.explode("want").alias("w")).select("grp", F.col("w.pct").alias("pct"), "value")

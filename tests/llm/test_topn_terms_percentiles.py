@@ -63,5 +63,12 @@ def test_percentiles(spark, monkeypatch, bits):
     assert {(r.grp, r.pct): r.value for r in exact_percentiles(merge_counts(*halves), pcts, least=2).collect()} == {k: v for k, v in want.items() if k[0] != "one"}
 
 
+def test_percentiles_of_the_whole_range(spark):
+    ends = [-(2**63), -(2**63) + 1, -1, 0, 7, 2**63 - 1]
+    df = spark.createDataFrame([("a", v) for v in ends], "g string, v bigint")
+    got = {r.pct: r.value for r in exact_percentiles(value_counts(df, "g", "v"), [1, 34, 50, 84, 100]).collect()}
+    assert got == {p: ends[math.ceil(p * 6 / 100) - 1] for p in (1, 34, 50, 84, 100)}
+
+
 def test_percentiles_empty(spark):
     assert exact_percentiles(value_counts(spark.createDataFrame([], "g string, v bigint"), "g", "v"), [50]).count() == 0
