@@ -43,7 +43,7 @@ def main(argv: list[str] | None = None) -> int:
     options = Options.from_rest_period(a.rest) if a.rest is not None else Options()
     if a.idle is not None and a.rest is None:
         options = options.with_idle(a.idle)
-    spark = SparkSession.builder.appName("skirmish").getOrCreate()
+    spark = SparkSession.builder.appName("skirmish").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate()
     saved = a.markers or default_path(identity_of(a.log))
     splits = None if a.no_markers or not (a.markers or os.path.exists(saved)) else load_markers(spark, saved).where("kind = 0")
     if a.follow:

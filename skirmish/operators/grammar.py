@@ -57,6 +57,7 @@ class Rule:
     need: tuple[str, ...] = ()
 
 
+# Fixed patterns: the lines of the log, in the order in which they are tried.
 RULES = [
     Rule("R1", r"^You have entered (.+?)\.$", ("zone",), outcome="zone", need=("You have entered ",)),
     Rule("R2", r"^(.+?) has been slain by (.+?)!$", ("target", "attacker"), action="death", attacker="text", need=(" has been slain by ",)),

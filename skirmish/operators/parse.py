@@ -110,8 +110,7 @@ def parse_lines(lines: DataFrame, character: Column | None = None, strict_compat
     rule, found = _match(msg, F.col("__tag").isNotNull())
     cut = staged(cut, {"__rule": rule})
     cut = staged(cut, {"__s": found})
-    cut = staged(cut, {f"__{s}": F.nullif(F.col("__s").getItem(i), F.lit("")) for i, s in enumerate(SLOTS)}).drop("__s")
-    slot = {s: F.col(f"__{s}") for s in SLOTS}
+    slot = {s: F.nullif(F.col("__s").getItem(i), F.lit("")) for i, s in enumerate(SLOTS)}
 
     def by_rule(value_of) -> Column:
         table = {r.id: value_of(r) for r in RULES if value_of(r)}

@@ -11,6 +11,7 @@ from skirmish.operators.delivery import once_per_key
 from skirmish.operators.features import entity_features
 from skirmish.operators.log_entries import log_entries
 from skirmish.operators.gap_tree import gap_tree, sessions_at
+from skirmish.plans.sqlnames import sql_key, sql_term
 from skirmish.session import load
 
 SESSION_GAP_S = 45
@@ -93,22 +94,10 @@ def p2_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_entries(load(spark, sf_dir, "raw_lines"), cut_head=True).withColumn("entry_ts", stamp_text("entry_ts"))
 
 
-_SQL_NAME = "lower(regexp_replace(trim(regexp_replace({0}, ' +', ' ', 'g')), '[''`]s corpse$', '', 'i'))"
-
-
-def _sql_key(c: str) -> str:
-    k = _SQL_NAME.format(c)
-    return f"(case when {k} not like '% %' and length({k}) > 8 and {k} like '%scorpse' then left({k}, length({k}) - 7) else {k} end)"
-
-
-def _sql_term(c: str) -> str:
-    return f"nullif(lower(trim(regexp_replace({c}, ' +', ' ', 'g'))), '')"
-
-
 _ONCE = "(select * from combat_events qualify row_number() over (partition by log_id, line_no order by arrived_at) = 1)"
 
 _P1_RUNS = f"""
-with e as (select log_id, {_sql_key('target')} as target, ts, line_no from {_ONCE} where ts is not null and target is not null),
+with e as (select log_id, {sql_key('target')} as target, ts, line_no from {_ONCE} where ts is not null and target is not null),
 g as (select *, case when epoch(ts) - epoch(lag(ts) over w) <= GAP_S then 0 else 1 end as is_new from e window w as (partition by log_id, target order by ts, line_no)),
 s as (select *, sum(is_new) over (partition by log_id, target order by ts, line_no rows unbounded preceding) as sid from g),
 r as (select log_id, target, min(ts) as a, max(ts) as b, count(*) as n from s group by log_id, target, sid)
@@ -123,9 +112,9 @@ cast(epoch(b) - epoch(a) as bigint) as duration_s, n as n_events from r""",
         for g in [6, 15, 45, 120, 300]
     ),
     "p3_found": f"""
-with o as (select log_id, {_sql_key('pet')} as pet, max(struct_pack(l := line_no, o := {_sql_key('owner')})).o as owner from pet_tags group by 1, 2),
-e as (select log_id, {_sql_key('attacker')} as attacker, {_sql_key('attacker_owner')} as own,
-  action || ':' || coalesce(mechanic, 'none') || ':' || coalesce({_sql_term('spell')}, {_sql_term('verb')}, 'none') as event_type, coalesce(amount, 0) as amount, ts
+with o as (select log_id, {sql_key('pet')} as pet, max(struct_pack(l := line_no, o := {sql_key('owner')})).o as owner from pet_tags group by 1, 2),
+e as (select log_id, {sql_key('attacker')} as attacker, {sql_key('attacker_owner')} as own,
+  action || ':' || coalesce(mechanic, 'none') || ':' || coalesce({sql_term('spell')}, {sql_term('verb')}, 'none') as event_type, coalesce(amount, 0) as amount, ts
   from {_ONCE} where attacker is not null)
 select e.log_id, coalesce(e.own, o.owner, e.attacker) as entity, event_type, count(*) as n_events, cast(sum(amount) as bigint) as total_amount,
   coalesce(strftime(max(ts), '%Y-%m-%d %H:%M:%S'), '') as last_seen

@@ -12,6 +12,7 @@ from skirmish.operators.gap_tree import sessionize
 from skirmish.operators.owners import asof_last, final_owners
 from skirmish.plans import report
 from skirmish.plans.fold_twin import FOLD, HEADERS
+from skirmish.plans.sqlnames import sql_key, sql_term
 from skirmish.session import cut_lineage, load
 
 BY = report.ENCOUNTER
@@ -229,15 +230,7 @@ QUERIES = {
 
 # ---- SQL twins --------------------------------------------------------------------------------
 
-def _k(c: str) -> str:
-    k = f"lower(regexp_replace(trim(regexp_replace({c}, ' +', ' ', 'g')), '[''`]s corpse$', '', 'i'))"
-    return f"(case when {k} not like '% %' and length({k}) > 8 and {k} like '%scorpse' then left({k}, length({k}) - 7) else {k} end)"
-
-
-def _t(c: str) -> str:
-    return f"nullif(lower(trim(regexp_replace({c}, ' +', ' ', 'g'))), '')"
-
-
+_k, _t = sql_key, sql_term
 _CLEAN = f"""clean as (select log_id, line_no, ts, action, {_k('attacker')} as attacker, {_k('target')} as target, {_k('attacker_owner')} as attacker_owner,
  {_k('target_owner')} as target_owner, coalesce(amount, 0) as amount, mechanic, {_t('verb')} as verb, {_t('spell')} as spell, miss_reason, is_critical, attacker_kind, target_kind, enc_id
  from (select * from combat_events qualify row_number() over (partition by log_id, line_no order by arrived_at) = 1) where ts is not null)"""

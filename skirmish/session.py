@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,23 +14,41 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_cleaned: set[str] = set()
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    # the JVM may be gone before this process is
+    with contextlib.suppress(Exception):
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point Spark at the shared checkpoint folder.
 
     The folder is the one named by ``spark.checkpoint.dir``. Only where nothing
     is set and the master is local (tests, a laptop) a temporary folder is used;
     a cluster without the setting is an error, because executors would not see
-    a driver-local folder.
+    a driver-local folder. What the application wrote there (Spark gives it a folder of its own) is
+    removed when the process ends; with ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark removes a
+    checkpoint as soon as nothing refers to it.
     """
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="skirmish-checkpoint-")
-    sc.setCheckpointDir(folder)
+    given = sc._jsc.sc().getCheckpointDir()
+    if not given.isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="skirmish-checkpoint-")
+            atexit.register(_remove, spark, folder)
+        sc.setCheckpointDir(folder)
+        given = sc._jsc.sc().getCheckpointDir()
+    own = given.get()
+    if own not in _cleaned:
+        _cleaned.add(own)
+        atexit.register(_remove, spark, own)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
