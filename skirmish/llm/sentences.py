@@ -46,7 +46,7 @@ THAI_POLITE = frozenset("ครับ ครับผม ค่ะ คะ นะ
 THAI_FINALS = THAI_POLITE | frozenset("แล้ว นะ เลย ด้วย สิ ล่ะ มั้ย ไหม หรือยัง หรือเปล่า หรอก เถอะ ซะ ເທື່ອ ແລ້ວ ບໍ ນໍ".split())
 THAI_OPENERS = frozenset(
     """
-    คุณ เรียน สวัสดี ขอบคุณ ใคร พบ ค่าเฉลี่ย บันทึก ถ้า แต่ เพราะ กรุณา โปรด ช่วย ทำไม เมื่อ
+    คุณ เรียน สวัสดี ขอบคุณ ใคร ถ้า แต่ เพราะ กรุณา โปรด ช่วย ทำไม เมื่อ อย่างไร อะไร ที่ไหน เท่าไร
     ผม ดิฉัน ฉัน เรา พวกเรา เขา พวกเขา เธอ มัน ท่าน หนู นี่ นั่น วันนี้ พรุ่งนี้ เมื่อวาน เมื่อวานนี้ เมื่อคืน ตอนนี้ ขณะนี้ ปัจจุบัน ปีนี้ ปีที่แล้ว
     ຂ້ອຍ ເຈົ້າ ພວກເຮົາ ລາວ ເຂົາເຈົ້າ ມື້ນີ້ ມື້ອື່ນ ຂອບໃຈ ສະບາຍດີ ແຕ່
     """.split()
@@ -62,7 +62,7 @@ THAI_VERBS = frozenset(
     ໄປ ມາ ກິນ ນອນ ມັກ ຢາກ ຕ້ອງ ເປັນ ຢູ່ ມີ ເຮັດ ເຫັນ ເວົ້າ ຮູ້ ອ່ານ ຂຽນ ຊື້ ຂາຍ ບໍ່
     """.split()
 )
-THAI_WORDS = frozenset("กัน เวลา ทุก คน มาก นี้ นั้น วัน อะไร อย่างไร เท่าไร ขอ ความ นับถือ ตัว บ้าน แมว หมา น้ำ ข้าว ปี เดือน บรรทัด".split())
+THAI_WORDS = frozenset("กัน เวลา ทุก คน มาก นี้ นั้น วัน ขอ ความ นับถือ ตัว ปี เดือน การ ผู้ สิ่ง เรื่อง ครั้ง แห่ง อัน ชิ้น".split())
 # Words by which a Japanese or Chinese sentence goes on after a quotation it carries.
 JAPANESE_AFTER_QUOTE = frozenset("と って とは とか との という といい といって という は が を に の も で など".split())
 CHINESE_SPEECH = frozenset("问道 问 说道 说 道 喊道 喊 答道 答 回答 回答道 叫道 叫 写道 写 想 问我 告诉 表示".split())
