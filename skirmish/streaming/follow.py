@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterator, MutableMapping
 from datetime import datetime
 
 import pandas as pd
@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from skirmish.functions.times import from_wall_seconds, wall_seconds
 from skirmish.operators.parse import line_shape, parse_lines, split_lines
+from skirmish.operators.roster import Fact
 from skirmish.schema import Options
 from skirmish.sources.tail import register
 from skirmish.streaming.live import LiveLog
@@ -27,8 +28,48 @@ REVISION = (
 _NEEDED = ["log_id", "generation", "line_no", "sec", "outcome", "action", "attacker", "target", "owner_hint", "amount", "mechanic", "verb", "spell", "zone", "pet_tag", "pet_tag_owner"]
 
 
+class StoredFacts(MutableMapping):
+    """Facts about names in a map state: read when first asked for, changes written at the end of a batch."""
+
+    def __init__(self, state) -> None:
+        self.state = state
+        self.read: dict[str, Fact | None] = {}
+        self.changed: set[str] = set()
+
+    def get(self, name, default=None):
+        if name not in self.read:
+            self.read[name] = Fact(*self.state.getValue((name,))) if self.state.containsKey((name,)) else None
+        found = self.read[name]
+        return default if found is None else found
+
+    def __getitem__(self, name):
+        found = self.get(name)
+        if found is None:
+            raise KeyError(name)
+        return found
+
+    def __setitem__(self, name, fact) -> None:
+        self.read[name] = fact
+        self.changed.add(name)
+
+    def __delitem__(self, name) -> None:
+        raise TypeError("facts are never forgotten")
+
+    def __iter__(self):
+        return iter({*(k[0] for k in self.state.keys()), *self.changed})
+
+    def __len__(self) -> int:
+        return sum(1 for _ in self)
+
+    def flush(self) -> None:
+        """Write what changed."""
+        for name in self.changed:
+            self.state.updateValue((name,), tuple(self.read[name]))
+        self.changed.clear()
+
+
 class LogFollower(StatefulProcessor):
-    """One `LiveLog` per log in the state store; emits revisions, and closes quiet fights by timer."""
+    """A `LiveLog` per log in the state store, its names as a map state; emits revisions, and closes quiet fights by timer."""
 
     def __init__(self, options: Options, tick_ms: int, marks: dict[str, list[int]] | None = None) -> None:
         self.options, self.tick_ms, self.marks = options, tick_ms, marks or {}
@@ -36,17 +77,23 @@ class LogFollower(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("live", "blob binary")
+        self.names = handle.getMapState("names", "name string", "player boolean, led boolean, proven boolean, owner string")
 
     def _live(self, log_id: str) -> LiveLog:
+        facts = StoredFacts(self.names)
         if self.state.exists():
-            return pickle.loads(bytes(self.state.get()[0]))
-        live = LiveLog(log_id, self.options)
+            live = pickle.loads(bytes(self.state.get()[0]))
+            live.roster.facts = facts
+            return live
+        live = LiveLog(log_id, self.options, facts=facts)
         for at in self.marks.get(log_id, ()):
             live.add_split(at)
         return live
 
     def _out(self, live: LiveLog) -> Iterator[pd.DataFrame]:
         rows = live.revisions()
+        live.roster.facts.flush()
+        live.roster.facts = None  # has a place of its own
         self.state.update((pickle.dumps(live),))
         if rows:
             yield pd.DataFrame(rows)
@@ -92,7 +139,7 @@ def follow(lines: DataFrame, options: Options | None = None, splits: DataFrame |
 
     ``splits`` is an optional control stream ``log_id, ts``, ``marks`` holds the seconds (of :func:`wall_seconds`) of splits
     saved before. Lines of a replaced file come after those of the old one. With ``tick_ms`` a fight is closed by wall
-    clock when its log has been silent that long. State is one object per log; restart from a
+    clock when its log has been silent that long. State per log is its fights and a map of its names; restart from a
     checkpoint continues where it stopped.
     """
     opt = options or Options()

@@ -1,5 +1,8 @@
 """Live state of one log, free of Spark: what a stateful stream keeps between batches.
 
+What is known about names grows with a log, so it is handed in as a mapping of its own (``facts``); the rest is the
+open and the last fight.
+
 Differences to batch are those of the domain: names are classified as known at
 the event, lines count in arrival order, and a pet whose owner becomes known is
 credited to that owner for the whole open encounter.
@@ -9,21 +12,22 @@ from __future__ import annotations
 
 import json
 from collections import Counter
+from collections.abc import MutableMapping
 
 from skirmish.operators.crits import Marks
 from skirmish.operators.encounters import FightMachine
-from skirmish.operators.roster import PET, Roster
+from skirmish.operators.roster import PET, Fact, Roster
 from skirmish.schema import Options
 
 
 class LiveLog:
     """Feed outcomes in line order; read revisions of encounters."""
 
-    def __init__(self, log_id: str, options: Options | None = None, catalog: dict[tuple[str, str], str] | None = None) -> None:
+    def __init__(self, log_id: str, options: Options | None = None, catalog: dict[tuple[str, str], str] | None = None, facts: MutableMapping[str, Fact] | None = None) -> None:
         self.log_id, self.opt = log_id, options or Options()
         self.catalog = catalog or {}
         me = log_id.split("_")[0]
-        self.roster = Roster(me)
+        self.roster = Roster(me, facts)
         self.machine = FightMachine(self.opt, me)
         self.marks = Marks(self.opt.crit_window_s)
         self.splits: list[int] = []
@@ -72,7 +76,7 @@ class LiveLog:
         now, action, a, t = row["sec"], row["action"], row["attacker"], row["target"]
         owner = row["owner_hint"]
         if owner is None and action in ("damage", "heal") and a:
-            owner = self.roster.owner.get(a.lower())
+            owner = self.roster.owner_of(a)
         self.roster.observe(action, a, t, owner)
         if self.last_event is None:
             self.splits = [s for s in self.splits if s >= now]
@@ -119,14 +123,14 @@ class LiveLog:
         """Damage per fighter of an encounter, pets credited to their owners as known by now."""
         out: Counter = Counter()
         for actor, amount in self.damage.get(no, {}).items():
-            out[self.roster.owner.get(actor, actor).lower()] += amount
+            out[(self.roster.owner_of(actor) or actor).lower()] += amount
         return dict(out)
 
     def _report(self, no: int, by: dict[str, int]) -> str:
         """Fighters of an encounter as JSON, most damage first."""
         crits: Counter = Counter()
         for actor, n in self.crits.get(no, {}).items():
-            crits[self.roster.owner.get(actor, actor).lower()] += n
+            crits[(self.roster.owner_of(actor) or actor).lower()] += n
         ranked = sorted(by.items(), key=lambda x: (-x[1], x[0]))
         return json.dumps([dict(fighter=who, damage=n, crits=crits[who], share=round(n / max(1, sum(by.values())), 4)) for who, n in ranked], ensure_ascii=False)
 
