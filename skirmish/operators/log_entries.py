@@ -261,7 +261,9 @@ def templates(patterns: dict[str, int]) -> dict[str, tuple[int, int | None, int
         before = [sorts[group[0]].index(STAMP) >= length] if group else []
         common = [c for c in children if any(before) or weight[c] >= BRANCH * total]
         closed = length and not any(before) and any(t in _ENDS for t in sorts[group[0]][length - 2 : length]) and any(t == "w" for t in sorts[group[0]][sorts[group[0]].index(STAMP) : length])
-        if closed or not common or (not any(before) and sum(weight[c] for c in common) < WHOLE * total):
+        # a level may still follow the component
+        led_by_level = sum(weight[c] for c in children if "L" in c[:2]) >= WHOLE * total
+        if (closed and not led_by_level) or not common or (not any(before) and sum(weight[c] for c in common) < WHOLE * total):
             agreed.update(group)
             continue
         for c in common:

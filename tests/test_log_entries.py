@@ -48,11 +48,12 @@ def test_position_counts_of_a_file(spark):
 def test_templates_follow_agreement():
     S = le.STAMP
     many = {f"{S} W W [ N ] : W W": 70, f"{S} W W : L W": 25, f"{S} W W [ N ] : W W :": 5}
-    assert le.templates(many) == {f"{S} W W [ N ] : W W": (7, None, 2), f"{S} W W : L W": (4, None, 2), f"{S} W W [ N ] : W W :": (7, None, 2)}
+    assert le.templates(many) == {f"{S} W W [ N ] : W W": (7, None, 2), f"{S} W W : L W": (5, 4, 2), f"{S} W W [ N ] : W W :": (7, None, 2)}
     odd = {f"{S} [ L ] < W > W": 95, f"{S} [ W ] < W > W W": 1, f"{S} W W": 1}
     assert le.templates(odd) == {f"{S} [ L ] < W > W": (7, 2, 5), f"{S} [ W ] < W > W W": (7, 2, 5), f"{S} W W": (1, None, None)}
     assert le.templates({f"L : X : {S} : W W": 9}) == {f"L : X : {S} : W W": (6, 0, 2)}
     assert le.templates({f"{S} L X W": 9, f"{S} L X X": 5}) == {f"{S} L X W": (3, 1, 2), f"{S} L X X": (3, 1, 2)}
+    assert le.templates({f"{S} W : L W W": 9, f"{S} X : L": 5}) == {f"{S} W : L W W": (4, 3, 1), f"{S} X : L": (4, 3, 1)}
     assert le.templates({f"{S} L W W": 9, f"{S} L": 5}) == {f"{S} L W W": (2, 1, None), f"{S} L": (2, 1, None)}
 
 
