@@ -27,7 +27,7 @@ from skirmish.session import cut_lineage
 
 # A file uses a layout that this share of its heads has, or this many of them.
 SUPPORT = 0.01
-LEAST_HEADS = 20
+LEAST_HEADS = 5
 # A branch of a template is followed if its continuations hold WHOLE of its lines, each at least BRANCH of them.
 WHOLE = 0.9
 BRANCH = 0.05
