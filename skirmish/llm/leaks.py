@@ -221,17 +221,26 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
         every = grams.select("gram", "item_id").withColumn("sure", F.lit(False))
         seeds = seeds.unionByName(every).groupBy("gram", "item_id").agg(F.max("sure").alias("sure"))
     met = held.join(seeds, "gram").groupBy("doc_id", "passage", "item_id").agg(F.max("sure").alias("sure"))
-    pairs = met.join(kept.select("doc_id", "passage", "codes"), ["doc_id", "passage"]).join(coded.select("item_id", F.col("codes").alias("own")), "item_id").select("doc_id", "item_id", "sure", "codes", "own")
+    pairs = met.join(kept.select("doc_id", "passage", "codes"), ["doc_id", "passage"]).join(coded.select("item_id", F.col("codes").alias("own")), "item_id").select("doc_id", "passage", "item_id", "sure", "codes", "own")
     out_type = T.StructType([src.schema["doc_id"], coded.schema["item_id"], T.StructField("score", T.LongType()), T.StructField("share", T.DoubleType()), T.StructField("longest_run", T.IntegerType())])
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, scores, shares, runs = [], [], [], []
-            for i, (sure, passage, own) in enumerate(zip(*[b.column(c) for c in ("sure", "codes", "own")], strict=True)):
-                words, item = passage.values.to_numpy(), own.values.to_numpy()
+            last, words, known = None, None, frozenset()
+            ids = zip(b.column("doc_id"), b.column("passage").to_pylist(), strict=True)
+            for i, (key, sure, passage, own) in enumerate(zip(ids, *[b.column(c) for c in ("sure", "codes", "own")], strict=True)):
+                if key != last:  # pairs of a passage mostly come together
+                    last, words = key, passage.values.to_numpy()
+                    known = frozenset(words.tolist())
+                item = own.values.to_numpy()
                 full = MATCH * max(1, len(item))
-                if not sure.as_py() and min(reach(np.isin(item, words)), reach(np.isin(words, item))) < least_share * full:
-                    continue
+                if not sure.as_py():
+                    # the words in common bound the score, their places bound it closer
+                    if MATCH * sum(c in known for c in item.tolist()) < least_share * full:
+                        continue
+                    if min(reach(np.isin(item, words)), reach(np.isin(words, item))) < least_share * full:
+                        continue
                 score, longest = align(item, words)
                 at.append(i)
                 scores.append(score)
