@@ -26,6 +26,8 @@ REGION_GAP = 40
 MATCH, MISMATCH, SKIP = 2, -1, -1
 # Bits of the filter per n-gram and at most in all (64 MB), probes per n-gram.
 FILTER_BITS, FILTER_MOST, PROBES = 32, 1 << 29, 6
+# Tasks per core of the alignment.
+ALIGN_TASKS = 4
 # Words whose hash a task remembers.
 REMEMBERED = 1_000_000
 
@@ -221,6 +223,8 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
         every = grams.select("gram", "item_id").withColumn("sure", F.lit(False))
         seeds = seeds.unionByName(every).groupBy("gram", "item_id").agg(F.max("sure").alias("sure"))
     met = held.join(seeds, "gram").groupBy("doc_id", "passage", "item_id").agg(F.max("sure").alias("sure"))
+    # alignment is heavy per row, so few bytes must not end up in few tasks; only ids are moved
+    met = met.repartition(ALIGN_TASKS * docs.sparkSession.sparkContext.defaultParallelism, "doc_id", "passage")
     pairs = met.join(kept.select("doc_id", "passage", "codes"), ["doc_id", "passage"]).join(coded.select("item_id", F.col("codes").alias("own")), "item_id").select("doc_id", "passage", "item_id", "sure", "codes", "own")
     out_type = T.StructType([src.schema["doc_id"], coded.schema["item_id"], T.StructField("score", T.LongType()), T.StructField("share", T.DoubleType()), T.StructField("longest_run", T.IntegerType())])
 
