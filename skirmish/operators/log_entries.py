@@ -108,7 +108,7 @@ def _rewritten(text: Column) -> Column:
             group += 1
     # of the alternatives only the one that matched has text in its groups
     template = _SEP.join(["$1", *["".join(where[p]) for p in _PARTS], "$2", f"${group}"])
-    may = F.substring(text, 1, 1).rlike(r"[^\s>\"'`|]") & text.rlike(r"\d:\d\d|\d{10}|\dT\d{6}") & ~text.contains(_SEP)
+    may = F.substring(text, 1, 1).rlike(r"[^\s>\"'`|]") & text.rlike(r"\d:\d\d|\d{10}|\dT\d{6}")
     return F.when(may, F.regexp_replace(text, _HEAD, template))
 
 
@@ -177,7 +177,10 @@ def read_heads(lines: DataFrame) -> DataFrame:
     Only these narrow rows are shuffled.
     """
     src = lines.select("log_id", "file_path", F.col("line_no").cast("int").alias("line_no"), F.coalesce("raw", F.lit("")).alias("raw")).where("log_id is not null and line_no is not null")
-    text = staged(src, {"text": clean_line(F.col("raw"))}).drop("raw")
+    line, reserved = clean_line(F.col("raw")), _SEP + STAMP
+    holds = F.col("raw").contains(_SEP) | F.col("raw").contains(STAMP)
+    plain = F.when(holds, F.translate(line, reserved, "  ")).otherwise(line)
+    text = staged(src, {"text": plain}).drop("raw")
     keys, values = _keyed(F.col("text"))
     looks_keyed = F.col("text").startswith("{") | F.col("text").contains("=")
     split = staged(text, {"told": _rewritten(F.col("text")), "keys": F.when(looks_keyed, keys), "values": F.when(looks_keyed, values)})

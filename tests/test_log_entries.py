@@ -127,3 +127,10 @@ def test_probes_of_layouts(spark):
     assert fields["log2", 8] == ("info", "disk7") and fields["log3", 1] == ("warn", "net") and fields["log4", 2] == ("warn", "db.pool")
     assert fields["log5", 1] == ("", "") or fields["log5", 1][0] == ""
     assert fields["log6", 2] == ("warn", "DAGScheduler")
+
+
+def test_control_characters_cost_no_line(spark):
+    odd = ["2019-03-04 01:00:00,000 INFO [main] disk - a\x01b\x02c", "2019-03-04 01:00:01,000 INFO [main] disk - plain"]
+    rows, schema = _lines(spark, {"/logs/h/2019/a.log": odd})
+    got = log_entries(spark.createDataFrame(rows, schema), cut_head=True).orderBy("first_line").collect()
+    assert [(r.component, r.message) for r in got] == [("disk", "a\x01b\x02c"), ("disk", "plain")]
